@@ -1,6 +1,6 @@
 """The library's queries over the driver's tables."""
 
-from . import views  # noqa: F401  registers its queries
+from . import collecting, coverage, ingest, selection, views  # noqa: F401  each registers its queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

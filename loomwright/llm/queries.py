@@ -5,16 +5,44 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, flac, langid
+from . import bpe, chat, decontam, flac, html_text, langid, maxent, neardup, pii, warc
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(table(spark, sf_dir, "documents"))
+
+
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.scored(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(spark, sf_dir)
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversations(table(spark, sf_dir, "conversations"), RANKS)
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANKS)
 
@@ -23,5 +51,7 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_language_id, op9_byte_bpe, op10_flac_media)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_pii_surrogates, op4_lm_scores, op5_language_id, op6_warc, op7_chat_format, op8_decontamination, op9_byte_bpe, op10_flac_media)}
+#: None of the ten can be said in DuckDB's SQL: their digests come from learned models, tokenizers and codecs, or from
+#: regular expressions with lookarounds. They are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {}

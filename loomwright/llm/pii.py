@@ -55,7 +55,7 @@ def _pass(value: Column, key: Column, alphabets: tuple[str, ...]) -> Column:
             moved = F.when(at > 0, F.substring(F.lit(a), (F.pmod(at - 1 + _number(key, acc["before"]), F.lit(len(a))) + 1).cast("int"), F.lit(1))).otherwise(moved)
         return F.struct(F.concat(acc["out"], moved).alias("out"), F.concat(acc["before"], c).alias("before"))
 
-    return F.aggregate(F.split(value, "(?!^)"), start, step, lambda acc: acc["out"])
+    return F.aggregate(F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0)), start, step, lambda acc: acc["out"])
 
 
 def permuted(value: Column, key: Column, alphabets: tuple[str, ...] = ALPHABETS) -> Column:

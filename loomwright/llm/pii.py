@@ -36,7 +36,7 @@ ALPHABETS = (
     "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àáâãäåæèéêëìíîïòóôõöøùúûüœ", "ÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜŒ", "çñß", "ÇÑ",
     "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
 )
-HEX = ("0123456789abcdef",)
+HEX = "0123456789abcdef"
 
 
 def _number(*parts: Column) -> Column:
@@ -44,22 +44,21 @@ def _number(*parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *parts).cast("binary"), 256), 1, 8), 16, 10).cast("long")
 
 
-def _pass(value: Column, key: Column, alphabets: tuple[str, ...]) -> Column:
+def _pass(value: Column, key: Column, alphabets: Column) -> Column:
     """Shifts each character within its alphabet by a hash of the characters before it: a bijection for every key."""
     start = F.struct(F.lit("").alias("out"), F.lit("").alias("before"))
 
     def step(acc: Column, c: Column) -> Column:
-        moved = c
-        for a in alphabets:
-            at = F.instr(F.lit(a), c)  # type: ignore[arg-type]
-            moved = F.when(at > 0, F.substring(F.lit(a), (F.pmod(at - 1 + _number(key, acc["before"]), F.lit(len(a))) + 1).cast("int"), F.lit(1))).otherwise(moved)
-        return F.struct(F.concat(acc["out"], moved).alias("out"), F.concat(acc["before"], c).alias("before"))
+        own = F.get(F.filter(alphabets, lambda a: F.instr(a, c) > 0), F.lit(0))
+        moved = F.transform(F.array(own), lambda a: F.substring(a, (F.pmod(F.instr(a, c) - 1 + _number(key, acc["before"]), F.length(a)) + 1).cast("int"), F.lit(1)))
+        return F.struct(F.concat(acc["out"], F.coalesce(F.get(moved, F.lit(0)), c)).alias("out"), F.concat(acc["before"], c).alias("before"))
 
     return F.aggregate(F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0)), start, step, lambda acc: acc["out"])
 
 
-def permuted(value: Column, key: Column, alphabets: tuple[str, ...] = ALPHABETS) -> Column:
-    return F.reverse(_pass(F.reverse(_pass(value, F.concat(key, F.lit("/l")), alphabets)), F.concat(key, F.lit("/r")), alphabets))
+def permuted(value: Column, key: Column, alphabets: Column | None = None) -> Column:
+    rows = F.array(*[F.lit(a) for a in ALPHABETS]) if alphabets is None else alphabets
+    return F.reverse(_pass(F.reverse(_pass(value, F.concat(key, F.lit("/l")), rows)), F.concat(key, F.lit("/r")), rows))
 
 
 def _ip(value: Column, key: Column) -> Column:
@@ -79,21 +78,21 @@ def kind_of(value: Column) -> Column:
 
 
 def surrogate(value: Column, key: str = KEY) -> Column:
-    """The replacement of one entity."""
-    k = lambda kind: F.lit(f"{key}/{kind}")
+    """The replacement of one entity: what stays before, a permuted body, and what stays after (of an address, its domain
+    permuted on its own, so that one domain is one surrogate)."""
+    kind = kind_of(value)
     domain = F.regexp_extract(value, r"@(.*)(\.\p{L}+)$", 1)
-    email = F.concat(
-        permuted(F.regexp_extract(value, "^(.*)@", 1), F.concat(k("local@"), F.lower(domain))), F.lit("@"), permuted(domain, k("domain")), F.regexp_extract(value, r"(\.\p{L}+)$", 1)
-    )
     code = F.regexp_extract(value, r"^\+\d{1,3}", 0)
-    phone = F.concat(code, permuted(F.substring(value, F.length(code) + 1, F.length(value)), F.concat(k("phone"), code)))
     last = F.substring(value, -1, 1)
-    name = F.concat(permuted(F.substring(value, F.lit(1), F.length(value) - 1), F.concat(k("name"), last)), last)
-    secret = F.when(F.regexp_like(value, F.lit("[A-F]")), F.upper(permuted(F.lower(value), k("secret"), HEX))).otherwise(permuted(value, k("secret"), HEX))
-    kind = kind_of(value)
-    return (
-        F.when(kind == "email", email).when(kind == "ip", _ip(value, k("ip"))).when(kind == "phone", phone).when(kind == "secret", secret).when(kind == "name", name).otherwise(permuted(value, F.concat(k("number"), kind)))
-    )
+    before = F.when(kind == "phone", code).otherwise("")
+    body = F.when(kind == "email", F.regexp_extract(value, "^(.*)@", 1)).when(kind == "phone", F.substring(value, F.length(code) + 1, F.length(value)))
+    body = body.when(kind == "name", F.substring(value, F.lit(1), F.length(value) - 1)).when(kind == "secret", F.lower(value)).otherwise(value)
+    own = F.concat(F.lit(f"{key}/"), kind, F.when(kind == "email", F.concat(F.lit("@"), F.lower(domain))).when(kind == "phone", code).when(kind == "name", last).otherwise(""))
+    rows = F.when(kind == "secret", F.array(F.lit(HEX))).otherwise(F.array(*[F.lit(a) for a in ALPHABETS]))
+    moved = permuted(body, own, rows)
+    after = F.when(kind == "email", F.concat(F.lit("@"), permuted(domain, F.lit(f"{key}/domain")), F.regexp_extract(value, r"(\.\p{L}+)$", 1))).when(kind == "name", last).otherwise("")
+    moved = F.when((kind == "secret") & F.regexp_like(value, F.lit("[A-F]")), F.upper(moved)).otherwise(moved)
+    return F.when(kind == "ip", _ip(value, F.lit(f"{key}/ip"))).otherwise(F.concat(before, moved, after))
 
 
 def entities(text: Column) -> Column:

@@ -116,9 +116,9 @@ def stars(importance: Column) -> Column:
 
 
 def korean_fragment(text: Column) -> Column:
-    """15 characters or more, 10 Hangul syllables or more, and these at least half of it."""
+    """15 characters or more, 10 Hangul syllables or more, and these at least half of what is no white space."""
     n = F.length(F.regexp_replace(text, "[^가-힣]", ""))
-    return (F.length(text) >= 15) & (n >= 10) & (n * 2 >= F.length(text))
+    return (F.length(text) >= 15) & (n >= 10) & (n * 2 >= F.length(compact(text)))
 
 
 def body_issues(body: Column, least_chars: int, boilerplate: Sequence[str]) -> Column:
@@ -126,3 +126,41 @@ def body_issues(body: Column, least_chars: int, boilerplate: Sequence[str]) -> C
     t = normalize_space(body)
     hits = sum((F.contains(F.lower(t), F.lit(p.lower())).cast("int") for p in boilerplate), F.lit(0))
     return F.array_compact(F.array(F.when(F.length(t) < least_chars, F.lit("SHORT")), F.when(hits >= 2, F.lit("BOILERPLATE"))))
+
+
+# --- fixed values: what a body is rid of, in this order ---------------------------------------------------------------
+BODY_REPAIRS = (
+    (r"\A\s*[-–—]\s*[^\n]{4,70}?\s*[-–—]\s*(?=\n)", ""),
+    (r"(?U)(\d)\s*\n\s*", "$1"),
+    (r"[◦□○▪▫■●▲△▶◆➀-➉①-⑳※▸▹‣·]", " "),
+    (r"(?Um)^\s*[-–—]\s+", " "),
+    (r"(?U)\*\s*[A-Za-z][^\n]*", " "),
+    (r"\n", " "),
+    (r"(?U)(\d)\s+(?=[가-힣%])", "$1"),
+    (r"(?U)~\s+(\d)", "~$1"),
+    (r"(?U)\(\s+", "("),
+    (r"(?U)\s+\)", ")"),
+    (r"(?U)(?<=[가-힣])\s+\((?=[가-힣])", "("),
+    (r"(?U)\s+([,.’”%])", "$1"),
+    (r"(?U)([‘“])\s+", "$1"),
+    (r"(?U)\s{2,}", " "),
+)
+# -------------------------------------------------------------------------------------------------------------------
+
+
+def clean_body(text: Column) -> Column:
+    """Broken bodies in sentences: numbers joined with their units, bullets, dashes and foreign footnotes gone."""
+    out = F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit(""))
+    for pattern, to in BODY_REPAIRS:
+        out = F.regexp_replace(out, pattern, to)
+    return F.regexp_replace(out, r"(?U)\A\s+|\s+\z", "")
+
+
+def date_in(text: Column) -> Column:
+    """The first date of a text: four- or two-digit year, month and day, with the usual separators; null if there is none."""
+    long = F.regexp_extract(text, r"(\d{4})\s*[.\-/년]\s*(\d{1,2})\s*[.\-/월]\s*(\d{1,2})", 0)
+    short = F.regexp_extract(text, r"(?<!\d)(\d{2})[.\-/](\d{1,2})[.\-/](\d{1,2})", 0)
+    parts = lambda c: F.regexp_replace(F.regexp_replace(c, r"[^\d]+", "-"), "^-|-$", "")
+    a = F.when(long != "", F.try_to_date(parts(long), "yyyy-M-d"))
+    b = F.when(short != "", F.try_to_date(F.concat(F.lit("20"), parts(short)), "yyyy-M-d"))
+    return F.coalesce(a, b)

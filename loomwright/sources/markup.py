@@ -44,7 +44,7 @@ def published(value: Column) -> Column:
     """The date in Korea of an RFC 822 moment; the weekday is taken off, as the parser refuses it."""
     bare = F.regexp_replace(value, r"^[A-Za-z]{3},\s*", "")
     zoned = F.coalesce(F.try_to_timestamp(bare, F.lit("dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(bare, F.lit("dd MMM yyyy HH:mm:ss z")), F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss z")))
-    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit("Asia/Seoul"), F.convert_timezone(F.lit("UTC"), zoned.cast("timestamp_ntz"))))
+    return F.date_from_unix_date(F.floor((F.unix_seconds(zoned) + 9 * 3600) / 86400).cast("int"))
 
 
 def first_per_id(items: DataFrame, id_pattern: str, keys: list[str]) -> DataFrame:

@@ -1,0 +1,231 @@
+"""Operators over the whole corpus against brute force, and their edges."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+import corpus_pipeline
+from loomwright.llm import decontam, maxent, neardup, pii, queries, warc
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, class_id string, window string, found string"
+
+
+def documents(spark, texts):
+    return spark.createDataFrame([(i, t, "en", None, None, "x", "y", "z") for i, t in enumerate(texts)], DOCS)
+
+
+def table(sf_dir, name):
+    return pq.read_table(f"{sf_dir}/{name}.parquet").to_pylist()
+
+
+def shingle_set(text):
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    return set(zip(*[words[i:] for i in range(5)])) if len(words) >= 5 else {tuple(words)} if words else set()
+
+
+def test_classes_equal_brute_force(spark, sf_dir):
+    rows = table(sf_dir, "documents")
+    sets = {r["doc_id"]: shingle_set(r["text"]) for r in rows}
+    shared, index = Counter(), defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            index[x].append(i)
+    for ids in index.values():
+        shared.update(combinations(ids, 2))
+    alike = {(a, b): n / (len(sets[a]) + len(sets[b]) - n) for (a, b), n in shared.items()}
+    got = {r["doc_id"]: r["class_id"] for r in queries.op1_near_dedup(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    close = [p for p, j in alike.items() if j >= 0.85]
+    assert close and all(got[a] == got[b] for a, b in close)
+    # what shares a class is linked by pairs that are similar; no clean document is in a class
+    linked = {i for p, j in alike.items() if j >= 0.75 for i in p}
+    assert all(i in linked for i, c in got.items() if i != c)
+
+
+def test_near_duplicate_edges(spark):
+    base = " ".join(f"word{i}" for i in range(200))
+    texts = [None, "", "!!", "one two", "One, two!", base, base + " more", base.upper(), "x " * 50_000, "one two"]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(documents(spark, texts)).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 3, 5: 5, 6: 5, 7: 5, 8: 8, 9: 3}
+    assert neardup.classes(documents(spark, ["a"]).where("false")).count() == 0
+    assert {r["doc_id"] for r in neardup.deduplicated(documents(spark, texts)).collect()} == {0, 1, 2, 3, 5, 8}
+
+
+def test_weighted_samples_estimate_weighted_jaccard():
+    a, b = (" ".join(f"w{i}" for i in r) for r in (range(0, 400), range(40, 440)))
+    key, level, counts = neardup.shingles(*neardup.word_hashes([a, b]), np.ones(neardup.DF_BUCKETS))
+    s = neardup.samples(key, level, counts)
+    exact = neardup.similarity(*((k << np.uint64(16)) >> np.uint64(8) | v for k, v in ((key[: counts[0]], level[: counts[0]]), (key[counts[0] :], level[counts[0] :]))), neardup.level_weights())
+    assert abs((s[0] == s[1]).mean() - exact) < 0.25 and 0.75 < exact < 0.85
+
+
+def lm_tokens(text):
+    return [*(text or "").encode().lower().split(), None]
+
+
+def test_language_model_base_and_gain(spark, sf_dir):
+    rows = table(sf_dir, "documents")
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2 for r in rows}
+    count = Counter(t for r in rows if not held[r["doc_id"]] for t in lm_tokens(r["text"]))
+    n, v = sum(count.values()), len(count)
+    got = {r["doc_id"]: r for r in queries.op4_lm_scores(spark, sf_dir).collect()}
+    for r in rows:
+        t, g = lm_tokens(r["text"]), got[r["doc_id"]]
+        assert (g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == (held[r["doc_id"]], len(t), sum(count[x] > 0 for x in t), n)
+        assert g["base_score"] == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in t))
+    kept = [got[i] for i, h in held.items() if h]
+    assert sum(g["score"] for g in kept) > sum(g["base_score"] for g in kept)
+
+
+def test_language_model_is_a_distribution():
+    rng = np.random.default_rng(1)
+    weights = rng.normal(size=(maxent.FEATURES, maxent.CLASSES + maxent.LEAVES))
+    top, low = maxent.probabilities(weights, np.arange(50))
+    assert np.allclose((top[:, :, None] * low).sum((1, 2)), 1)
+
+
+def test_language_model_gradient():
+    rng = np.random.default_rng(2)
+    weights, contexts = rng.normal(size=(maxent.FEATURES, maxent.CLASSES + maxent.LEAVES)) * 0.1, np.array([3, 70, 71])
+    cells = rng.integers(0, 5, (3, maxent.LEAVES)).astype(float)
+
+    def value(w):
+        top, low = maxent.probabilities(w, contexts)
+        return (cells * np.log(top[:, :, None] * low).reshape(3, -1)).sum()
+
+    g = maxent.gradient(weights, cells, contexts)
+    for f, k in ((0, 3), (0, 20), (1 + 3, 5), (1 + 6, 60)):
+        step = np.zeros_like(weights)
+        step[f, k] = 1e-5
+        assert g[f, k] == pytest.approx((value(weights + step) - value(weights - step)) / 2e-5, abs=1e-4)
+
+
+def test_language_model_edges(spark):
+    got = {r["doc_id"]: r for r in maxent.scored(documents(spark, [None, "", "A a\x0bB", "a " * 30_000, "a", "a"])).collect()}
+    assert got[0]["n_tokens"] == got[1]["n_tokens"] == 1 and got[2]["n_tokens"] == 4 and got[3]["n_tokens"] == 30_001
+    assert maxent.scored(documents(spark, ["a"]).where("false")).count() == 0
+
+
+def test_decontamination_equals_brute_force(spark, sf_dir):
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    grams, sizes = defaultdict(set), {}
+    for r in table(sf_dir, "benchmark"):
+        w = words(r["text"])
+        sizes[r["item_id"]] = len(w) - 7
+        for i in range(len(w) - 7):
+            grams[tuple(w[i : i + 8])].add(r["item_id"])
+    hits = Counter()
+    for r in table(sf_dir, "documents"):
+        w = words(r["text"])
+        for k in {(item, g) for i in range(len(w) - 7) for g in [tuple(w[i : i + 8])] for item in grams.get(g, ())}:
+            hits[r["doc_id"], k[0]] += 1
+    want = {p for p, n in hits.items() if n >= min(3, sizes[p[1]])}
+    assert {(r["doc_id"], r["item_id"]) for r in queries.op8_decontamination(spark, sf_dir).collect()} == want and want
+
+
+def test_other_numbers_and_names_are_caught_if_consistent(spark):
+    item = "If Anna buys 12 apples and gives 5 apples to Peter, then how many of the 12 apples does Anna have left after 3 days of rest?"
+    same = item.replace("Anna", "Maria").replace("Peter", "Tom").replace("12", "1,730").replace("5 ", "41 ").replace("3 days", "9 weeks")
+    mixed = same.replace("of the 1,730", "of the 88")
+    docs = documents(spark, [None, "", f"Intro text. {item} End.", f"More text here. {same}", f"More text here. {mixed}", "If we had 3 days of rest we would go to the sea and swim.", item[:40]])
+    bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "too short"), (5, "five words make one window")], "item_id bigint, text string")
+    got = {r["doc_id"]: (r["item_id"], r["exact"]) for r in decontam.contaminated(docs, bench).collect()}
+    assert got[2] == (1, True) and got[3] == (1, False) and set(got) == {2, 3}
+    assert decontam.contaminated(docs, bench.where("false")).count() == 0 and decontam.contaminated(docs.where("false"), bench).count() == 0
+    assert {r["doc_id"] for r in decontam.decontaminated(docs, bench).collect()} == {0, 1, 4, 5, 6}
+
+
+def test_surrogates(spark, sf_dir):
+    rows = table(sf_dir, "documents")
+    got = {r["doc_id"]: r for r in queries.op3_pii_surrogates(spark, sf_dir).collect()}
+    pattern = r"[\w.]+@[\w.]+\.\w+|\+\d+ \(\d+\) \d+-\d+|\b\d+\.\d+\.\d+\.\d+\b|\b\d{16}\b|\b[0-9a-f]{40}\b"
+    forms = lambda v: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub(r"\d", "9", v)))
+    moved = {}
+    for r in rows:
+        old, new = re.findall(pattern, r["text"] or ""), re.findall(pattern, got[r["doc_id"]]["text"] or "")
+        assert got[r["doc_id"]]["n_entities"] == len(old) == len(new)
+        if not old:
+            assert got[r["doc_id"]]["text"] == r["text"]
+        for a, b in zip(old, new):
+            assert a != b and moved.setdefault(a, b) == b
+            if not re.fullmatch(r"[0-9a-f]{40}|[\d.]+", a):
+                assert forms(a) == forms(b)
+    assert moved and len(set(moved.values())) == len(moved)
+
+
+def test_surrogate_edges(spark):
+    text = "Mrs. Anna Schmidt met Herr Müller; a@b.co and A@b.co, 4111-1111-1111-1111, tel +1 (017) 555-7713, 10.0.0.1."
+    docs = documents(spark, [None, "", "no entity 12 here", text, text, "a@b.co" * 3000])
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymised(docs).collect()}
+    assert got[0] is None and got[1] == "" and got[2] == "no entity 12 here" and got[3] == got[4]
+    assert re.fullmatch(r"Mrs\. [A-Z][a-z]{2}a [A-Z][a-z]{5}t met Herr \w{6}; \w@\w\.co and [A-Z]@\w\.co, \d{4}-\d{4}-\d{4}-\d{4}, tel \+1 \(\d{3}\) \d{3}-\d{4}, \d+\.\d+\.\d+\.\d+\.", got[3])
+    assert pii.pseudonymised(docs).columns == docs.columns and pii.collisions(docs).count() == 0
+    assert pii.pseudonymised(docs.where("false")).count() == 0
+
+
+def test_permutation_is_one_to_one(spark):
+    df = spark.range(0, 3000).selectExpr("lpad(id, 4, '0') as v")
+    from pyspark.sql import functions as F
+
+    out = df.select("v", pii.permuted(F.col("v"), F.lit("k")).alias("s")).toPandas()
+    assert out["s"].nunique() == 3000 and out["s"].str.fullmatch(r"\d{4}").all()
+
+
+@pytest.fixture
+def pages(spark, tmp_path):
+    big = "<p>" + "x" * 1200
+    rows = [(1, "u1", big), (2, "u2", big), (3, None, big), (4, "u4", "short"), (5, "u5", "short"), (6, "u\r\n6", None), (7, "u7", "é" * 900), (8, "u8", "<p>" + "y" * 100_000)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    return str(tmp_path), rows
+
+
+def test_warc_round_trip(spark, pages):
+    path, rows = pages
+    got = {r["page_id"]: r for r in warc.archived(spark, path).collect()}
+    for i, url, html in rows:
+        raw = (html or "").encode()
+        g = got[i]
+        assert (g["payload_bytes"], g["payload_digest"]) == (len(raw), hashlib.sha1(raw).hexdigest())
+        assert (g["record_type"], g["refers_to"]) == (("revisit", 3) if i in (1, 2) else ("response", None))
+    assert got[3]["url"] is None and got[6]["url"] == "u%0D%0A6"
+
+
+def test_warc_pushdown_and_headers_only(spark, pages):
+    path, rows = pages
+    warc.register(spark)
+    out = warc.scratch(spark, "warc-test")
+    warc.records(spark.read.parquet(f"{path}/pages.parquet")).write.format("warc").mode("append").save(out)
+    df = spark.read.format("warc").load(out)
+    assert df.where("record_type = 'revisit'").count() == 2
+    assert [r["target_uri"] for r in df.where("record_id = 'urn:page:8' and record_type = 'response'").collect()] == ["u8"]
+    reader = warc.WarcReader(out, False)
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    assert list(reader.pushFilters([EqualTo(("record_type",), "revisit"), GreaterThan(("payload_bytes",), 5)])) == [GreaterThan(("payload_bytes",), 5)]
+    found = [b for p in reader.partitions() for b in reader.read(p)]
+    assert sum(b.num_rows for b in found) == 2 and all(b.column(6).null_count == b.num_rows for b in found)
+    empty = spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert warc.records(empty).count() == 0
+
+
+def test_pipeline(spark, sf_dir):
+    rows = {r["doc_id"]: r for r in table(sf_dir, "documents")}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "personal_data", "tokens"]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        docs = corpus_pipeline.stored(out, f"test-{name}")
+    kept = {r["doc_id"]: r for r in docs.collect()}
+    leaks = {r["doc_id"] for r in queries.op8_decontamination(spark, sf_dir).collect()}
+    heads = {r["doc_id"] for r in queries.op1_near_dedup(spark, sf_dir).where("representative").collect()}
+    assert set(kept) == {i for i in rows if i in heads and i not in leaks and re.search(r"[^\W\d_]", rows[i]["text"] or "")}
+    last = {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert last == {i: hashlib.sha256(r["text"].encode()).hexdigest() for i, r in kept.items()}

@@ -4,8 +4,8 @@ E-mail addresses, telephone numbers, IP addresses, card and account numbers, sec
 keyed surrogates of the same type and format. A surrogate is a keyed permutation of the original: each character moves
 within its own alphabet (digits, vowels, consonants; by case and script) by a shift that a keyed hash of the characters
 before it gives, once from the left and once from the right. So equal originals have equal surrogates wherever they occur
-(coreference), different ones have different surrogates (distinctness), and format, script and case stay; titles and a
-name's last letter, which carry its gender, stay too. collisions() checks distinctness over a corpus.
+(coreference), different ones have different surrogates (distinctness), and format, script and case stay; titles and the
+last letter of each of a name's words, which carry gender, stay too. collisions() checks distinctness over a corpus.
 
 Defined results: a null text stays null; a text without entities stays as it is, byte for byte; of overlapping entities
 the leftmost counts, at one place the first of the list below.
@@ -78,19 +78,23 @@ def kind_of(value: Column) -> Column:
 
 
 def surrogate(value: Column, key: str = KEY) -> Column:
-    """The replacement of one entity: what stays before, a permuted body, and what stays after (of an address, its domain
-    permuted on its own, so that one domain is one surrogate)."""
+    """The replacement of one entity: what stays before, a permuted body, and what comes after. An address's domain and a
+    name's second word are permuted on their own, so that one domain, or one family name, is one surrogate."""
     kind = kind_of(value)
-    domain = F.regexp_extract(value, r"@(.*)(\.\p{L}+)$", 1)
-    code = F.regexp_extract(value, r"^\+\d{1,3}", 0)
-    last = F.substring(value, -1, 1)
+    part = lambda pattern: F.regexp_extract(value, pattern, 1)
+    code = part(r"^(\+\d{1,3})")
+    ends = F.concat(part(r"^\S*(\S)(?: |$)"), F.substring(value, -1, 1))
     before = F.when(kind == "phone", code).otherwise("")
-    body = F.when(kind == "email", F.regexp_extract(value, "^(.*)@", 1)).when(kind == "phone", F.substring(value, F.length(code) + 1, F.length(value)))
-    body = body.when(kind == "name", F.substring(value, F.lit(1), F.length(value) - 1)).when(kind == "secret", F.lower(value)).otherwise(value)
-    own = F.concat(F.lit(f"{key}/"), kind, F.when(kind == "email", F.concat(F.lit("@"), F.lower(domain))).when(kind == "phone", code).when(kind == "name", last).otherwise(""))
+    body = F.when(kind == "email", part("^(.*)@")).when(kind == "phone", F.substring(value, F.length(code) + 1, F.length(value)))
+    body = body.when(kind == "name", part(r"^(\S*)\S(?: |$)")).when(kind == "secret", F.lower(value)).otherwise(value)
+    own = F.when(kind == "email", F.concat(F.lit("@"), F.lower(part("@(.*)$")))).when(kind == "phone", code).when(kind == "name", ends).otherwise("")
     rows = F.when(kind == "secret", F.array(F.lit(HEX))).otherwise(F.array(*[F.lit(a) for a in ALPHABETS]))
-    moved = permuted(body, own, rows)
-    after = F.when(kind == "email", F.concat(F.lit("@"), permuted(domain, F.lit(f"{key}/domain")), F.regexp_extract(value, r"(\.\p{L}+)$", 1))).when(kind == "name", last).otherwise("")
+    moved = permuted(body, F.concat(F.lit(f"{key}/"), kind, own), rows)
+    # of an address the domain, of a name the second word
+    glue = F.when(kind == "email", "@").when(kind == "name", part(r"^\S*(\S(?: |$))")).otherwise("")
+    second = F.when(kind == "email", part(r"@(.*)\.\p{L}+$")).when(kind == "name", part(r"^\S+ (.*)\S$")).otherwise("")
+    tail = F.when(kind == "email", part(r"(\.\p{L}+)$")).when(kind == "name", part(r"^\S+ .*(\S)$")).otherwise("")
+    after = F.concat(glue, permuted(second, F.lit(f"{key}/second")), tail)
     moved = F.when((kind == "secret") & F.regexp_like(value, F.lit("[A-F]")), F.upper(moved)).otherwise(moved)
     return F.when(kind == "ip", _ip(value, F.lit(f"{key}/ip"))).otherwise(F.concat(before, moved, after))
 

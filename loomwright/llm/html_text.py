@@ -84,16 +84,22 @@ def lines_of(page: str, strict: int = 2) -> list[Line]:
     """The page's lines in order."""
     out: list[Line] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, noise, article
+    stack: list[list] = []  # name, noise, article, and for noise inside a line where its text begins among the parts
     links = at = 0
     in_link = False
 
     def flush() -> None:
         nonlocal links
         if parts:
+            inside = [x for x in stack if x[3] is not None]
+            if inside:  # noise that is still open goes from this line, and from where the next one begins
+                del parts[inside[0][3] :]
+                for x in inside:
+                    x[3] = 0
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Line(text, bool(stack and stack[-1][1]), bool(stack and stack[-1][2]), links))
+                block = next((x for x in reversed(stack) if x[3] is None), ("", False, False))
+                out.append(Line(text, block[1], block[2], links))
             parts.clear()
         links = 0
 
@@ -129,10 +135,9 @@ def lines_of(page: str, strict: int = 2) -> list[Line]:
         if closes:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    if parts:
-                        noise = stack[i][1] and not (i and stack[i - 1][1])
-                        if noise:  # an inline element of noise inside a block: its text goes
-                            parts.clear()
+                    marks = [x[3] for x in stack[i:] if x[3] is not None]
+                    if marks:
+                        del parts[marks[0] :]
                     del stack[i:]
                     break
             continue
@@ -145,13 +150,13 @@ def lines_of(page: str, strict: int = 2) -> list[Line]:
                     break
                 if stack[i][0] in BLOCK:
                     break
-        above = stack[-1] if stack else ("", False, False)
+        above = stack[-1] if stack else ["", False, False, None]
         noise = above[1] or _noisy(name, m[3], above[2], strict)
         article = not noise and (above[2] or name in ("article", "main") or bool(m[3].strip()) and ((a := _attributes(m[3])).get("role") in ARTICLE_ROLES or bool(ARTICLE_NAMES.search(f"{a.get('class', '')} {a.get('id', '')} {a.get('itemprop', '')}"))))
-        if name in BLOCK or noise and not above[1]:
-            if noise and not above[1] and name not in BLOCK:
-                flush()
-            stack.append((name, noise, article))
+        if name in BLOCK:
+            stack.append([name, noise, article, None])
+        elif noise and not above[1]:
+            stack.append([name, True, False, len(parts)])
     flush()
     return out
 

@@ -117,6 +117,11 @@ def test_html_parts():
     assert "Buy" not in html_text.main_text(PAGE.replace('class="post-content"', ""))
 
 
+def test_html_noise_inside_a_line_leaves_one_block():
+    page = "<article><p>One <span class='ad'>buy <b>now</b></span> two <a class=share>tweet</a><br>three.<p>Four <button>ok<p>five</button> six</article>"
+    assert html_text.main_text(page) == "One two three.\nFour\nfive six"
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<p>", "<script>x", "<!-- only", "<nav>menu", "a < b"])
 def test_html_edges(page):
     assert html_text.main_text(page) == {"<nav>menu": "", "a < b": "a < b"}.get(page, "")

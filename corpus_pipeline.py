@@ -11,7 +11,7 @@ from loomwright.llm import bpe, decontam, langid, neardup, pii
 from loomwright.llm.common import stored, table
 from loomwright.llm.queries import RANKS
 
-#: A document closer to no profile than this is in no known language. Prose scores 0.4 and more, lists of figures below.
+#: A document closer to no profile than this is in no known language. The lowest score of a test document is 0.46.
 LEAST_LANGUAGE_SCORE = 0.1
 
 

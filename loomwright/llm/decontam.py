@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 WINDOW = 8
 SHORTEST = 4
 #: Windows on one diagonal that make an occurrence (or all windows of an item that has fewer).
@@ -65,7 +67,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return docs.select("doc_id").where("false").select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("item_id", "long"), ("diagonal", "int"), ("begin", "int"), ("windows", "long"), ("exact", "boolean"))])
     size = found.groupBy("doc_id", "item_id", "diagonal").agg(F.min("at").alias("begin"), F.max(F.col("at") + F.col("size")).alias("end"), F.countDistinct("at").alias("windows"))
     need = items.select("item_id", F.size("code").alias("n"), F.col("size").alias("w"), "words")
-    runs = size.join(need, "item_id").where(F.col("windows") >= F.least(F.lit(HITS), F.col("n") - F.col("w") + 1))
+    # few rows, of which two joins are made: the windows of all documents are not hashed twice
+    runs = stored(size.join(need, "item_id").where(F.col("windows") >= F.least(F.lit(HITS), F.col("n") - F.col("w") + 1)), "runs")
     own = docs.select("doc_id", "text").join(runs.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", tokens(F.col("text")).alias("theirs"))
     both = runs.join(own, "doc_id")
     # the item's slots within the run, and what the document has in their places

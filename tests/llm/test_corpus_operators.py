@@ -58,6 +58,20 @@ def test_near_duplicate_edges(spark):
     assert {r["doc_id"] for r in neardup.deduplicated(documents(spark, texts)).collect()} == {0, 1, 2, 3, 5, 8}
 
 
+def test_near_duplicates_through_a_common_neighbour(spark):
+    """Two texts that are not similar, and one between them that is similar to both: a leader's members stay in reach of the next one."""
+    texts = []
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(200)]
+        changed = lambda at: " ".join("new" if i in at else w for i, w in enumerate(base))
+        texts += [changed({20, 60, 100}), " ".join(base), changed({40, 80, 120})]
+    sets = [shingle_set(t) for t in texts[:3]]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert alike(0, 2) < 0.78 and min(alike(0, 1), alike(1, 2)) > 0.84
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(documents(spark, texts)).collect()}
+    assert got == {i: i - i % 3 for i in range(len(texts))}
+
+
 def test_weighted_samples_estimate_weighted_jaccard():
     a, b = (" ".join(f"w{i}" for i in r) for r in (range(0, 400), range(40, 440)))
     key, level, counts = neardup.shingles(*neardup.word_hashes([a, b]), np.ones(neardup.DF_BUCKETS))

@@ -4,16 +4,16 @@ Texts become shingles of five words, weighted by TF-IDF: how often a text has th
 document frequency of its words. Word frequencies are counted over all documents in a hashed table of fixed size. Samples
 of a text's weighted shingles are banded; what shares a band is verified by weighted Jaccard similarity.
 
-No group is ever paired with itself. Copies with equal words are one representative from the start. In each round a
-bucket's members are compared with one leader; the next leader is one of those that no leader has linked yet, and meets
-the linked members too, so that a text is found through any of its neighbours. A bucket is done when all its members are
-linked. From the third round on, what is left of it is cut by a longer key (one band more each round), so that buckets of
-texts which share only a passage fall apart; rounds go on until no bucket is left or
-the key holds all bands. Classes are the connected components
-of the verified links.
+Copies with equal words are one representative from the start. In each of LEADER_ROUNDS rounds a bucket's members are
+compared with one leader; the next leader is one of those that no leader has linked yet, and meets the linked members
+too. So large groups of copies are linked without pairing them with themselves. What is still apart in a bucket after
+that, linked or not, meets by an exact join that loses no pair of THRESHOLD: two texts must share one of the shingles that
+come first in an order common to all texts, rare ones first. Classes are the connected components of the verified links.
 
 Defined results: words are runs of ASCII letters and digits or non-ASCII characters, in lower case; a text of one to four
-words is one shingle; a text that is null or has no word is a class of its own; a class is named by its smallest id.
+words is one shingle; a text that is null or has no word is a class of its own; a class is named by its smallest id, by
+null if no member has one. Rows are told apart by id and text: those with null or repeated ids keep their texts, and each
+class has one representative (or several equal rows).
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ from .common import dropped, map_arrow, stored, texts_of
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
-#: Rounds under a bucket's own key; each later round adds a band to it.
-PLAIN_ROUNDS = 2
+#: Leaders of a bucket before the exact join.
+LEADER_ROUNDS = 2
+#: Hashed counts that order shingles by how rare they are; any order loses nothing.
+ORDER_BUCKETS = 1 << 18
 DF_BUCKETS = 1 << 16
 #: Weights are rounded to 4 steps an octave, from 1/4 to 1/4 * 2 ** (LEVELS / 4).
 LEVELS = 72
@@ -159,7 +161,7 @@ def word_idf(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf) -> DataFrame:  # noqa: ANN001  a broadcast
-    """id, fp1 and fp2 (of the words in order), bands (null if the text has no word)."""
+    """row, id, fp1 and fp2 (of the words in order), bands (null if the text has no word)."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         hashes, counts = word_hashes(texts_of(batch.column(1)))
@@ -178,13 +180,13 @@ def signatures(docs: DataFrame, idf) -> DataFrame:  # noqa: ANN001  a broadcast
             band = _mix(band * U(0xD6E8FEB86659FD93) + found[:, :, i] + U(i + 1))
         edges = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
         bands = pa.ListArray.from_arrays(pa.array(edges, mask=np.append(~some, False)), pa.array(band.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *fp, bands], ["id", "fp1", "fp2", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *fp, bands], ["row", "id", "fp1", "fp2", "bands"])
 
-    return map_arrow(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, fp1 bigint, fp2 bigint, bands array<bigint>", 1_500_000)
+    return map_arrow(docs, run, f"row bigint, id {docs.schema['id'].dataType.simpleString()}, fp1 bigint, fp2 bigint, bands array<bigint>", 1_500_000)
 
 
 def shingle_sets(docs: DataFrame, idf) -> DataFrame:  # noqa: ANN001
-    """id, keys (sorted hashes of 48 bits, each with its weight's level in the lowest 8)."""
+    """id (that of a row), keys (sorted hashes of 48 bits, each with its weight's level in the lowest 8)."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         key, level, counts = shingles(*word_hashes(texts_of(batch.column(1))), idf.value)
@@ -193,7 +195,7 @@ def shingle_sets(docs: DataFrame, idf) -> DataFrame:  # noqa: ANN001
         sets = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(packed.tobytes())])
         yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["id", "keys"])
 
-    return map_arrow(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, keys binary", 1_500_000)
+    return map_arrow(docs, run, "id bigint, keys binary", 1_500_000)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> float:
@@ -251,39 +253,108 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document: doc_id, class_id, representative (whether it names the class)."""
+def shingle_order(sets: DataFrame) -> np.ndarray:
+    """How many texts have a shingle, by its hash: ORDER_BUCKETS numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ORDER_BUCKETS, np.int64)
+        for batch in batches:
+            for keys in batch.column(0):
+                np.add.at(total, (np.frombuffer(keys.as_buffer(), U) >> U(8)).astype(np.int64) % ORDER_BUCKETS, 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
+
+    found = sets.select("keys").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(ORDER_BUCKETS, np.int64)
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, order) -> DataFrame:  # noqa: ANN001  a broadcast
+    """id, class, weight, shingle, first: the shingles one of which a text must share with a similar one.
+
+    Of two texts with weights a <= b, similar ones have at least t / (1 + t) * (a + b) in common, so 2t / (1 + t) of a and t
+    of b. If they share nothing among each one's first shingles, all they share comes after these in one of the two, and
+    weighs less than that. `first` marks the shorter list, which counts for the lighter text."""
+    short, long = 2 * THRESHOLD / (1 + THRESHOLD) - 1e-9, THRESHOLD - 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = level_weights()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2000):
+                part, rows, sums, found, firsts = batch.slice(a, 2000), [], [], [], []
+                for i, keys in enumerate(part.column(2)):
+                    own = np.frombuffer(keys.as_buffer(), U)
+                    shingle, w = own >> U(8), weights[(own & U(255)).astype(np.int64)]
+                    at = np.lexsort((shingle, order.value[shingle.astype(np.int64) % ORDER_BUCKETS]))
+                    total = w.sum()
+                    # what weighs the rest before each shingle is taken
+                    rest = total - np.concatenate([[0], np.cumsum(w[at])[:-1]])
+                    n = int((rest >= long * total).sum())
+                    rows.append(np.full(n, i))
+                    sums.append(np.full(n, total))
+                    found.append(shingle[at[:n]].astype(np.int64))
+                    firsts.append(rest[:n] >= short * total)
+                if rows:
+                    at = pa.array(np.concatenate(rows))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *(pa.array(np.concatenate(x)) for x in (sums, found, firsts))], ["id", "class", "weight", "shingle", "first"])
+
+    return sets.select("id", "class", "keys").mapInArrow(run, "id bigint, class bigint, weight double, shingle bigint, first boolean")
+
+
+def apart(shared: DataFrame, labels: DataFrame | None, sets: DataFrame) -> DataFrame:
+    """leader, member: all pairs of two classes that may be similar, of the texts whose bucket has more than one class."""
+    rows = shared.withColumn("class", F.col("rep")) if labels is None else shared.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    mixed = rows.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    ids = rows.join(mixed.repartition("low"), ["band", "key"]).select(F.col("rep").alias("id"), "class").distinct()
+    some = stored(sets.join(ids, "id"), "apart")
+    order = shared.sparkSession.sparkContext.broadcast(shingle_order(some))  # bounded: ORDER_BUCKETS numbers
+    found = stored(prefixes(some, order), "prefixes")
+    light = found.where("first").select("shingle", *[F.col(c).alias(f"light_{c}") for c in ("id", "class", "weight")])
+    # of the lighter and the heavier text; equal ones by id
+    close = (F.col("class") != F.col("light_class")) & (F.struct("light_weight", "light_id") < F.struct("weight", "id")) & (F.col("light_weight") >= (THRESHOLD - 1e-9) * F.col("weight"))
+    pairs = stored(light.join(found, "shingle").where(close).select(F.col("light_id").alias("leader"), F.col("id").alias("member")).distinct(), "pairs")
+    dropped(found)
+    dropped(some)
+    return pairs
+
+
+def row_key(key: str, text: str) -> "F.Column":
+    """What tells rows apart: a hash of id and text, as ids may be null or repeated."""
+    return F.xxhash64(F.col(key), F.col(text))
+
+
+def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """row, doc_id, class_id, representative for each document."""
     spark = docs.sparkSession
-    src = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    src = docs.select(row_key(key, text).alias("row"), F.col(text).alias("text"), F.col(key).alias("id"))
     idf = spark.sparkContext.broadcast(word_idf(src))  # bounded: DF_BUCKETS numbers
     every = stored(signatures(src, idf), "signatures")
-    reps = stored(every.where("bands is not null").groupBy("fp1", "fp2", "bands").agg(F.min("id").alias("rep")), "representatives")
-    keys = [F.col("bands")[i] for i in range(BANDS)]
+    name = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    reps = stored(every.where("bands is not null").groupBy("fp1", "fp2", "bands").agg(F.min(name).alias("name")).select("fp1", "fp2", "bands", F.col("name.row").alias("rep"), "name"), "representatives")
     live = reps.select("rep", F.posexplode("bands").alias("band", "key"), F.lit(True).alias("open"))
     links: DataFrame | None = None
     tested: DataFrame | None = None
-    sets: DataFrame | None = None
+    shared = sets = None
     done: list[DataFrame] = []
-    for k in range(PLAIN_ROUNDS + BANDS - 1):
-        more = k - PLAIN_ROUNDS + 1
-        if more == 1:  # few rows are left
-            live = live.join(reps.select("rep", "bands"), "rep")
-        if more > 0:
-            live = live.withColumn("key", F.xxhash64("key", F.get("bands", (F.col("band") + more) % BANDS)))
+    for k in range(LEADER_ROUNDS):
         heads = live.groupBy("band", "key").agg(F.min(F.when(F.col("open"), F.col("rep"))).alias("leader"), F.count("*").alias("n")).where("leader is not null and n > 1").drop("n")
         # dealt anew, so that a bucket of many members can be split in the join
-        led = stored(live.join(heads.repartition("leader"), ["band", "key"]).where("rep <> leader"), f"led{k}")
+        led = live.join(heads.repartition("leader"), ["band", "key"])
+        led = stored(led if shared is None else led.where("rep <> leader"), f"led{k}")
         done.append(led)
         if led.isEmpty():
             break
+        if shared is None:
+            shared, led = led.select("band", "key", "rep"), led.where("rep <> leader")
         pairs = led.select("leader", F.col("rep").alias("member")).distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["leader", "member"], "left_anti"), f"pairs{k}")
         tested = pairs if tested is None else tested.unionByName(pairs)
         done.append(pairs)
         if sets is None:  # later rounds have no other members
-            ids = pairs.select(F.col("leader").alias("id")).union(pairs.select("member")).distinct()
-            # texts are dealt by id at every size; only ids are hashed, and no text is sorted
-            wanted = src.join(ids.hint("shuffle_hash"), "id", "left_semi")
+            ids = shared.select(F.col("rep").alias("row")).distinct()
+            # texts are dealt by row at every size; only ids are hashed, and no text is sorted
+            wanted = src.join(ids.hint("shuffle_hash"), "row", "left_semi")
             sets = stored(shingle_sets(wanted, idf).dropDuplicates(["id"]), "sets")
             done.append(sets)
         new = verified(pairs, sets)
@@ -291,20 +362,35 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         done.append(links)
         linked = links.select("leader", F.col("member").alias("rep"), F.lit(True).alias("linked"))
         live = led.join(linked, ["leader", "rep"], "left").withColumn("open", F.col("open") & F.col("linked").isNull()).drop("leader", "linked")
-    own = every.join(reps.drop("bands"), ["fp1", "fp2"], "left").select("id", F.when(F.col("bands").isNull(), F.col("id")).otherwise(F.col("rep")).alias("rep"))
-    if links is None:
-        found = own.select("id", F.col("rep").alias("class"))
-    else:
-        found = own.join(components(links).withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("class", "rep").alias("class"))
+    own = every.join(reps.select("fp1", "fp2", "rep", "name"), ["fp1", "fp2"], "left").withColumn("none", F.col("bands").isNull())
+    own = own.select("row", "id", F.when(F.col("none"), F.col("row")).otherwise(F.col("rep")).alias("rep"), F.when(F.col("none"), name).otherwise(F.col("name")).alias("name"))
+    if links is not None:
+        labels = components(links)
+        more = apart(shared, labels, sets)
+        done.append(more)
+        if not more.isEmpty():
+            links = stored(links.unionByName(verified(more, sets)), "links")
+            done.append(links)
+            dropped(labels)
+            labels = components(links)
+        labels = labels.withColumnRenamed("id", "rep")
+        names = reps.select("rep", "name").join(labels, "rep").groupBy("class").agg(F.min("name").alias("first"))
+        named = stored(labels.join(names, "class").select("rep", "first"), "named")
+        own = own.join(named, "rep", "left").withColumn("name", F.coalesce("first", "name"))
     for df in done:
         dropped(df)
-    return found.select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"), (F.col("id") == F.col("class")).alias("representative"))
+    return own.select("row", F.col("id").alias("doc_id"), F.col("name.id").alias("class_id"), (F.col("row") == F.col("name.row")).alias("representative"))
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row per document: doc_id, class_id, representative (whether it names the class)."""
+    return _classes(docs, key, text).drop("row")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each class stays: the one that names it; of rows with one doc_id, one."""
-    keep = stored(classes(docs).where("representative").groupBy("doc_id").agg(F.count("*").alias("n")), "keep")
-    # dealt by id at every size, as in classes()
-    kept = docs.join(keep.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    # texts are sorted to find repeated rows only where an id is repeated
-    return (kept if keep.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])).select(*docs.columns)
+    """One document of each class stays: the one that names it; of rows with one doc_id and text, one."""
+    keep = stored(_classes(docs, "doc_id", "text").where("representative").groupBy("row").agg(F.count("*").alias("n")), "keep")
+    # dealt by row at every size, as in classes()
+    kept = docs.withColumn("row of text", row_key("doc_id", "text")).join(keep.select(F.col("row").alias("row of text")).hint("shuffle_hash"), "row of text", "left_semi")
+    # texts are sorted to find repeated rows only where one is repeated
+    return (kept if keep.where("n > 1").isEmpty() else kept.dropDuplicates(["row of text"])).select(*[F.col(f"`{c}`") for c in docs.columns])

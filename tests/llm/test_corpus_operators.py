@@ -10,6 +10,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomwright.llm import decontam, maxent, neardup, pii, queries, warc
@@ -72,6 +73,51 @@ def test_near_duplicates_through_a_common_neighbour(spark):
     assert got == {i: i - i % 3 for i in range(len(texts))}
 
 
+def test_near_duplicates_inside_a_template_cloud(spark):
+    """Texts of one template that share buckets but are not similar, with pairs among them that are."""
+    rng = np.random.default_rng(5)
+    template = [f"t{i}" for i in range(200)]
+
+    def filled(own):
+        return " ".join(" ".join([*template[10 * i : 10 * i + 10], *own[i : i + 1]]) if i % 10 == 5 else " ".join(template[10 * i : 10 * i + 10]) for i in range(20)) + " " + " ".join(own)
+
+    texts = []
+    for _ in range(600):
+        own = [f"f{i}" for i in rng.integers(0, 60, 20)]
+        texts += [filled(own), filled(own[:9] + [f"f{i}" for i in rng.integers(0, 60, 11)])]
+    idf = neardup.word_idf(documents(spark, texts).select("text"))
+    key, level, counts = neardup.shingles(*neardup.word_hashes(texts), idf)
+    packed = np.split((key << np.uint64(16)) >> np.uint64(8) | level, np.cumsum(counts)[:-1])
+    alike = lambda a, b: neardup.similarity(packed[a], packed[b], neardup.level_weights())
+    assert max(alike(a, b) for a in range(0, 40, 2) for b in range(a + 2, 40)) < 0.79
+    pairs = [i for i in range(0, len(texts), 2) if alike(i, i + 1) >= 0.8]
+    assert len(pairs) > 500 and min(alike(i, i + 1) for i in pairs) < 0.84
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(documents(spark, texts)).collect()}
+    assert sum(got[i] == got[i + 1] for i in pairs) >= 0.99 * len(pairs)
+    assert all(got[i] // 2 == i // 2 for i in got)
+
+
+def test_near_duplicates_between_two_leaders_groups(spark):
+    """A pair of which neither is a leader, in groups that nothing else links, meets in the exact join."""
+    rows = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (0, 4)], "band int, rep long").withColumn("key", F.lit(7).cast("long"))
+    base = [f"w{i}" for i in range(200)]
+    texts = {2: base, 4: [*base[:195], "x", *base[196:]], 1: ["a"] * 80 + base, 3: base[60:] + [f"b{i}" for i in range(60)]}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id long, text string")
+    idf = spark.sparkContext.broadcast(np.ones(neardup.DF_BUCKETS))
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "id long, class long")
+    sets = neardup.shingle_sets(docs, idf)
+    assert (2, 4) in {tuple(sorted(r)) for r in neardup.apart(rows, labels, sets).collect()}
+
+
+def test_near_duplicates_keep_rows_of_null_and_repeated_ids(spark):
+    words = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(None, words("a")), (None, words("b")), (7, words("c")), (7, words("d")), (8, words("d")), (7, words("c"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r["text"] for r in neardup.deduplicated(docs).collect()) == [words(c) for c in "abcd"]
+    got = sorted(((r["doc_id"], r["class_id"]) for r in neardup.classes(docs).collect()), key=str)
+    assert got == [(7, 7)] * 3 + [(8, 7)] + [(None, None)] * 2
+
+
 def test_weighted_samples_estimate_weighted_jaccard():
     a, b = (" ".join(f"w{i}" for i in r) for r in (range(0, 400), range(40, 440)))
     key, level, counts = neardup.shingles(*neardup.word_hashes([a, b]), np.ones(neardup.DF_BUCKETS))

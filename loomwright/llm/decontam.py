@@ -1,13 +1,15 @@
 """Benchmark decontamination by template windows, in DataFrame expressions only.
 
 Numbers, names and units of a text become typed placeholders; each window of WINDOW tokens of the template is hashed and
-joined with the benchmark's windows. Hits on one diagonal (document position minus item position) are one occurrence of a
-passage. Where it covers placeholders, its slots must be consistent: one benchmark value always stands for one value of
-the document and the reverse. So a question with other numbers is caught, and a text that merely has numbers is not.
+joined with the benchmark's windows; windows of few plain words are joined by their own tokens. Hits on one diagonal
+(document position minus item position) are one occurrence of a passage. Within each run of contiguous hits the slots
+must be consistent: one benchmark value always stands for one value of the document and the reverse; of a run that is
+not, the windows with equal tokens count. So a question with other numbers is caught, and a text that merely has numbers
+is not.
 
 Defined results: null texts have no tokens; items shorter than WINDOW tokens are one window of their own length, items
-of fewer than SHORTEST tokens or mostly placeholders are not looked for; repeated items are found each; repeated rows of
-a document are found once.
+of fewer than SHORTEST tokens are not looked for; repeated items are found each; repeated rows of a document are found
+once.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ WINDOW = 8
 SHORTEST = 4
 #: Windows on one diagonal that make an occurrence (or all windows of an item that has fewer).
 HITS = 3
-#: A window must have this share of plain words.
+#: A window with a smaller share of plain words is joined by its own tokens.
 PLAIN = 0.6
 #: Benchmark windows that may be broadcast; beyond it the join shuffles.
 BROADCAST_WINDOWS = 400_000
@@ -42,10 +44,16 @@ def codes(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(w >= ":", F.xxhash64(w)).when(w < "\u0002", F.lit(NAME).cast("long")).when(w < "\u0003", F.lit(UNIT).cast("long")).otherwise(F.lit(NUMBER).cast("long")))
 
 
-def windows(code: Column, size: int) -> Column:
-    """The hash of each window, by position."""
+def windows(code: Column, words: Column, size: int) -> Column:
+    """The hash of each window, by position: of its template, or of its tokens where few of them are plain words."""
     n = F.size(code) - size + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[F.get(code, i + j) for j in range(size)])))
+
+    def window(i: Column) -> Column:
+        own = [F.get(code, i + j) for j in range(size)]
+        plain = sum((((c < NAME) | (c > NUMBER)).cast("int") for c in own), F.lit(0))
+        return F.when(plain >= PLAIN * size, F.xxhash64(*own)).otherwise(F.xxhash64(F.lit("tokens"), *[F.get(words, i + j) for j in range(size)]))
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), window))
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -53,31 +61,39 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", tokens(F.col("text")).alias("words")).select("item_id", "words", codes(F.col("words")).alias("code")).where(F.size("code") >= SHORTEST)
     items = items.withColumn("size", F.least(F.size("code"), F.lit(WINDOW)))
     sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most WINDOW values
-    texts = docs.select("doc_id", tokens(F.col("text")).alias("words")).select("doc_id", codes(F.col("words")).alias("code"))
+    texts = docs.select("doc_id", tokens(F.col("text")).alias("words")).select("doc_id", "words", codes(F.col("words")).alias("code"))
     found = None
     for size in sizes:
-        plain = F.size(F.filter(F.slice("code", F.col("at") + 1, size), lambda c: (c < NAME) | (c > NUMBER))) >= PLAIN * size
-        wanted = items.where(F.col("size") == size).select("item_id", "code", F.posexplode(windows(F.col("code"), size)).alias("at", "window"))
-        wanted = wanted.where(plain).select("item_id", "at", "window")
+        wanted = items.where(F.col("size") == size).select("item_id", F.posexplode(windows(F.col("code"), F.col("words"), size)).alias("at", "window"))
         small = wanted.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-        seen = texts.select("doc_id", F.posexplode(windows(F.col("code"), size)).alias("place", "window"))
+        seen = texts.select("doc_id", F.posexplode(windows(F.col("code"), F.col("words"), size)).alias("place", "window"))
         hits = seen.join(F.broadcast(wanted) if small else wanted, "window").select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("diagonal"), "at", F.lit(size).alias("size"))
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return docs.select("doc_id").where("false").select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("item_id", "long"), ("diagonal", "int"), ("begin", "int"), ("windows", "long"), ("exact", "boolean"))])
-    size = found.groupBy("doc_id", "item_id", "diagonal").agg(F.min("at").alias("begin"), F.max(F.col("at") + F.col("size")).alias("end"), F.countDistinct("at").alias("windows"))
-    need = items.select("item_id", F.size("code").alias("n"), F.col("size").alias("w"), "words")
+    need = items.select("item_id", F.least(F.lit(HITS), F.size("code") - F.col("size") + 1).alias("need"), "size", "words")
+    every = found.groupBy("doc_id", "item_id", "diagonal").agg(F.array_sort(F.collect_set("at")).alias("ats")).join(need.drop("words", "size"), "item_id").where(F.size("ats") >= F.col("need"))
+    # contiguous hits: their place in the list grows as their position does
+    spread = every.select("doc_id", "item_id", "diagonal", F.posexplode("ats").alias("rank", "at"))
+    islands = spread.groupBy("doc_id", "item_id", "diagonal", (F.col("at") - F.col("rank")).alias("island")).agg(F.min("at").alias("begin"), F.max("at").alias("last"), F.count("*").alias("windows"))
     # few rows, of which two joins are made: the windows of all documents are not hashed twice
-    runs = stored(size.join(need, "item_id").where(F.col("windows") >= F.least(F.lit(HITS), F.col("n") - F.col("w") + 1)), "runs")
+    runs = stored(islands.drop("island"), "runs")
     own = docs.select("doc_id", "text").join(runs.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", tokens(F.col("text")).alias("theirs"))
-    both = runs.join(own, "doc_id")
+    both = runs.join(need, "item_id").join(own, "doc_id").withColumn("span", F.sequence(F.col("begin"), F.col("last") + F.col("size") - 1))
     # the item's slots within the run, and what the document has in their places
-    slots = F.filter(F.sequence(F.col("begin"), F.col("end") - 1), lambda i: F.get("words", i) < ":")
+    slots = F.filter("span", lambda i: F.get("words", i) < ":")
     pairs = F.transform(slots, lambda i: F.struct(F.get("words", i).alias("a"), F.get("theirs", i + F.col("diagonal")).alias("b")))
     both = both.withColumn("pairs", F.array_distinct(pairs))
     n = F.size("pairs")
     one = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    return both.where((one("a") == n) & (one("b") == n)).select("doc_id", "item_id", "diagonal", "begin", "windows", F.forall("pairs", lambda p: p["a"] == p["b"]).alias("exact"))
+
+    def equal(acc: Column, i: Column) -> Column:
+        length = F.when(F.get("words", i) == F.get("theirs", i + F.col("diagonal")), acc["length"] + 1).otherwise(F.lit(0))
+        return F.struct(length.alias("length"), (acc["hits"] + (length >= F.col("size")).cast("int")).alias("hits"))
+
+    same = F.aggregate("span", F.struct(F.lit(0).alias("length"), F.lit(0).alias("hits")), equal, lambda acc: acc["hits"])
+    counted = both.select("doc_id", "item_id", "diagonal", "begin", "need", F.when((one("a") == n) & (one("b") == n), F.col("windows")).otherwise(same).alias("windows"), F.forall("pairs", lambda p: p["a"] == p["b"]).alias("exact"))
+    return counted.groupBy("doc_id", "item_id", "diagonal").agg(F.min("begin").alias("begin"), F.sum("windows").alias("windows"), F.min("exact").alias("exact"), F.first("need").alias("need")).where("windows >= need").drop("need")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

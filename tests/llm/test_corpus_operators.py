@@ -202,6 +202,18 @@ def test_other_numbers_and_names_are_caught_if_consistent(spark):
     assert {r["doc_id"] for r in decontam.decontaminated(docs, bench).collect()} == {0, 1, 4, 5, 6}
 
 
+def test_decontamination_of_edited_and_number_items(spark):
+    """One edited value in a long copy, a rewritten middle, and items whose windows are mostly placeholders."""
+    head, tail, first, last = (" ".join(f"{p}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)) for p in "htfl")
+    item = f"{head} take 5 apples and {tail} then take 5 more apples from there"
+    middle = f"{first} one day Anna went to the sea and saw Anna there {last}"
+    numbers = "1 2 3 4 5 6 7 8 9 10 rows of numbers"
+    short = "7 8 9 10 and 11"
+    docs = documents(spark, [item.replace("take 5 more", "take 6 more"), middle.replace("saw Anna there", "near river banks"), f"See {numbers} here", "See 2 3 4 5 6 7 8 9 10 11 rows of numbers here", f"See {short} here", "See 7 8 9 10 and 12 here"])
+    bench = spark.createDataFrame([(1, item), (2, middle), (3, numbers), (4, short)], "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()} == {(0, 1), (1, 2), (2, 3), (4, 4)}
+
+
 def test_surrogates(spark, sf_dir):
     rows = table(sf_dir, "documents")
     got = {r["doc_id"]: r for r in queries.op3_pii_surrogates(spark, sf_dir).collect()}

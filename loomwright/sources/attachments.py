@@ -1,7 +1,7 @@
 """Text of attached documents, read with format binaryFile and told apart by their first bytes.
 
-Zip-based formats are read with the standard library; PDF and the older office format need optional packages, without
-which their text is empty. The parsers are small helpers: Spark reads, splits and picks.
+Zip-based formats are read with the standard library; PDF needs an optional package, without which its text is empty. The
+older office format (HWP, kind ole) is told apart but not read: its text is empty. The parsers are small helpers: Spark reads, splits and picks.
 """
 
 from __future__ import annotations
@@ -16,9 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: A part larger than this when unpacked is not read.
-MOST_BYTES = 50_000_000
-
 
 def kind(content: Column, name: Column) -> Column:
     """pdf, ole, docx, hwpx or null."""
@@ -30,19 +27,21 @@ def kind(content: Column, name: Column) -> Column:
 
 
 def _paragraphs(data: bytes, wanted) -> list[str]:  # noqa: ANN001
+    """The paragraphs of all wanted parts; of a part without any, its bare text elements; a broken part is left out."""
     out: list[str] = []
+    local = lambda e: str(e.tag).rpartition("}")[2].lower()
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for name in sorted(n for n in z.namelist() if wanted(n.lower())):
-                if z.getinfo(name).file_size > MOST_BYTES:
+                try:
+                    with z.open(name) as part:
+                        root = ElementTree.parse(part).getroot()
+                except Exception:  # broken XML, checksum, compression or encoding
                     continue
-                root = ElementTree.fromstring(z.read(name))
-                local = lambda e: e.tag.rpartition("}")[2].lower()
-                for p in (e for e in root.iter() if local(e) == "p"):
-                    text = "".join(e.text or "" for e in p.iter() if local(e) in ("t", "text"))
-                    if text.strip():
-                        out.append(text)
-    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, OSError):
+                texts = lambda e: [x.text or "" for x in e.iter() if local(x) in ("t", "text")]
+                found = [e for e in root.iter() if local(e) == "p"]
+                out += [x for x in (["".join(texts(p)) for p in found] if found else texts(root)) if x.strip()]
+    except (zipfile.BadZipFile, KeyError, OSError):
         return []
     return out
 

@@ -36,6 +36,16 @@ def test_attachments(spark):
     assert {r["id"]: r["text"] for r in attachments.longest(got, "id").collect()}[1] == "one & two\nthree"
 
 
+def test_attachment_parts_that_are_broken_bare_or_large():
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("Contents/section0.xml", "<s><p><t>first</t></p></s>")
+        z.writestr("Contents/section1.xml", "<s><p><t>broken")
+        z.writestr("Contents/section2.xml", "<s><t>bare</t><t>text</t></s>")
+        z.writestr("Contents/section3.xml", "<s>" + " " * 50_000_001 + "<p><t>large</t></p></s>")
+    assert attachments._hwpx(data.getvalue()) == ["first", "bare", "text", "large"]
+
+
 def test_index_replaces_a_date(spark):
     old = spark.createDataFrame([("2026-08-01", 1), ("2026-08-02", 2)], "date string, n int")
     new = spark.createDataFrame([("2026-08-02", 9), ("2026-08-03", 3)], "date string, n int")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_phrase
+from .lineage import checkpointing
 
 # --- fixed values: the ceiling of importance for each level of change ------------------------------------------------
 CHANGE_LEVEL_CAPS = {"routine_operation": 2, "project_change": 3, "policy_change": 4, "system_change": 5}
@@ -83,9 +84,7 @@ def repaired(rows: DataFrame, faulty: Callable[[DataFrame], Column], repair: Cal
     """Repairs what is faulty for at most `rounds` rounds; adds `rounds` (how many a row went through) and `ok`.
 
     Each round is checkpointed: a lost executor repeats no agent's call."""
-    spark = rows.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/loomwright-checkpoints")
+    checkpointing(rows.sparkSession)
     now = rows.withColumn("rounds", F.lit(0))
     for _ in range(rounds):
         now = now.withColumn("_bad", faulty(now)).checkpoint()

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import checkpointing
+
 
 def first_by(df: DataFrame, keys: Sequence[str], *order: Column, n: int = 1) -> DataFrame:
     """The first n rows of each key. Spark limits each partition's groups before it shuffles them."""
@@ -58,15 +60,19 @@ def merged_lists(kept: Column, added: Column, field: str) -> Column:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """id, component (the smallest id) of an undirected graph by label propagation; each round goes through a checkpoint."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/loomwright-checkpoints")
+    """id, component (the smallest id) of an undirected graph. Each round takes the smallest label among the neighbours and
+    then the label of that label, so that a chain of n ids takes about log n rounds; each goes through a checkpoint."""
+    checkpointing(edges.sparkSession)
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(b, a)).distinct().checkpoint()
     labels = both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.col("x")).alias("component")).checkpoint()
     while True:
-        near = both.join(labels, both["y"] == labels["id"]).groupBy("x").agg(F.min("component").alias("near"))
-        now = labels.join(near, labels["id"] == near["x"]).select("id", F.col("component").alias("was"), F.least("component", "near").alias("component")).checkpoint()
+        near = both.join(labels.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.min("component").alias("near"))
+        best = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        # whoever a label names may by now be known under a smaller one, and so may all whom the old label names
+        told = best.groupBy(F.col("was").alias("component")).agg(F.min("component").alias("told"))
+        step = best.withColumnRenamed("component", "label").join(told.withColumnRenamed("component", "was"), "was").select("id", "was", F.least("label", "told").alias("label"))
+        jump = labels.select(F.col("id").alias("label"), F.col("component").alias("root"))
+        now = step.join(jump, "label", "left").select("id", "was", F.least("label", F.coalesce("root", "label")).alias("component")).checkpoint()
         labels = now.select("id", "component")
         if now.where("was <> component").isEmpty():
             return labels

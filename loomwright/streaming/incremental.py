@@ -7,16 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/loomwright-{spark.sparkContext.applicationId}"
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+from ..operators.lineage import shared_dir
 
 
 def merged_counts(spark: SparkSession, source: str, keys: list[str], at: str, files_per_batch: int = 1) -> DataFrame:
     """Count and latest `at` per key. Each batch is aggregated and written under its number, so that a batch that runs
     again overwrites itself; the parts are merged on reading."""
-    root = shared_folder(spark)
+    root = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     schema = spark.read.parquet(source).schema
     # a single file is streamed through its folder and a filter on its name
     folder, name = source.rsplit("/", 1)

@@ -73,3 +73,9 @@ def test_feed_items(spark):
     assert (got[0]["title"], got[0]["publisher"], str(got[0]["published"])) == ("A - b & c", "Paper", "2026-08-04")
     assert (got[1]["title"], got[1]["publisher"], got[1]["published"]) == ("No dash", "Src", None)
     assert markup.first_per_id(markup.feed_items(df, "id", "xml"), r"idxno=(\d+)", ["id"]).count() == 1
+
+
+def test_components_of_a_long_chain_take_few_rounds(spark):
+    edges = spark.range(0, 1000).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(5000, 5001), (5001, 5000)], "a long, b long"))
+    got = {r["id"]: r["component"] for r in tables.components(edges).collect()}
+    assert got == {**{i: 0 for i in range(1001)}, 5000: 5000, 5001: 5000}

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_dir
+
 _serial = itertools.count()
 
 
@@ -17,14 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one under /tmp where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir() or f"file:///tmp/loomwright-{spark.sparkContext.applicationId}"
-    return base.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/loomwright/{spark.sparkContext.applicationId}/{name}-{next(_serial)}"
@@ -68,7 +62,7 @@ def texts_of(column: pa.Array) -> list[str]:
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, limit: int = 4_000_000, by: str = "text") -> DataFrame:
-    """mapInArrow whose function gets pieces of a batch with about `limit` bytes in column `by`."""
+    """mapInArrow whose function gets pieces of a batch with about `limit` bytes in column `by` (or struct.field)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
@@ -76,7 +70,9 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(by))), 0)
+            name, *field = by.split(".", 1)
+            column = batch.column(batch.schema.get_field_index(name))
+            sizes = pc.fill_null(pc.binary_length(pc.struct_field(column, field) if field else column), 0)
             for a, b in slices(np.asarray(sizes), limit):
                 yield from f(batch.slice(a, b - a))
 

@@ -4,8 +4,10 @@ A language's profile ranks its most frequent letter n-grams (1 to 3, word ends m
 compared with each profile by the out-of-place distance: the sum over the document's n-grams of how far their ranks are
 apart, or a fixed maximum where the profile lacks one. Profiles are counted over all rows to learn from.
 
-Defined results: a text that is null or has no letter is `und` with score 0, as is every text if there is nothing to
-learn from; equal counts rank by n-gram code, equal distances by language name; rows whose language is null teach nothing.
+Defined results: a text that is null or has no letter (combining marks alone are none) is `und` with score 0, as is every
+text if there is nothing to learn from; equal counts rank by n-gram code, equal distances by language name; rows whose
+language is null teach nothing. Repeated rows count, and are answered, each. Texts of any length are read whole, a piece of
+a batch at a time. Columns of docs other than the key, text and language are not read.
 """
 
 from __future__ import annotations
@@ -16,16 +18,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, map_arrow, texts_of
+from .common import dropped, held_out, map_arrow, stored, texts_of
 
 #: n-grams in a profile and in a document's ranking.
 PROFILE = 400
 #: Longer profiles than this would mean that the language column is no language column.
 MAX_LANGUAGES = 2_000
 SALTS = 16
+#: Bytes of text that are counted at a time: a worker holds some forty times as much.
+SLICE = 500_000
 
 
 @lru_cache(1)
@@ -95,20 +100,17 @@ def learned(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str
             [pa.array(names[some // max(1, len(codes))].tolist(), pa.string()), pa.array(codes[some % max(1, len(codes))].view(np.int64)), pa.array(total[some].astype(np.int64))], ["lang", "gram", "n"]
         )
 
-    counts = map_arrow(src, run, "lang string, gram bigint, n bigint", 4_000_000).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # the best of each salt, then the best of all: what the driver gets is bounded by languages, salts and PROFILE
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("lang", "salt").orderBy(F.desc("n"), "gram")
-    best = counts.withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(SALTS))).withColumn("k", F.row_number().over(w)).where(F.col("k") <= PROFILE)
-    rows = best.select("lang", "gram", "n").limit(MAX_LANGUAGES * SALTS * PROFILE).toPandas()
-    out = {}
-    for name, x in rows.groupby("lang", sort=True):
-        x = x.sort_values(["n", "gram"], ascending=[False, True]).head(PROFILE)
-        out[str(name)] = x["gram"].to_numpy(np.int64)
-    if len(out) > MAX_LANGUAGES:
+    counts = map_arrow(src, run, "lang string, gram bigint, n bigint", SLICE).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # the best of each salt, then the best of all: no window holds more than SALTS * PROFILE rows or one salt's n-grams
+    first = Window.partitionBy("lang", "salt").orderBy(F.desc("n"), "gram")
+    salted = counts.withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(SALTS))).withColumn("k", F.row_number().over(first)).where(F.col("k") <= PROFILE)
+    best = stored(salted.select("lang", "gram", "n"), "profiles")
+    if best.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return out
+    last = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    rows = best.withColumn("k", F.row_number().over(last)).where(F.col("k") <= PROFILE).select("lang", "gram", "k").toPandas()  # at most MAX_LANGUAGES x PROFILE
+    dropped(best)
+    return {str(name): x.sort_values("k")["gram"].to_numpy(np.int64) for name, x in rows.groupby("lang", sort=True)}
 
 
 def predicted(texts: list[str], names: list[str], codes: np.ndarray, ranks: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -131,31 +133,34 @@ def predicted(texts: list[str], names: list[str], codes: np.ndarray, ranks: np.n
     far[known] = np.where(there < PROFILE, np.abs(there - place[known, None]), PROFILE)
     total = np.stack([np.bincount(r, far[:, i], n_texts) for i in range(len(names))], 1)
     best = total.argmin(1)
-    some = counts > 0
+    # marks join the n-grams of their words, but are no letters themselves
+    some = np.array([n > 0 and any(map(str.isalpha, t)) for n, t in zip(counts.tolist(), texts)], bool)
     worst = np.maximum(np.bincount(r, minlength=n_texts) * PROFILE, 1)
     score = np.where(some, 1 - total[np.arange(n_texts), best] / worst, 0)
     return [names[b] if s else "und" for b, s in zip(best, some)], np.clip(score, 0, 1)
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, lang_pred string, score double."""
+def identify(docs: DataFrame, profiles: dict[str, np.ndarray], row: str, text: str = "text") -> DataFrame:
+    """row (a struct column with the text among its fields), lang_pred string, score double."""
     names = sorted(profiles)
     codes = np.unique(np.concatenate([profiles[x].view(np.uint64) for x in names])) if names else np.zeros(0, np.uint64)
     ranks = np.full((len(codes), len(names)), PROFILE, np.int32)
     for i, x in enumerate(names):
         ranks[np.searchsorted(codes, profiles[x].view(np.uint64)), i] = np.arange(len(profiles[x]))
-    model = docs.sparkSession.sparkContext.broadcast((names, codes, ranks))  # bounded: languages x PROFILE
-    src = docs.select(F.col(key), F.col(text).alias("text"))
+    model = docs.sparkSession.sparkContext.broadcast((names, codes, ranks))  # bounded: MAX_LANGUAGES x PROFILE
+    src = docs.select(row)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lang, score = predicted(texts_of(batch.column(1)), *model.value)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], [key, "lang_pred", "score"])
+        column = batch.column(0)
+        lang, score = predicted(texts_of(pc.struct_field(column, text)), *model.value)
+        yield pa.RecordBatch.from_arrays([column, pa.array(lang, pa.string()), pa.array(score)], [row, "lang_pred", "score"])
 
-    return map_arrow(src, run, f"{key} {src.schema[key].dataType.simpleString()}, lang_pred string, score double", 2_000_000)
+    return map_arrow(src, run, f"`{row}` {src.schema[row].dataType.simpleString()}, lang_pred string, score double", SLICE, f"{row}.{text}")
 
 
 def languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for all documents, learning from those not held out."""
     held = docs.select("doc_id", held_out("doc_id", 4).alias("held_out"), "text", "lang")
-    found = identify(held.select(F.struct("doc_id", "held_out").alias("id"), "text"), learned(held.where(~F.col("held_out"))), key="id")
-    return found.select("id.doc_id", "id.held_out", "lang_pred", "score")
+    rows = held.select(F.struct("doc_id", "held_out", "text").alias("row"))
+    found = identify(rows, learned(held.where(~F.col("held_out"))), "row")
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score")

@@ -23,19 +23,25 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, map_arrow, stored, texts_of
+from .common import dropped, map_arrow, slices, stored, texts_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 12, 4
+#: A pair at exactly THRESHOLD shares no band with probability (1 - 0.8 ** 4) ** 20, about 3 in 100,000.
+BANDS, ROWS = 20, 4
 #: Leaders of a bucket before the exact join.
 LEADER_ROUNDS = 2
 #: Hashed counts that order shingles by how rare they are; any order loses nothing.
 ORDER_BUCKETS = 1 << 18
-DF_BUCKETS = 1 << 16
+#: Hashed counts of words: a count is that of the word and of the rare words that fall on it.
+DF_BITS = 18
+DF_BUCKETS = 1 << DF_BITS
+#: Bytes of text that are hashed at a time.
+SLICE = 500_000
 #: Weights are rounded to 4 steps an octave, from 1/4 to 1/4 * 2 ** (LEVELS / 4).
 LEVELS = 72
 DRAWS = 1 << 13
@@ -50,7 +56,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@lru_cache(1)
+@lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     p = 0x9E3779B97F4A7C15
     inverse = pow(p, -1, 1 << 64)
@@ -87,7 +93,7 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[n
     ends = np.cumsum(counts)
     text = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(hashes)) - (ends - counts)[text]
-    weight = idf[(hashes >> U(48)).astype(np.int64)]
+    weight = idf[(hashes >> U(64 - DF_BITS)).astype(np.int64)]
     parts = []
     for n in range(1, SHINGLE + 1):
         at = np.flatnonzero(place + SHINGLE <= counts[text]) if n == SHINGLE else np.flatnonzero((counts[text] == n) & (place == 0))
@@ -146,10 +152,11 @@ def word_idf(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(DF_BUCKETS + 1, np.int64)
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                hashes, counts = word_hashes(texts_of(batch.column(0).slice(a, 500)))
-                seen = np.unique(np.repeat(np.arange(len(counts)), counts) * DF_BUCKETS + (hashes >> U(48)).astype(np.int64))
-                total[:-1] += np.bincount(seen % DF_BUCKETS, minlength=DF_BUCKETS)
+            for a, b in slices(np.asarray(pc.fill_null(pc.binary_length(batch.column(0)), 0)), SLICE):
+                hashes, counts = word_hashes(texts_of(batch.column(0).slice(a, b - a)))
+                seen = np.unique(np.repeat(np.arange(len(counts)), counts) << DF_BITS | (hashes >> U(64 - DF_BITS)).astype(np.int64))
+                bucket, n = np.unique(seen & (DF_BUCKETS - 1), return_counts=True)
+                total[bucket] += n
             total[-1] += batch.num_rows
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
@@ -182,7 +189,7 @@ def signatures(docs: DataFrame, idf) -> DataFrame:  # noqa: ANN001  a broadcast
         bands = pa.ListArray.from_arrays(pa.array(edges, mask=np.append(~some, False)), pa.array(band.ravel().view(np.int64)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *fp, bands], ["row", "id", "fp1", "fp2", "bands"])
 
-    return map_arrow(docs, run, f"row bigint, id {docs.schema['id'].dataType.simpleString()}, fp1 bigint, fp2 bigint, bands array<bigint>", 1_500_000)
+    return map_arrow(docs, run, f"row bigint, id {docs.schema['id'].dataType.simpleString()}, fp1 bigint, fp2 bigint, bands array<bigint>", SLICE)
 
 
 def shingle_sets(docs: DataFrame, idf) -> DataFrame:  # noqa: ANN001
@@ -195,7 +202,7 @@ def shingle_sets(docs: DataFrame, idf) -> DataFrame:  # noqa: ANN001
         sets = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(packed.tobytes())])
         yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["id", "keys"])
 
-    return map_arrow(docs, run, "id bigint, keys binary", 1_500_000)
+    return map_arrow(docs, run, "id bigint, keys binary", SLICE)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> float:
@@ -376,6 +383,7 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
         labels = labels.withColumnRenamed("id", "rep")
         names = reps.select("rep", "name").join(labels, "rep").groupBy("class").agg(F.min("name").alias("first"))
         named = stored(labels.join(names, "class").select("rep", "first"), "named")
+        done.append(labels)
         own = own.join(named, "rep", "left").withColumn("name", F.coalesce("first", "name"))
     for df in done:
         dropped(df)

@@ -196,3 +196,33 @@ def test_flac_query_and_blocks(spark):
     assert tuple(got[5])[1:] == tuple(got[6])[1:]
     rows = flac.blocks(flac.from_flac(flac.to_flac(flac.payloads(documents(spark, texts))))).where("doc_id = 4").orderBy("offset").collect()
     assert b"".join(bytes(r["samples"]) for r in rows)[:6000] == texts[4].encode() and rows[1]["offset"] == flac.BLOCK
+
+
+def test_language_of_marks_alone_and_against_brute_force(spark):
+    """The out-of-place distance, n-gram by n-gram."""
+    from collections import Counter
+
+    texts = ["́̈ ́", "the cat and the hat", "le chat et la souris", "the souris", None]
+    docs = documents(spark, texts)
+    rows = docs.select(F.struct("doc_id", "text").alias("row"))
+    profiles = langid.learned(docs.where("doc_id in (1, 2)"))
+    got = {r["row"]["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(rows, profiles, "row").collect()}
+    assert got[0] == got[4] == ("und", 0.0)
+
+    def grams(t):
+        chars = "".join(c if c.isalpha() else "\0" for c in f"\0{t.lower()}\0")
+        code = lambda c: sum(ord(x) << 21 * i for i, x in enumerate(reversed(c))) + {1: 0, 2: 1 << 62, 3: 1 << 63}[len(c)]
+        n = Counter(code(x) for k in range(1, len(chars) - 1) if chars[k] != "\0" for x in (chars[k], chars[k - 1 : k + 1], chars[k - 1 : k + 2]))
+        signed = lambda g: g - (1 << 64) if g >> 63 else g
+        return n, signed
+
+    def ranking(t, key):
+        n, signed = grams(t)
+        return sorted(n, key=lambda g: (-n[g], signed(g) if key else g))[: langid.PROFILE]
+
+    for i in (1, 2, 3):
+        own, best = ranking(texts[i], False), []
+        for lang in sorted(profiles):
+            theirs = {g: k for k, g in enumerate(ranking(texts[{"en": 1, "fr": 2}[lang]], True))}
+            best.append(sum(abs(theirs[g] - k) if g in theirs else langid.PROFILE for k, g in enumerate(own)))
+        assert got[i] == (sorted(profiles)[int(np.argmin(best))], pytest.approx(1 - min(best) / (len(own) * langid.PROFILE)))

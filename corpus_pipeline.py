@@ -20,8 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = langid.learned(docs)
     if not profiles:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    found = langid.identify(rows, profiles, key="row")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = langid.identify(rows, profiles, "row")
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
     return kept.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 

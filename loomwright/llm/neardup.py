@@ -8,7 +8,7 @@ Copies with equal words are one representative from the start. In each of LEADER
 compared with one leader; the next leader is one of those that no leader has linked yet, and meets the linked members
 too. So large groups of copies are linked without pairing them with themselves. What is still apart in a bucket after
 that, linked or not, meets by an exact join that loses no pair of THRESHOLD: two texts must share one of the shingles that
-come first in an order common to all texts, rare ones first. Classes are the connected components of the verified links.
+come first in an order common to all texts, rare ones first, and what follows it in each must suffice. Classes are the connected components of the verified links.
 
 Defined results: words are runs of ASCII letters and digits or non-ASCII characters, in lower case; a text of one to four
 words is one shingle; a text that is null or has no word is a class of its own; a class is named by its smallest id, by
@@ -45,7 +45,8 @@ SLICE = 500_000
 #: Weights are rounded to 4 steps an octave, from 1/4 to 1/4 * 2 ** (LEVELS / 4).
 LEVELS = 72
 DRAWS = 1 << 13
-SALT_ROWS = 64
+#: Leaders that are held at once, and members of them in a group.
+HEADS, SALT_ROWS = 64, 256
 U = np.uint64
 
 
@@ -214,33 +215,38 @@ def similarity(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> float:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """leader, member for the pairs that are similar enough.
-
-    A leader may have any number of members: they are dealt out by leader and salt, each salt with its copy of the
-    leader's set, and streamed past it."""
-    sized = pairs.groupBy("leader").agg(F.count("*").alias("n"))
-    salts = sized.select("leader", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / SALT_ROWS).cast("int"))).alias("salt"))
-    parts = F.floor(F.col("n") / SALT_ROWS).cast("int") + 1
-    members = pairs.join(sized.repartition(F.xxhash64("leader")), "leader").select("leader", F.pmod(F.xxhash64("member"), parts).cast("int").alias("salt"), F.col("member").alias("id"))
-    both = salts.select("leader", "salt", F.col("leader").alias("id"), F.lit(0).alias("role")).unionByName(members.withColumn("role", F.lit(1)))
-    rows = both.join(sets, "id").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role")
-    kind = rows.schema["leader"].dataType.simpleString()
+    """leader, member for the pairs (leader, member, via) that are similar enough.
+
+    Pairs with one `via` are verified in blocks: about HEADS leaders are held, and members are streamed past them, each
+    with the leaders that it is paired with, so that a member's set is sent once for a block and not for each pair. A via
+    may have any number of leaders and members: they are dealt out by chunk (leaders) and salt (members)."""
+    sized = pairs.groupBy("via").agg(F.countDistinct("leader").alias("leaders"), F.countDistinct("member").alias("members"))
+    sized = sized.select("via", F.ceil(F.col("leaders") / HEADS).alias("chunks"), F.ceil(F.col("members") / SALT_ROWS).alias("salts"))
+    place = pairs.join(sized.repartition(F.xxhash64("via")), "via").withColumn("chunk", F.pmod(F.xxhash64("leader"), F.col("chunks")).cast("int"))
+    salt = F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt")
+    members = place.groupBy("via", "chunk", salt, F.col("member").alias("id")).agg(F.collect_list("leader").alias("leaders"))  # at most a chunk
+    heads = place.select("via", "chunk", "leader", "salts").distinct().select("via", "chunk", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))).alias("salt"), F.col("leader").alias("id"))
+    both = heads.withColumn("leaders", F.lit(None).cast("array<bigint>")).unionByName(members)
+    keys = ["via", "chunk", "salt"]
+    rows = both.join(sets, "id").repartition(*keys).sortWithinPartitions(*keys, F.col("leaders").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, head, mine = level_weights(), None, np.zeros(0, U)
+        weights, at, held = level_weights(), None, {}
         for batch in batches:
-            found = []
-            leader, salt, ids, role, keys = (batch.column(c) for c in ("leader", "salt", "id", "role", "keys"))
-            for i, (a, s, r) in enumerate(zip(leader.to_pylist(), salt.to_pylist(), role.to_pylist())):
-                own = np.frombuffer(keys[i].as_buffer(), U)
-                if r == 0:
-                    head, mine = (a, s), own
-                elif head == (a, s) and similarity(mine, own, weights) >= THRESHOLD:
-                    found.append(i)
-            at = pa.array(found, pa.int64())
-            yield pa.RecordBatch.from_arrays([leader.take(at), ids.take(at)], ["leader", "member"])
-
-    return rows.select("leader", "salt", "id", "role", "keys").mapInArrow(run, f"leader {kind}, member {kind}")
+            found: list[tuple[int, int]] = []
+            via, chunk, salt, ids, leaders, sets = (batch.column(c) for c in (*keys, "id", "leaders", "keys"))
+            places = zip(via.to_pylist(), chunk.to_pylist(), salt.to_pylist())
+            for i, (now, own_id, paired) in enumerate(zip(places, ids.to_pylist(), leaders.to_pylist())):
+                if now != at:
+                    at, held = now, {}
+                own = np.frombuffer(sets[i].as_buffer(), U)
+                if paired is None:
+                    held[own_id] = own
+                else:
+                    found += [(x, own_id) for x in paired if similarity(held[x], own, weights) >= THRESHOLD]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["leader", "member"])
+
+    return rows.select(*keys, "id", "leaders", "keys").mapInArrow(run, "leader bigint, member bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -278,49 +284,52 @@ def shingle_order(sets: DataFrame) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, order) -> DataFrame:  # noqa: ANN001  a broadcast
-    """id, class, weight, shingle, first: the shingles one of which a text must share with a similar one.
+    """id, class, weight, shingle, rest, first: the shingles one of which a text must share with a similar one.
 
     Of two texts with weights a <= b, similar ones have at least t / (1 + t) * (a + b) in common, so 2t / (1 + t) of a and t
     of b. If they share nothing among each one's first shingles, all they share comes after these in one of the two, and
-    weighs less than that. `first` marks the shorter list, which counts for the lighter text."""
+    weighs less than that. `rest` is what weighs the text from a shingle on: all that two texts share comes from their first
+    shared shingle on. `first` marks the shorter list, which counts for the lighter text."""
     short, long = 2 * THRESHOLD / (1 + THRESHOLD) - 1e-9, THRESHOLD - 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = level_weights()
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
-                part, rows, sums, found, firsts = batch.slice(a, 2000), [], [], [], []
-                for i, keys in enumerate(part.column(2)):
+                part, sizes, sums, found, rests = batch.slice(a, 2000), [], [], [], []
+                for keys in part.column(2):
                     own = np.frombuffer(keys.as_buffer(), U)
                     shingle, w = own >> U(8), weights[(own & U(255)).astype(np.int64)]
                     at = np.lexsort((shingle, order.value[shingle.astype(np.int64) % ORDER_BUCKETS]))
                     total = w.sum()
-                    # what weighs the rest before each shingle is taken
                     rest = total - np.concatenate([[0], np.cumsum(w[at])[:-1]])
                     n = int((rest >= long * total).sum())
-                    rows.append(np.full(n, i))
-                    sums.append(np.full(n, total))
+                    sizes.append(n)
+                    sums.append(total)
                     found.append(shingle[at[:n]].astype(np.int64))
-                    firsts.append(rest[:n] >= short * total)
-                if rows:
-                    at = pa.array(np.concatenate(rows))
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *(pa.array(np.concatenate(x)) for x in (sums, found, firsts))], ["id", "class", "weight", "shingle", "first"])
+                    rests.append(rest[:n])
+                at, weight, rest = np.repeat(np.arange(part.num_rows), sizes), np.repeat(sums, sizes), np.concatenate(rests)
+                columns = [part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), *(pa.array(x) for x in (weight, np.concatenate(found), rest, rest >= short * weight))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "class", "weight", "shingle", "rest", "first"])
 
-    return sets.select("id", "class", "keys").mapInArrow(run, "id bigint, class bigint, weight double, shingle bigint, first boolean")
+    return sets.select("id", "class", "keys").mapInArrow(run, "id bigint, class bigint, weight double, shingle bigint, rest double, first boolean")
 
 
 def apart(shared: DataFrame, labels: DataFrame | None, sets: DataFrame) -> DataFrame:
-    """leader, member: all pairs of two classes that may be similar, of the texts whose bucket has more than one class."""
+    """leader, member, via (a shingle that both have): all pairs of two classes that may be similar, of the texts whose bucket has more than one class."""
     rows = shared.withColumn("class", F.col("rep")) if labels is None else shared.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
     mixed = rows.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
     ids = rows.join(mixed.repartition("low"), ["band", "key"]).select(F.col("rep").alias("id"), "class").distinct()
     some = stored(sets.join(ids, "id"), "apart")
     order = shared.sparkSession.sparkContext.broadcast(shingle_order(some))  # bounded: ORDER_BUCKETS numbers
     found = stored(prefixes(some, order), "prefixes")
-    light = found.where("first").select("shingle", *[F.col(c).alias(f"light_{c}") for c in ("id", "class", "weight")])
+    light = found.where("first").select("shingle", *[F.col(c).alias(f"light_{c}") for c in ("id", "class", "weight", "rest")])
     # of the lighter and the heavier text; equal ones by id
     close = (F.col("class") != F.col("light_class")) & (F.struct("light_weight", "light_id") < F.struct("weight", "id")) & (F.col("light_weight") >= (THRESHOLD - 1e-9) * F.col("weight"))
-    pairs = stored(light.join(found, "shingle").where(close).select(F.col("light_id").alias("leader"), F.col("id").alias("member")).distinct(), "pairs")
+    need = THRESHOLD / (1 + THRESHOLD) * (F.col("light_weight") + F.col("weight")) - 1e-6
+    enough = (F.col("light_rest") >= need) & (F.col("rest") >= need)
+    pairs = light.join(found, "shingle").where(close & enough).groupBy(F.col("light_id").alias("leader"), F.col("id").alias("member")).agg(F.min("shingle").alias("via"))
+    pairs = stored(pairs, "pairs")
     dropped(found)
     dropped(some)
     return pairs
@@ -364,7 +373,7 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
             wanted = src.join(ids.hint("shuffle_hash"), "row", "left_semi")
             sets = stored(shingle_sets(wanted, idf).dropDuplicates(["id"]), "sets")
             done.append(sets)
-        new = verified(pairs, sets)
+        new = verified(pairs.withColumn("via", F.col("leader")), sets)
         links = stored(new if links is None else links.unionByName(new), f"links{k}")
         done.append(links)
         linked = links.select("leader", F.col("member").alias("rep"), F.lit(True).alias("linked"))

@@ -1,107 +1,187 @@
 """Benchmark decontamination by template windows, in DataFrame expressions only.
 
-Numbers, names and units of a text become typed placeholders; each window of WINDOW tokens of the template is hashed and
-joined with the benchmark's windows; windows of few plain words are joined by their own tokens. Hits on one diagonal
-(document position minus item position) are one occurrence of a passage. Within each run of contiguous hits the slots
-must be consistent: one benchmark value always stands for one value of the document and the reverse; of a run that is
-not, the windows with equal tokens count. So a question with other numbers is caught, and a text that merely has numbers
-is not.
+A text is looked at in two views. Its words as they are: windows of WINDOW words find what was copied, in whatever case.
+Its template: numbers, names (runs of capitalised words) and units after numbers become typed placeholders; windows of
+which PLAIN are words find questions with other numbers, names and units. Windows are hashed and joined with the
+benchmark's. Hits on one diagonal of one view (document position minus item position) are one occurrence of a passage.
+Within each run of contiguous hits of templates the slots must be consistent: one benchmark value always stands for one
+value of the document, while two values may stand for the same one; of a run that is not, the windows with equal tokens
+count. So a question with other numbers is caught, and a text that merely has numbers is not.
 
 Defined results: null texts have no tokens; items shorter than WINDOW tokens are one window of their own length, items
 of fewer than SHORTEST tokens are not looked for; repeated items are found each; repeated rows of a document are found
-once.
+once; rows are told apart by id and text, so that null and repeated ids keep their own results; texts of any length are
+read whole; further columns of docs are kept by decontaminated() and ignored by contaminated().
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 WINDOW = 8
 SHORTEST = 4
 #: Windows on one diagonal that make an occurrence (or all windows of an item that has fewer).
 HITS = 3
-#: A window with a smaller share of plain words is joined by its own tokens.
+#: A template's window with a smaller share of plain words is left to the view of words.
 PLAIN = 0.6
-#: Benchmark windows that may be broadcast; beyond it the join shuffles.
-BROADCAST_WINDOWS = 400_000
+#: Benchmark windows, and rows of ids, that may be broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 400_000
 UNITS = "km|cm|mm|kg|mg|lb|lbs|oz|ml|mi|ft|mph|kmh|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|meters?|metres?|miles?|feet|inches|grams?|liters?|litres?|dollars?|euros?|cents?|percent"
 NAME, UNIT, NUMBER = 1, 2, 3
-TOKEN = r"[\x01\x02]?[\p{L}\p{M}]+|\p{N}+(?:[.,]\p{N}+)*"
+TOKEN = r"[\x01-\x03]?[\p{L}\p{M}]+|\p{N}+(?:[.,]\p{N}+)*"
+WORDS, TEMPLATE = 0, 1
 
 
 def tokens(text: Column) -> Column:
-    """Words and numbers in lower case; \\x01 precedes a name (a capital inside a sentence), \\x02 a unit after a number."""
-    named = F.regexp_replace(text, r"(\p{Lu})(?<=[\p{L}\p{N},;][ \t]\p{Lu})", "\u0001$1")
-    united = F.regexp_replace(named, rf"(?<=\p{{N}})[ \t]?({UNITS})\b", " \u0002$1")
+    """Words and numbers in lower case; \\x01 precedes a capitalised word, \\x02 one that directly follows a word, \\x03 a
+    unit after a number."""
+    following = F.regexp_replace(text, r"(?<=[\p{L}\p{M}][ \t])(?=\p{Lu})", "\u0002")
+    named = F.regexp_replace(following, r"(?<![\p{L}\p{M}\x02])(?=\p{Lu})", "\u0001")
+    united = F.regexp_replace(named, rf"(?<=\p{{N}})[ \t]?({UNITS})\b", " \u0003$1")
     return F.regexp_extract_all(F.lower(united), F.lit(TOKEN), F.lit(0))
 
 
+def _continues(words: Column, i: Column) -> Column:
+    """Whether a token is a further word of the name before it."""
+    return (i > 0) & F.startswith(F.get(words, i), F.lit("\u0002")) & (F.get(words, i - 1) < "\u0003")
+
+
+def plain_words(words: Column) -> Column:
+    """The tokens without their marks."""
+    return F.transform(words, lambda w: F.ltrim(w, F.lit("\u0001\u0002\u0003")))
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once for a row, however often, and in whatever lambda, f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def template(words: Column) -> Column:
+    """The tokens of the template, a name of several words being one token."""
+
+    def joined(words: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: ~F.coalesce(_continues(words, i), F.lit(False)))
+        return _let(starts, lambda at: F.transform(F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))), lambda a, k: F.array_join(F.slice(words, a + 1, F.get(at, k + 1) - a), " ")))
+
+    return _let(words, joined)
+
+
 def codes(words: Column) -> Column:
-    """A number for each token: its hash, or its placeholder."""
-    return F.transform(words, lambda w: F.when(w >= ":", F.xxhash64(w)).when(w < "\u0002", F.lit(NAME).cast("long")).when(w < "\u0003", F.lit(UNIT).cast("long")).otherwise(F.lit(NUMBER).cast("long")))
+    """A number for each token of the template: a word's hash, or a placeholder."""
+    own = _let(words, lambda words: F.filter(words, lambda w, i: ~_continues(words, i)))
+    return F.transform(own, lambda w: F.when(w >= ":", F.xxhash64(w)).when(w < "\u0003", F.lit(NAME).cast("long")).when(w < "\u0004", F.lit(UNIT).cast("long")).otherwise(F.lit(NUMBER).cast("long")))
 
 
-def windows(code: Column, words: Column, size: int) -> Column:
-    """The hash of each window, by position: of its template, or of its tokens where few of them are plain words."""
+def windows(code: Column, size: int, view: int) -> Column:
+    """The hash of each window by position; null where a template's window has too few plain words."""
     n = F.size(code) - size + 1
 
     def window(i: Column) -> Column:
         own = [F.get(code, i + j) for j in range(size)]
+        if view == WORDS:
+            return F.xxhash64(*own)
         plain = sum((((c < NAME) | (c > NUMBER)).cast("int") for c in own), F.lit(0))
-        return F.when(plain >= PLAIN * size, F.xxhash64(*own)).otherwise(F.xxhash64(F.lit("tokens"), *[F.get(words, i + j) for j in range(size)]))
+        return F.when(plain >= PLAIN * size, F.xxhash64(*own, F.lit(TEMPLATE)))
 
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), window))
 
 
+def _views(df: DataFrame, key: str) -> DataFrame:
+    """key, view, code: the numbers of a text's tokens in each view."""
+    words = df.select(key, tokens(F.col("text")).alias("words"))
+    raw, own = F.transform(plain_words(F.col("words")), lambda w: F.xxhash64(w)), codes(F.col("words"))
+    return words.select(key, F.inline(F.array(F.struct(F.lit(WORDS).alias("view"), raw.alias("code")), F.struct(F.lit(TEMPLATE).alias("view"), own.alias("code")))))
+
+
+def _hits(texts: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """row, item_id, view, diagonal, at: equal windows of `size` tokens."""
+
+    def found(df: DataFrame, key: str, at: str) -> DataFrame:
+        code = F.when(F.col("view") == WORDS, windows(F.col("code"), size, WORDS)).otherwise(windows(F.col("code"), size, TEMPLATE))
+        return df.select(key, "view", F.posexplode(code).alias(at, "window")).where("window is not null")
+
+    wanted = found(items.where(F.col("size") == size), "item_id", "at").withColumnRenamed("view", "own")
+    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    both = found(texts, "row", "place").join(F.broadcast(wanted) if small else wanted, "window").where("view = own")
+    return both.select("row", "item_id", "view", (F.col("place") - F.col("at")).alias("diagonal"), "at", F.lit(size).alias("size"))
+
+
+def _bounded(ids: DataFrame) -> DataFrame:
+    """Ids for a semi join or anti join that sorts no text: broadcast if there are few, else hashed in each partition."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids.hint("shuffle_hash")
+
+
+def _row(docs: DataFrame, key: str = "doc_id") -> Column:
+    return F.xxhash64(F.col(f"`{key}`"), F.col("text"))
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, diagonal, begin, windows, exact: where a document has a passage of an item."""
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("words")).select("item_id", "words", codes(F.col("words")).alias("code")).where(F.size("code") >= SHORTEST)
-    items = items.withColumn("size", F.least(F.size("code"), F.lit(WINDOW)))
+    """row, item_id, view, diagonal, begin, windows, exact: where a document (by its row's hash) has a passage of an item."""
+    items = _views(benchmark.select("item_id", "text"), "item_id").where(F.size("code") >= SHORTEST).withColumn("size", F.least(F.size("code"), F.lit(WINDOW)))
     sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most WINDOW values
-    texts = docs.select("doc_id", tokens(F.col("text")).alias("words")).select("doc_id", "words", codes(F.col("words")).alias("code"))
+    if not sizes:
+        nothing = (("item_id", "long"), ("view", "int"), ("diagonal", "int"), ("begin", "int"), ("windows", "long"), ("exact", "boolean"))
+        return docs.where("false").select(_row(docs).alias("row"), *[F.lit(None).cast(t).alias(c) for c, t in nothing])
+    texts = _views(docs.select(_row(docs).alias("row"), "text"), "row")
     found = None
     for size in sizes:
-        wanted = items.where(F.col("size") == size).select("item_id", F.posexplode(windows(F.col("code"), F.col("words"), size)).alias("at", "window"))
-        small = wanted.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-        seen = texts.select("doc_id", F.posexplode(windows(F.col("code"), F.col("words"), size)).alias("place", "window"))
-        hits = seen.join(F.broadcast(wanted) if small else wanted, "window").select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("diagonal"), "at", F.lit(size).alias("size"))
+        hits = _hits(texts, items, size)
         found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return docs.select("doc_id").where("false").select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("item_id", "long"), ("diagonal", "int"), ("begin", "int"), ("windows", "long"), ("exact", "boolean"))])
-    need = items.select("item_id", F.least(F.lit(HITS), F.size("code") - F.col("size") + 1).alias("need"), "size", "words")
-    every = found.groupBy("doc_id", "item_id", "diagonal").agg(F.array_sort(F.collect_set("at")).alias("ats")).join(need.drop("words", "size"), "item_id").where(F.size("ats") >= F.col("need"))
+    need = items.select("item_id", "view", F.least(F.lit(HITS), F.size("code") - F.col("size") + 1).alias("need"), "size")
+    one = ["row", "item_id", "view", "diagonal"]
+    every = found.groupBy(*one).agg(F.array_sort(F.collect_set("at")).alias("ats")).join(need, ["item_id", "view"]).where(F.size("ats") >= F.col("need"))
     # contiguous hits: their place in the list grows as their position does
-    spread = every.select("doc_id", "item_id", "diagonal", F.posexplode("ats").alias("rank", "at"))
-    islands = spread.groupBy("doc_id", "item_id", "diagonal", (F.col("at") - F.col("rank")).alias("island")).agg(F.min("at").alias("begin"), F.max("at").alias("last"), F.count("*").alias("windows"))
+    spread = every.select(*one, "need", "size", F.posexplode("ats").alias("rank", "at"))
+    islands = spread.groupBy(*one, "need", "size", (F.col("at") - F.col("rank")).alias("island")).agg(F.min("at").alias("begin"), F.max("at").alias("last"), F.count("*").alias("windows"))
     # few rows, of which two joins are made: the windows of all documents are not hashed twice
     runs = stored(islands.drop("island"), "runs")
-    own = docs.select("doc_id", "text").join(runs.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", tokens(F.col("text")).alias("theirs"))
-    both = runs.join(need, "item_id").join(own, "doc_id").withColumn("span", F.sequence(F.col("begin"), F.col("last") + F.col("size") - 1))
+    copied = runs.where(F.col("view") == WORDS).select(*one, "begin", "need", "windows", F.lit(True).alias("exact"))
+    return _summed(copied.unionByName(_consistent(runs.where(F.col("view") == TEMPLATE), docs, benchmark)))
+
+
+def _consistent(runs: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The runs of templates with how many windows hold once their slots are compared."""
+    ids = runs.select("row").distinct()
+    theirs = stored(docs.select(_row(docs).alias("row"), "text").join(_bounded(ids), "row", "left_semi").select("row", template(tokens(F.col("text"))).alias("theirs")), "templates")
+    own = benchmark.select("item_id", template(tokens(F.col("text"))).alias("words"))
+    both = runs.join(own, "item_id").join(theirs, "row").withColumn("span", F.sequence(F.col("begin"), F.col("last") + F.col("size") - 1))
     # the item's slots within the run, and what the document has in their places
     slots = F.filter("span", lambda i: F.get("words", i) < ":")
-    pairs = F.transform(slots, lambda i: F.struct(F.get("words", i).alias("a"), F.get("theirs", i + F.col("diagonal")).alias("b")))
-    both = both.withColumn("pairs", F.array_distinct(pairs))
-    n = F.size("pairs")
-    one = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
+    both = both.withColumn("pairs", F.array_distinct(F.transform(slots, lambda i: F.struct(F.get("words", i).alias("a"), F.get("theirs", i + F.col("diagonal")).alias("b")))))
+    function = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
 
     def equal(acc: Column, i: Column) -> Column:
         length = F.when(F.get("words", i) == F.get("theirs", i + F.col("diagonal")), acc["length"] + 1).otherwise(F.lit(0))
         return F.struct(length.alias("length"), (acc["hits"] + (length >= F.col("size")).cast("int")).alias("hits"))
 
     same = F.aggregate("span", F.struct(F.lit(0).alias("length"), F.lit(0).alias("hits")), equal, lambda acc: acc["hits"])
-    counted = both.select("doc_id", "item_id", "diagonal", "begin", "need", F.when((one("a") == n) & (one("b") == n), F.col("windows")).otherwise(same).alias("windows"), F.forall("pairs", lambda p: p["a"] == p["b"]).alias("exact"))
-    return counted.groupBy("doc_id", "item_id", "diagonal").agg(F.min("begin").alias("begin"), F.sum("windows").alias("windows"), F.min("exact").alias("exact"), F.first("need").alias("need")).where("windows >= need").drop("need")
+    exact = F.forall("pairs", lambda p: p["a"] == p["b"])
+    return both.select("row", "item_id", "view", "diagonal", "begin", "need", F.when(function, F.col("windows")).otherwise(same).alias("windows"), exact.alias("exact"))
+
+
+def _summed(runs: DataFrame) -> DataFrame:
+    """One row for each diagonal; repeated rows of a document and repeated items count once."""
+    one = ["row", "item_id", "view", "diagonal"]
+    each = runs.groupBy(*one, "begin", "need").agg(F.max("windows").alias("windows"), F.max("exact").alias("exact"))
+    return each.groupBy(*one).agg(F.min("begin").alias("begin"), F.sum("windows").alias("windows"), F.min("exact").alias("exact"), F.first("need").alias("need")).where("windows >= need").drop("need")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each document and item with an occurrence: doc_id, item_id, windows (of the longest), exact (no slot has
-    another value)."""
-    return occurrences(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.max("exact").alias("exact"))
+    """A row for each document (id and text) and item with an occurrence: doc_id, item_id, windows (of the longest), exact
+    (no slot has another value)."""
+    found = stored(occurrences(docs, benchmark).groupBy("row", "item_id").agg(F.max("windows").alias("windows"), F.max("exact").alias("exact")), "contaminated")
+    ids = docs.select("doc_id", _row(docs).alias("row"))
+    names = ids.join(_bounded(found.select("row").distinct()), "row", "left_semi").distinct()
+    return found.join(names, "row").select("doc_id", "item_id", "windows", "exact")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no passage of the benchmark occurs."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = stored(occurrences(docs, benchmark).select("row").distinct(), "contaminated")
+    kept = docs.withColumn("row of text", _row(docs)).join(_bounded(found.withColumnRenamed("row", "row of text")), "row of text", "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -214,6 +214,28 @@ def test_decontamination_of_edited_and_number_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()} == {(0, 1), (1, 2), (2, 3), (4, 4)}
 
 
+def test_decontamination_of_copies_and_rewritten_names(spark):
+    """German nouns, lower-cased copies, names of several words, names that begin each sentence, two values that become one."""
+    german = "Peter kauft Äpfel, Birnen, Kirschen und Pflaumen; Maria kauft Brot, Käse, Wurst, Butter und Milch im Laden."
+    story = "Anna has 12 red apples in a big basket. Anna gives 5 of them to her good friend Tom. How many does Anna keep?"
+    fruit = "There are 12 apples on the table and 5 pears on the shelf, how many pieces of fruit is that in all?"
+    docs = [
+        f"Vorher steht Text. {german} Danach auch.", german.lower(), story.replace("Anna", "Maria Lopez").replace("Tom", "Old Jim"),
+        story.replace("Anna", "Bob", 1), fruit.replace("12", "9").replace("5 ", "9 "), fruit.lower(), None, "Anna has 12 of them.", "x " * 200_000 + fruit,
+    ]
+    bench = spark.createDataFrame([(1, german), (2, story), (3, fruit)], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(documents(spark, docs), bench).collect()}
+    assert got == {(0, 1), (1, 1), (2, 2), (3, 2), (4, 3), (5, 3), (8, 3)}
+
+
+def test_decontamination_of_null_and_repeated_ids(spark):
+    item = "one passage of the benchmark that has quite enough words to be found"
+    rows = [(None, item), (None, "another text that is clean"), (7, item), (7, "a clean text"), (7, item)]
+    docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(1, item), (1, item)], "item_id bigint, text string")
+    assert sorted(r["text"] for r in decontam.decontaminated(docs, bench).collect()) == ["a clean text", "another text that is clean"]
+    assert sorted(((r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()), key=str) == [(7, 1), (None, 1)]
+
+
 def test_surrogates(spark, sf_dir):
     rows = table(sf_dir, "documents")
     got = {r["doc_id"]: r for r in queries.op3_pii_surrogates(spark, sf_dir).collect()}

@@ -6,15 +6,22 @@ extra field "sl"). Reading: partitions come from that list; equality predicates
 record's headers are parsed first, and the rest of an unwanted record, or of any record with the option payload=false,
 is jumped over.
 
+Each write commits a list of its own, and a folder is read by all its lists: further writes append, and an overwrite
+removes what earlier lists name.
+
 Columns: record_id, record_type, target_uri, payload_digest (bare lower-case hex SHA-1), payload_bytes, refers_to,
 payload. Defined results: null payloads are empty; null addresses leave their header out and read as null; control
-characters in header values are percent-encoded; a folder without a list is read file by file.
+characters in header values are percent-encoded; a folder without a list is read file by file; an empty table is an
+archive without records. Records are told apart by page_id, address and payload: repeated page_ids keep all their
+payloads, a null page_id sorts below all others and reads back as null, and of wholly equal rows with long payloads one is
+the response and the rest revisit it. Payloads of any length are whole; further columns of pages are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,7 +36,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from .common import scratch, stored, table
 
 SPLIT_BYTES = 16_000_000
-LIST = "_committed.json"
+LIST = re.compile(r"_committed.*\.json")
 DATE = "2024-01-01T00:00:00Z"
 SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, payload_bytes bigint, refers_to string, payload binary"
 PUSHED = ("record_type", "record_id", "target_uri", "payload_digest", "refers_to")
@@ -72,9 +79,19 @@ class Committed(WriterCommitMessage):
         self.name, self.splits = name, splits
 
 
+def _lists(where: fs.FileSystem, root: str) -> list[str]:
+    found = where.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return sorted(x.path for x in found if LIST.fullmatch(x.base_name))
+
+
+def _listed(where: fs.FileSystem, path: str) -> list[tuple[str, list[int]]]:
+    with where.open_input_stream(path, compression=None) as f:
+        return json.loads(f.read())
+
+
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         where, root = _place(self.path)
@@ -93,8 +110,14 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         where, root = _place(self.path)
         where.create_dir(root, recursive=True)
-        with where.open_output_stream(f"{root}/{LIST}", compression=None) as out:
+        before = _lists(where, root) if self.overwrite else []
+        with where.open_output_stream(f"{root}/_committed-{uuid.uuid4().hex}.json", compression=None) as out:
             out.write(json.dumps([[m.name, m.splits] for m in messages if m is not None]).encode())  # type: ignore[attr-defined]
+        for path in before:  # the list goes before its files, so that no reader finds a list of missing files
+            old = _listed(where, path)
+            where.delete_file(path)
+            for name, _ in old:
+                where.delete_file(f"{root}/{name}")
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         where, root = _place(self.path)
@@ -125,15 +148,18 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         where, root = _place(self.path)
-        if where.get_file_info(f"{root}/{LIST}").type == fs.FileType.NotFound:
+        lists = _lists(where, root)
+        if lists:
+            parts = [Part(name, a, b) for path in lists for name, splits in _listed(where, path) for a, b in zip(splits, splits[1:]) if b > a]
+        else:
             found = where.get_file_info(fs.FileSelector(root))
-            return [Part(x.base_name, 0, x.size) for x in sorted(found, key=lambda x: x.path) if x.base_name.endswith((".warc", ".warc.gz"))]
-        with where.open_input_stream(f"{root}/{LIST}") as f:
-            listed = json.loads(f.read())
-        return [Part(name, a, b) for name, splits in listed for a, b in zip(splits, splits[1:]) if b > a]
+            parts = [Part(x.base_name, 0, x.size) for x in sorted(found, key=lambda x: x.path) if x.base_name.endswith((".warc", ".warc.gz"))]
+        return parts or [Part("", 0, 0)]  # without a partition Spark would call read() with none
 
     def _members(self, part: Part) -> Iterator[tuple[dict[str, str], object]]:
-        """Headers of each wanted record and a function that gives its block."""
+        """Headers of each wanted record and its block."""
+        if part.end <= part.begin:
+            return
         where, root = _place(self.path)
         with where.open_input_file(f"{root}/{part.name}") as f:
             at, size = part.begin, f.size()
@@ -227,7 +253,7 @@ class Warc(DataSource):
         return WarcReader(self.options["path"], self.options.get("payload", "true").lower() != "false")
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:  # noqa: ANN001
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -238,18 +264,27 @@ def register(spark: SparkSession) -> None:
 def records(pages: DataFrame, least: int = 1000) -> DataFrame:
     """The rows to write: of equal payloads of `least` bytes or more, the largest page_id is the response, others revisit it."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    slim = stored(pages.select("page_id", F.sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("n")), "digests")
-    again = slim.where(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("k")).where("k > 1").drop("k")
-    # digests of a hot group meet in a join of slim rows that can be split; the payloads themselves are dealt by page_id
-    again = again.repartition("response_id")
-    shared = slim.where(F.col("n") >= least).join(again, "digest").where("page_id <> response_id").select("page_id", "response_id").dropDuplicates(["page_id"])
-    rows = pages.select("page_id", "url", body.alias("payload")).join(shared, "page_id", "left")
-    revisit = F.col("response_id").isNotNull()
-    return rows.select(
-        F.concat(F.lit("urn:page:"), F.col("page_id").cast("string")).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.col("url").alias("target_uri"),
-        F.sha1("payload").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.when(revisit, F.concat(F.lit("urn:page:"), F.col("response_id").cast("string"))).alias("refers_to"),
-        F.when(~revisit, F.col("payload")).alias("payload"),
+    slim = pages.select("page_id", "url", F.sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("n"))
+    kinds = stored(slim.where(F.col("n") >= least).groupBy("digest", "page_id", "url").agg(F.count("*").alias("copies")), "digests")
+    rank = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", F.col("url").isNotNull().alias("has"), "url")
+    head = kinds.groupBy("digest").agg(F.max(rank).alias("head"), F.sum("copies").alias("k")).where("k > 1").drop("k")
+    # digests of a hot group meet in a join of slim rows that can be split; the payloads themselves are dealt by page and digest
+    told = kinds.join(head.repartition(F.xxhash64("digest")), "digest").withColumn("first", F.col("head.page_id").eqNullSafe(F.col("page_id")) & F.col("head.url").eqNullSafe(F.col("url")))
+    told = told.select("digest", F.col("page_id").alias("other_id"), F.col("url").alias("other_url"), F.col("head.page_id").alias("response_id"), "first", "copies").where("not first or copies > 1")
+    src = pages.select("page_id", "url", body.alias("payload"), F.sha1(body).alias("digest"))
+    rows = src.join(told.withColumnRenamed("digest", "own"), (F.col("digest") == F.col("own")) & F.col("page_id").eqNullSafe(F.col("other_id")) & F.col("url").eqNullSafe(F.col("other_url")), "left")
+    repeated = F.coalesce(F.col("first"), F.lit(False))
+    plain = rows.where(~repeated).select("page_id", "url", "payload", "response_id", F.col("own").isNotNull().alias("revisit"))
+    # wholly equal rows: one payload is kept before the shuffle, and the others need none
+    again = rows.where(repeated).groupBy("page_id", "url", "digest").agg(F.min("payload").alias("payload"), F.count("*").alias("copies"))
+    again = again.select("page_id", "url", "payload", F.col("page_id").alias("response_id"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("k"))
+    every = plain.unionByName(again.select("page_id", "url", "payload", "response_id", (F.col("k") > 1).alias("revisit")))
+    urn = lambda c, digest: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(":"), digest)
+    digest = F.sha1("payload")
+    return every.select(
+        urn("page_id", digest).alias("record_id"), F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"), F.col("url").alias("target_uri"),
+        digest.alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.when(F.col("revisit"), urn("response_id", digest)).alias("refers_to"),
+        F.when(~F.col("revisit"), F.col("payload")).alias("payload"),
     )
 
 
@@ -259,10 +294,16 @@ def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     records(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
     back = spark.read.format("warc").load(path)
-    number = lambda c: F.regexp_extract(c, r"(-?\d+)$", 1).cast("long")
+    number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+):", 1).try_cast("long")
     whole = F.col("record_type") == "response"
     return back.select(
         number("record_id").alias("page_id"), F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(whole, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", F.when(F.col("refers_to").isNotNull(), number("refers_to")).alias("refers_to"),
-        F.col("target_uri").alias("url"),
+        F.when(whole, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"), F.col("target_uri").alias("url"),
     )
+
+
+ORACLE_SQL = """
+with p as (select page_id, url, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+r as (select *, row_number() over w as k, first_value(page_id) over w as response_id from p window w as (partition by payload_digest order by page_id desc nulls last, url desc nulls last))
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and k > 1 then 'revisit' else 'response' end as record_type,
+ case when payload_bytes >= 1000 and k > 1 then response_id end as refers_to, url from r"""

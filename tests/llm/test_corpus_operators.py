@@ -298,15 +298,36 @@ def test_warc_pushdown_and_headers_only(spark, pages):
     warc.records(spark.read.parquet(f"{path}/pages.parquet")).write.format("warc").mode("append").save(out)
     df = spark.read.format("warc").load(out)
     assert df.where("record_type = 'revisit'").count() == 2
-    assert [r["target_uri"] for r in df.where("record_id = 'urn:page:8' and record_type = 'response'").collect()] == ["u8"]
+    assert [r["target_uri"] for r in df.where(F.col('record_id').isin(f'urn:page:8:{hashlib.sha1(rows[7][2].encode()).hexdigest()}') & (F.col('record_type') == 'response')).collect()] == ["u8"]
     reader = warc.WarcReader(out, False)
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
     assert list(reader.pushFilters([EqualTo(("record_type",), "revisit"), GreaterThan(("payload_bytes",), 5)])) == [GreaterThan(("payload_bytes",), 5)]
     found = [b for p in reader.partitions() for b in reader.read(p)]
     assert sum(b.num_rows for b in found) == 2 and all(b.column(6).null_count == b.num_rows for b in found)
-    empty = spark.createDataFrame([], "page_id bigint, url string, html string")
-    assert warc.records(empty).count() == 0
+
+
+def test_warc_repeats_nulls_appends_and_empty_tables(spark, tmp_path):
+    a, b, c = "<p>" + "a" * 2000, "<p>" + "b" * 2000, "<p>" + "c" * 2000
+    rows = [(1, "u", a), (1, "u", b), (5, "u", a), (None, "n", b), (None, None, "short"), (7, "v", c), (7, "v", c), (7, "v", c), (7, "w", c), (8, "x", "tiny"), (8, "x", "tiny")]
+    spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, url string, html string, payload string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = warc.archived(spark, str(tmp_path)).collect()
+    assert sorted(((r["page_id"], r["url"], r["payload_digest"]) for r in got), key=str) == sorted(((i, u, hashlib.sha1(h.encode()).hexdigest()) for i, u, h in rows), key=str)
+    kinds = Counter((r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in got)
+    assert kinds == {(1, "u", "revisit", 5): 1, (1, "u", "response", None): 1, (5, "u", "response", None): 1, (None, "n", "revisit", 1): 1, (None, None, "response", None): 1, (7, "w", "response", None): 1, (7, "v", "revisit", 7): 3, (8, "x", "response", None): 2}
+    same = spark.createDataFrame([(7, "v", c)] * 3, "page_id bigint, url string, html string")
+    assert Counter(r["record_type"] for r in warc.records(same).collect()) == {"response": 1, "revisit": 2}
+    out = warc.scratch(spark, "warc-test")
+    write = lambda df, mode: warc.records(df).write.format("warc").mode(mode).save(out)
+    read = lambda: sorted(bytes(r["payload"]).decode() for r in spark.read.format("warc").load(out).where("record_type = 'response'").collect())
+    one, two = same.limit(1), spark.createDataFrame([(9, None, b)], "page_id bigint, url string, html string")
+    write(one.where("false"), "append")
+    assert read() == []
+    write(one, "append")
+    write(two, "append")
+    assert read() == [b, c]
+    write(two, "overwrite")
+    assert read() == [b]
 
 
 def test_pipeline(spark, sf_dir):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, texts_of
+from .common import map_arrow, slices, texts_of
 
 CACHE_ENTRIES = 400_000
 #: Bytes; longer pieces are merged one by one.
@@ -337,8 +337,8 @@ def decode(tokens: DataFrame, ranks_path: str, key: str = "doc_id", keep: tuple[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(raw.value)
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for a, b in slices(np.diff(np.asarray(batch.column(len(keep) + 1).offsets)), 1_000_000):
+                part = batch.slice(a, b - a)
                 ids = part.column(len(keep) + 1)
                 edges = np.asarray(ids.offsets).astype(np.int64)
                 flat = np.asarray(ids.values)[edges[0] : edges[-1]]

@@ -140,3 +140,14 @@ def conversations(turns: DataFrame, ranks_path: str) -> DataFrame:
     extra = turns.sparkSession.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string")
     every = turns.select("conv_id", "turn", "role", "text").unionByName(extra)
     return read_back(assembled(every, ranks_path), ranks_path)
+
+
+ORACLE_SQL = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e as (select *, length(regexp_replace(role, '\\|###|</turn>|: ', '\\\0', 'g')) + length(regexp_replace(text, '\\|###|</turn>|: ', '\\\0', 'g')) as inside from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+ cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+ sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+ cast(sum(14 + inside) as bigint) as formatted_chars
+from e group by conv_id"""

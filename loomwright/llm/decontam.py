@@ -33,27 +33,26 @@ PLAIN = 0.6
 BROADCAST_ROWS = 400_000
 UNITS = "km|cm|mm|kg|mg|lb|lbs|oz|ml|mi|ft|mph|kmh|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|meters?|metres?|miles?|feet|inches|grams?|liters?|litres?|dollars?|euros?|cents?|percent"
 NAME, UNIT, NUMBER = 1, 2, 3
-TOKEN = r"[\x01-\x03]?[\p{L}\p{M}]+|\p{N}+(?:[.,]\p{N}+)*"
+TOKEN = r"[\p{L}\p{M}]+|\x01[\p{L}\p{M}]+|(?<=[\p{L}\p{M}])[ \t]\x01[\p{L}\p{M}]+|\p{N}+(?:[.,]\p{N}+)*|\x03[\p{L}\p{M}]+"
 WORDS, TEMPLATE = 0, 1
 
 
 def tokens(text: Column) -> Column:
-    """Words and numbers in lower case; \\x01 precedes a capitalised word, \\x02 one that directly follows a word, \\x03 a
-    unit after a number."""
-    following = F.regexp_replace(text, r"(?<=[\p{L}\p{M}][ \t])(?=\p{Lu})", "\u0002")
-    named = F.regexp_replace(following, r"(?<![\p{L}\p{M}\x02])(?=\p{Lu})", "\u0001")
-    united = F.regexp_replace(named, rf"(?<=\p{{N}})[ \t]?({UNITS})\b", " \u0003$1")
+    """Words and numbers in lower case; \\x01 precedes a capitalised word, with a space before it one that directly follows a
+    word, \\x03 a unit after a number."""
+    named = F.regexp_replace(text, r"(?<![\p{L}\p{M}])(?=\p{Lu})", "\u0001")
+    united = F.regexp_replace(named, rf"(?<=\p{{N}})[ \t]?({UNITS})\b", "\u0003$1")
     return F.regexp_extract_all(F.lower(united), F.lit(TOKEN), F.lit(0))
 
 
 def _continues(words: Column, i: Column) -> Column:
     """Whether a token is a further word of the name before it."""
-    return (i > 0) & F.startswith(F.get(words, i), F.lit("\u0002")) & (F.get(words, i - 1) < "\u0003")
+    return (i > 0) & (F.get(words, i) < "!") & (F.get(words, i) >= "\t") & ((F.get(words, i - 1) < "\u0003") | (F.get(words, i - 1) < "!") & (F.get(words, i - 1) >= "\t"))
 
 
 def plain_words(words: Column) -> Column:
     """The tokens without their marks."""
-    return F.transform(words, lambda w: F.ltrim(w, F.lit("\u0001\u0002\u0003")))
+    return F.transform(words, lambda w: F.ltrim(w, F.lit("\u0001\u0003 \t")))
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -77,25 +76,45 @@ def codes(words: Column) -> Column:
     return F.transform(own, lambda w: F.when(w >= ":", F.xxhash64(w)).when(w < "\u0003", F.lit(NAME).cast("long")).when(w < "\u0004", F.lit(UNIT).cast("long")).otherwise(F.lit(NUMBER).cast("long")))
 
 
+def _spans(values: Column, size: int, join: Callable[[Column, Column], Column]) -> Column:
+    """Of an array, join over each `size` consecutive values by position: spans of 1, 2, 4, ... values are joined once each,
+    and those that make up `size` are put together."""
+
+    def grown(spans: list[Column], rest: int) -> Column:
+        if 2 ** len(spans) <= rest:
+            width = 2 ** (len(spans) - 1)
+            return _let(F.zip_with(spans[-1], F.slice(spans[-1], width + 1, F.size(spans[-1])), join), lambda x: grown([*spans, x], rest))
+        out, covered = None, 0
+        for k in reversed(range(len(spans))):
+            if rest - covered >= 2**k:
+                out = spans[k] if out is None else F.zip_with(out, F.slice(spans[k], covered + 1, F.size(spans[k])), join)
+                covered += 2**k
+        return F.slice(out, 1, F.greatest(F.size(values) - size + 1, F.lit(0)))
+
+    return _let(values, lambda x: grown([x], size))
+
+
 def windows(code: Column, size: int, view: int) -> Column:
     """The hash of each window by position; null where a template's window has too few plain words."""
-    n = F.size(code) - size + 1
 
-    def window(i: Column) -> Column:
-        own = [F.get(code, i + j) for j in range(size)]
+    def hashed(code: Column) -> Column:
+        own = _spans(code, size, lambda a, b: F.xxhash64(a, b))
         if view == WORDS:
-            return F.xxhash64(*own)
-        plain = sum((((c < NAME) | (c > NUMBER)).cast("int") for c in own), F.lit(0))
-        return F.when(plain >= PLAIN * size, F.xxhash64(*own, F.lit(TEMPLATE)))
+            return own
+        plain = _spans(F.transform(code, lambda c: ((c < NAME) | (c > NUMBER)).cast("int")), size, lambda a, b: a + b)
+        return F.zip_with(own, plain, lambda h, n: F.when(n >= PLAIN * size, F.xxhash64(h, F.lit(TEMPLATE))))
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), window))
+    return _let(code, hashed)
 
 
 def _views(df: DataFrame, key: str) -> DataFrame:
     """key, view, code: the numbers of a text's tokens in each view."""
-    words = df.select(key, tokens(F.col("text")).alias("words"))
-    raw, own = F.transform(plain_words(F.col("words")), lambda w: F.xxhash64(w)), codes(F.col("words"))
-    return words.select(key, F.inline(F.array(F.struct(F.lit(WORDS).alias("view"), raw.alias("code")), F.struct(F.lit(TEMPLATE).alias("view"), own.alias("code")))))
+
+    def both(words: Column) -> Column:
+        raw = F.transform(plain_words(words), lambda w: F.xxhash64(w))
+        return F.array(F.struct(F.lit(WORDS).alias("view"), raw.alias("code")), F.struct(F.lit(TEMPLATE).alias("view"), codes(words).alias("code")))
+
+    return df.select(key, F.inline(_let(tokens(F.col("text")), both)))
 
 
 def _hits(texts: DataFrame, items: DataFrame, size: int) -> DataFrame:
@@ -107,7 +126,7 @@ def _hits(texts: DataFrame, items: DataFrame, size: int) -> DataFrame:
 
     wanted = found(items.where(F.col("size") == size), "item_id", "at").withColumnRenamed("view", "own")
     small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    both = found(texts, "row", "place").join(F.broadcast(wanted) if small else wanted, "window").where("view = own")
+    both = found(texts, "row", "place").join(F.broadcast(wanted) if small else wanted, "window").where("view - own = 0")  # one number is the join's key
     return both.select("row", "item_id", "view", (F.col("place") - F.col("at")).alias("diagonal"), "at", F.lit(size).alias("size"))
 
 
@@ -117,7 +136,8 @@ def _bounded(ids: DataFrame) -> DataFrame:
 
 
 def _row(docs: DataFrame, key: str = "doc_id") -> Column:
-    return F.xxhash64(F.col(f"`{key}`"), F.col("text"))
+    """What tells rows apart, as ids may be null or repeated: the id, and a hash of the text."""
+    return F.struct(F.col(f"`{key}`").alias("id"), F.xxhash64("text").alias("hash"))
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -174,10 +194,8 @@ def _summed(runs: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document (id and text) and item with an occurrence: doc_id, item_id, windows (of the longest), exact
     (no slot has another value)."""
-    found = stored(occurrences(docs, benchmark).groupBy("row", "item_id").agg(F.max("windows").alias("windows"), F.max("exact").alias("exact")), "contaminated")
-    ids = docs.select("doc_id", _row(docs).alias("row"))
-    names = ids.join(_bounded(found.select("row").distinct()), "row", "left_semi").distinct()
-    return found.join(names, "row").select("doc_id", "item_id", "windows", "exact")
+    found = occurrences(docs, benchmark).groupBy("row", "item_id").agg(F.max("windows").alias("windows"), F.max("exact").alias("exact"))
+    return found.select(F.col("row.id").alias("doc_id"), "item_id", "windows", "exact")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

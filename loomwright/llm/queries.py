@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe, chat, decontam, flac, html_text, langid, maxent, neardup, pii, warc
 from .common import table
 
+#: For the queries over invented texts only, where the session has no key of its own.
+DEMONSTRATION_KEY = "a key that everyone knows"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -20,7 +22,8 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.surrogates(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.surrogates(docs, spark.conf.get(pii.KEY_SETTING, DEMONSTRATION_KEY))
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm import bpe, decontam, langid, neardup, pii
 from loomwright.llm.common import stored, table
-from loomwright.llm.queries import RANKS
+from loomwright.llm.queries import DEMONSTRATION_KEY, RANKS
 
 #: A document closer to no profile than this is in no known language. The lowest score of a test document is 0.46.
 LEAST_LANGUAGE_SCORE = 0.1
@@ -38,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities in the texts get surrogates; n_chars follows the new text."""
-    done = pii.pseudonymised(docs)
+    done = pii.pseudonymised(docs, spark.conf.get(pii.KEY_SETTING, DEMONSTRATION_KEY))
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 

@@ -102,19 +102,28 @@ def _characters(value: Column) -> Column:
     return F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))
 
 
-def _own(c: Column, rows: tuple[str, ...] | None) -> Column:
+#: Rows of characters, or the table of all alphabets as a value that the caller computes once.
+Rows = tuple[str, ...] | Column
+
+
+def with_alphabets(f: Callable[[Column], Column]) -> Column:
+    """f of the table of all alphabets; the plan holds the table once, however often f uses it."""
+    return _let(F.split(F.lit(alphabets()), "\x01"), f)
+
+
+def _own(c: Column, rows: Rows) -> Column:
     """The alphabet of a character, null if it has none."""
-    table = F.array(*[F.lit(r) for r in rows]) if rows else F.split(F.get(F.split(F.lit(alphabets()), "\x01"), F.shiftright(F.ascii(c), 8)), "\x02")
+    table = F.array(*[F.lit(r) for r in rows]) if isinstance(rows, tuple) else F.split(F.get(rows, F.shiftright(F.ascii(c), 8)), "\x02")
     return F.get(F.filter(table, lambda a: F.instr(a, c) > 0), F.lit(0))
 
 
-def _moved(c: Column, step: Callable[[Column], Column], rows: tuple[str, ...] | None) -> Column:
+def _moved(c: Column, step: Callable[[Column], Column], rows: Rows) -> Column:
     """A character so many places further in its alphabet, or itself if it has none."""
     at = lambda a: F.pmod(F.instr(a, c) - 1 + step(F.length(a)), F.length(a)) + 1
     return F.coalesce(_let(_own(c, rows), lambda a: F.substring(a, at(a).cast("int"), F.lit(1))), c)
 
 
-def _pass(value: Column, key: Column, rows: tuple[str, ...] | None) -> Column:
+def _pass(value: Column, key: Column, rows: Rows) -> Column:
     """Shifts each character within its alphabet by a hash of the letters and digits before it: a bijection for every key.
 
     What stands between letters has no influence, nor has case: two spellings of a number stay alike."""
@@ -127,7 +136,7 @@ def _pass(value: Column, key: Column, rows: tuple[str, ...] | None) -> Column:
     return F.aggregate(_characters(value), start, step, lambda acc: acc["out"])
 
 
-def permuted(value: Column, key: Column, rows: tuple[str, ...] | None = None) -> Column:
+def permuted(value: Column, key: Column, rows: Rows) -> Column:
     """A keyed permutation of the strings of one shape without fixed points. The rest moves under a key that knows the first
     letter or digit, then that one moves, by 1 place at least, under a key that knows the moved rest: each step can be undone."""
 
@@ -193,37 +202,37 @@ def _given(word: Column, key: Column) -> Column:
     title = F.initcap(word)
     found = F.lit(None).cast("string")
     for i, names in enumerate(GIVEN_NAMES):
-        order = F.array(*[F.lit(n) for n in names])
+        order = F.split(F.lit(" ".join(names)), " ")
         at = F.array_position(order, title)
         step = 1 + F.pmod(_number(key, F.lit(f"given{i}")), F.lit(len(names) - 1))
         found = F.when(at > 0, F.get(order, F.pmod(at - 1 + step, F.lit(len(names))).cast("int"))).otherwise(found)
     return F.when(word == title, found).when((word == F.upper(word)) & (F.length(word) > 1), F.upper(found))
 
 
-def name_word(word: Column, key: Column) -> Column:
+def name_word(word: Column, key: Column, rows: Rows) -> Column:
     """The surrogate of one word of a name."""
 
     def other(w: Column) -> Column:
         cased = F.regexp_like(w, F.lit(r"^[\p{Lu}\p{Lt}].*[\p{Lu}\p{Ll}]$")) & (F.length(w) > 2)
         last = F.when(cased, F.substring(w, -1, 1)).otherwise("")
         body = F.when(cased, F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)
-        once = lambda b: permuted(b, F.concat(key, F.lit("/name"), last))
+        once = lambda b: permuted(b, F.concat(key, F.lit("/name"), last), rows)
         # a word that has become a listed name goes on to another one
         return _let(once(body), lambda b: F.concat(F.when(_given(F.concat(b, last), key).isNotNull(), once(b)).otherwise(b), last))
 
     return _let(word, lambda w: F.coalesce(_given(w, key), other(w)))
 
 
-def surrogate(value: Column, key: Column) -> Column:
+def surrogate(value: Column, key: Column, rows: Rows) -> Column:
     """The replacement of one entity; of an address the domain, and of a name each word, is one surrogate wherever it occurs."""
     part = lambda pattern: F.regexp_extract(value, pattern, 1)
     under = lambda *x: F.concat(key, *[F.lit(y) if isinstance(y, str) else y for y in x])
     code = part(r"^(\+\d{1,3})")
-    email = F.concat(permuted(part("^(.*)@"), under("/email", F.lower(part("@(.*)$")))), F.lit("@"), permuted(part(r"@(.*)\.[\p{L}\p{M}]+$"), under("/domain")), part(r"(\.[\p{L}\p{M}]+)$"))
+    email = F.concat(permuted(part("^(.*)@"), under("/email", F.lower(part("@(.*)$"))), rows), F.lit("@"), permuted(part(r"@(.*)\.[\p{L}\p{M}]+$"), under("/domain"), rows), part(r"(\.[\p{L}\p{M}]+)$"))
     phone = F.concat(code, permuted(F.substring(value, F.length(code) + 1, F.length(value)), under("/phone", code), ALPHABETS[:1]))
     upper = F.regexp_like(value, F.lit("[A-F]"))
     secret = F.when(upper, permuted(value, under("/secret"), HEX[1:])).otherwise(permuted(value, under("/secret"), HEX[:1]))
-    name = F.array_join(F.transform(F.split(value, " "), lambda w: name_word(w, key)), " ")
+    name = F.array_join(F.transform(F.split(value, " "), lambda w: name_word(w, key, rows)), " ")
 
     def by_kind(kind: Column) -> Column:
         out = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "secret", secret).when(kind == "ip", _ip(value, under("/ip")))
@@ -257,7 +266,7 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
 def replaced(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """others (a struct of the other columns), text with its entities replaced, and pairs (value, surrogate) of all of them."""
     rows = _found(docs, text, [c for c in docs.columns if c != text])
-    rows = rows.withColumn("pairs", F.when(F.size("found") > 0, F.transform("found", lambda e: F.struct(e.alias("value"), surrogate(e, F.lit(key)).alias("surrogate")))))
+    rows = rows.withColumn("pairs", F.when(F.size("found") > 0, with_alphabets(lambda rows: F.transform("found", lambda e: F.struct(e.alias("value"), surrogate(e, F.lit(key), rows).alias("surrogate"))))))
     parts = F.when(F.col("pattern").isNotNull(), F.split("text", F.col("pattern"), -1)).otherwise(F.split("text", ENTITY, -1))
     whole = F.array_join(F.zip_with(parts, "pairs", lambda p, e: F.concat(p, F.coalesce(e["surrogate"], F.lit("")))), "")
     own = F.filter("pairs", lambda e: e["value"] != e["surrogate"])
@@ -301,7 +310,7 @@ def surrogates(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 def _again(found: DataFrame, bad: DataFrame, key: str, text: str) -> DataFrame:
     """found with other surrogates for the values of bad. Rows that hold none are left as they are."""
     named = found.withColumn("row", F.xxhash64("others", "text"))
-    hit = named.select("row", F.inline("pairs")).join(bad.select("value").distinct(), "value").select("row", "value", surrogate(F.col("value"), F.lit(key)).alias("new")).distinct()
+    hit = named.select("row", F.inline("pairs")).join(bad.select("value").distinct(), "value").select("row", "value", with_alphabets(lambda rows: surrogate(F.col("value"), F.lit(key), rows)).alias("new")).distinct()
     new = hit.groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("value", "new"))).alias("new"))  # the values of one text
     rows = named.join(new, "row", "left")
     pairs = F.transform("pairs", lambda p: F.struct(p["value"].alias("value"), F.coalesce(F.try_element_at("new", p["value"]), p["surrogate"]).alias("surrogate")))

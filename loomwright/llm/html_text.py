@@ -1,19 +1,27 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block. A line weighs as much as it has text, and nothing where its markup
-says that it is no article text. Sums over a sliding window of lines show where text surges and where it dives; what
-lies between is kept, without the lines of no weight.
+Markup is stripped into lines, one for each block. A line weighs as much as it has text outside links, and nothing where
+its markup says that it is menu, notice, advert and the like; such lines are taken out first. Sums over a sliding window
+of the other lines show where text surges and where it dives: the first and last long lines in windows of at least SURGE
+characters bound the text. What lies between stays, and so do the shorter lines that adjoin, as long as they are in the
+block that holds all long lines. If the best window lies in an element marked as the article, lines outside such elements
+weigh nothing, and those inside weigh as much as they have text.
 
-Defined results: a null or empty page, and one without text, give the empty text; unclosed and stray tags are allowed;
-a page whose every line is marked as no article text is read again by its tags alone, then by its forms too.
+Defined results: a null or empty page, and one without text, give the empty text; a page without a surge gives all lines
+that have weight; unclosed and stray tags are allowed; a page whose text is in one form, or all marked by class words as no
+article text, is read without these marks. Pages of any length are read whole, in time linear in their length; repeated
+rows are answered each; further columns are those named in `keep`.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import insort
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,10 +30,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, texts_of
 
 WINDOW = 3
-#: Outside a marked article, text surges where a window has this share of the page's best window.
-SURGE = 0.15
-#: A region is kept if it has this share of the largest region's text.
-REGION = 0.3
+#: Characters in a window from which on text surges, and of a line that can begin or end it.
+SURGE, LONG = 150, 50
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>?|<[!?][^>]*>?""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -45,6 +51,11 @@ NOISE_WORDS = frozenset(
     "share sharing social related recommended recommendations widget widgets toolbar pagination pager copyright disclaimer masthead topbar skip offcanvas".split()
 )
 HEADER_WORDS = frozenset(("header", "head", "top"))
+#: Ids that mark no article text even inside an article; other ids there may be a heading's anchor.
+NOISE_IDS = frozenset("comments comment-list commentlist disqus disqus_thread respond sidebar footer newsletter".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold lines; others are lines themselves.
+CONTAINERS = frozenset("html body div section article main aside header footer nav form table tbody thead tfoot tr td th blockquote center details fieldset ul ol dl".split())
 ARTICLE_ROLES = frozenset(("main", "article"))
 ARTICLE_NAMES = re.compile(r"\b(?:article|post|entry|story|main|page)[-_]?(?:body|content|text)\b|\barticlebody\b", re.I)
 
@@ -55,17 +66,23 @@ class Line:
     noise: bool
     article: bool
     links: int
+    #: The number of the block that holds the line.
+    holder: int
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(raw)}
 
 
-def _noisy(name: str, raw: str, inside: bool, strict: int) -> bool:
-    """Whether an element holds no article text; strict: 2 by tag, role and class, 1 by tag and role, 0 not even forms."""
+def _words(value: str) -> set[str]:
+    return {w.lower() for w in WORD.findall(value)}
+
+
+def _noisy(name: str, raw: str, inside: bool, forms: bool, words: bool) -> bool:
+    """Whether an element holds no article text; forms: forms do not; words: class words and ids tell."""
     if name in ("html", "body", "article", "main"):
         return False
-    if name in NOISE_TAGS and (name != "form" or strict):
+    if name in NOISE_TAGS and (name != "form" or forms):
         return True
     if name == "header" and not inside:
         return True
@@ -74,125 +91,189 @@ def _noisy(name: str, raw: str, inside: bool, strict: int) -> bool:
     a = _attributes(raw)
     if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
         return True
-    if a.get("role", "") in NOISE_ROLES and strict:
+    role = a.get("role", "")
+    if role in NOISE_ROLES and (role != "form" or forms):
+        return True
+    if not words or name in HEADINGS:
+        return False
+    if inside:
+        return bool(_words(a.get("class", "")) & NOISE_WORDS) or a.get("id", "").lower() in NOISE_IDS
+    found = _words(f"{a.get('class', '')} {a.get('id', '')}")
+    return bool(found & NOISE_WORDS or found & HEADER_WORDS and name in ("div", "section", "table", "ul"))
+
+
+def _is_article(name: str, raw: str) -> bool:
+    if name in ("article", "main"):
         return True
-    words = {w.lower() for w in WORD.findall(f"{a.get('class', '')} {a.get('id', '')}")}
-    return strict == 2 and bool(words & NOISE_WORDS or not inside and words & HEADER_WORDS and name in ("div", "section", "table", "ul"))
-
-
-def lines_of(page: str, strict: int = 2) -> list[Line]:
-    """The page's lines in order."""
-    out: list[Line] = []
-    parts: list[str] = []
-    stack: list[list] = []  # name, noise, article, and for noise inside a line where its text begins among the parts
-    links = at = 0
-    in_link = False
-
-    def flush() -> None:
-        nonlocal links
-        if parts:
-            inside = [x for x in stack if x[3] is not None]
-            if inside:  # noise that is still open goes from this line, and from where the next one begins
-                del parts[inside[0][3] :]
-                for x in inside:
-                    x[3] = 0
-            text = " ".join(html.unescape("".join(parts)).split())
+    if not raw.strip():
+        return False
+    a = _attributes(raw)
+    return a.get("role") in ARTICLE_ROLES or bool(ARTICLE_NAMES.search(f"{a.get('class', '')} {a.get('id', '')} {a.get('itemprop', '')}"))
+
+
+class _Reader:
+    """Lines of a page as its tags come. A stack entry: name, noise, article, holder, and for noise inside a line where its
+    text begins among the parts (else None)."""
+
+    def __init__(self, forms: bool, words: bool):
+        self.forms, self.words = forms, words
+        self.lines: list[Line] = []
+        self.holders: list[int] = [0]
+        self.parts: list[str] = []
+        self.stack: list[list] = []
+        self.open: Counter[str] = Counter()
+        self.inline: list[list] = []  # noise inside a line that is still open
+        self.links, self.in_link = 0, False
+
+    def text(self, value: str) -> None:
+        self.parts.append(value)
+        if self.in_link:
+            self.links += len(value.strip())
+
+    def line(self) -> None:
+        if self.parts:
+            if self.inline:  # noise that is still open goes from this line, and from where the next one begins
+                del self.parts[self.inline[0][4] :]
+                for x in self.inline:
+                    x[4] = 0
+            text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                block = next((x for x in reversed(stack) if x[3] is None), ("", False, False))
-                out.append(Line(text, block[1], block[2], links))
-            parts.clear()
-        links = 0
-
-    def add(text: str) -> None:
-        nonlocal links
-        parts.append(text)
-        if in_link:
-            links += len(text.strip())
-
-    n = len(page)
+                _, noise, article, holder, _ = next((x for x in reversed(self.stack) if x[4] is None), ("", False, False, 0, None))
+                self.lines.append(Line(text, noise, article, self.links, holder))
+            self.parts.clear()
+        self.links = 0
+
+    def _close(self, i: int) -> None:
+        """Ends the entries of the stack from i on."""
+        marks = [x[4] for x in self.stack[i:] if x[4] is not None]
+        if marks:
+            del self.parts[marks[0] :]
+            del self.inline[-len(marks) :]
+        self.open.subtract(x[0] for x in self.stack[i:])
+        del self.stack[i:]
+
+    def end(self, name: str) -> None:
+        if self.open[name] > 0:
+            self._close(next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == name))
+
+    def begin(self, name: str, raw: str) -> None:
+        if name in BLOCK:  # a block ends an open paragraph
+            for i in range(len(self.stack) - 1, -1, -1):
+                if self.stack[i][0] == "p" or name == "li" and self.stack[i][0] == "li":
+                    self._close(i)
+                    break
+                if self.stack[i][0] in BLOCK:
+                    break
+        above = self.stack[-1] if self.stack else ["", False, False, 0, None]
+        noise = above[1] or _noisy(name, raw, above[2], self.forms, self.words)
+        if name in BLOCK:
+            holder = above[3]
+            if name in CONTAINERS:
+                self.holders.append(holder)
+                holder = len(self.holders) - 1
+            self.stack.append([name, noise, not noise and (above[2] or _is_article(name, raw)), holder, None])
+        elif noise and not above[1]:
+            self.stack.append([name, True, False, above[3], len(self.parts)])
+            self.inline.append(self.stack[-1])
+        else:
+            return
+        self.open[name] += 1
+
+
+def lines_of(page: str, forms: bool = True, words: bool = True) -> tuple[list[Line], list[int]]:
+    """The page's lines in order, and for each block the block that holds it."""
+    out, at, n = _Reader(forms, words), 0, len(page)
     while at < n:
         m = TOKEN.search(page, at)
         if m is None:
-            add(page[at:])
+            out.text(page[at:])
             break
         if m.start() > at:
-            add(page[at : m.start()])
+            out.text(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         name, closes = m[2].lower(), bool(m[1])
         if name in BLOCK:
-            flush()
+            out.line()
         elif name == "br":
-            parts.append(" ")
+            out.parts.append(" ")
         if name == "a":
-            in_link = not closes
+            out.in_link = not closes
         if name in RAW:
             if not closes and not m[3].endswith("/"):
                 end = RAW[name].search(page, at)
                 at = end.end() if end else n
-            continue
-        if closes:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    marks = [x[3] for x in stack[i:] if x[3] is not None]
-                    if marks:
-                        del parts[marks[0] :]
-                    del stack[i:]
-                    break
-            continue
-        if name in VOID or m[3].endswith("/"):
-            continue
-        if name in BLOCK:  # a block ends an open paragraph
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or name == "li" and stack[i][0] == "li":
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK:
-                    break
-        above = stack[-1] if stack else ["", False, False, None]
-        noise = above[1] or _noisy(name, m[3], above[2], strict)
-        article = not noise and (above[2] or name in ("article", "main") or bool(m[3].strip()) and ((a := _attributes(m[3])).get("role") in ARTICLE_ROLES or bool(ARTICLE_NAMES.search(f"{a.get('class', '')} {a.get('id', '')} {a.get('itemprop', '')}"))))
-        if name in BLOCK:
-            stack.append([name, noise, article, None])
-        elif noise and not above[1]:
-            stack.append([name, True, False, len(parts)])
-    flush()
-    return out
-
-
-def regions(weights: list[int], threshold: float) -> list[tuple[int, int]]:
-    """Ranges of lines from a surge to a dive: window sums rise to the threshold, and later fall to nothing."""
-    n = len(weights)
-    sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
-    out, i = [], 0
-    while i < n:
-        if sums[i] >= threshold:
-            begin = i
-            while i < n and sums[i] > 0:
-                i += 1
-            out.append((begin, i))
-        i += 1
-    return out
+        elif closes:
+            out.end(name)
+        elif name not in VOID and not m[3].endswith("/"):
+            out.begin(name, m[3])
+    out.line()
+    return out.lines, out.holders
+
+
+def window_sums(weights: list[int]) -> list[int]:
+    """What weigh WINDOW lines from each one on."""
+    total = [0, *accumulate(weights)]
+    return [total[min(i + WINDOW, len(weights))] - total[i] for i in range(len(weights))]
+
+
+def _common(holders: list[int], blocks: set[int]) -> int:
+    """The innermost block that holds all of some blocks; a block's number is above its holder's."""
+    left = sorted(blocks)
+    while len(left) > 1:
+        insort(left, holders[left.pop()])
+        if len(left) > 1 and left[-1] == left[-2]:
+            left.pop()
+    return left[0]
+
+
+def _within(holders: list[int], block: int, outer: int) -> bool:
+    while block > outer:
+        block = holders[block]
+    return block == outer
+
+
+def bounds(live: list[Line], weights: list[int], holders: list[int]) -> tuple[int, int]:
+    """The first line of the text and the one after its last: from where it surges to where it dives, with what adjoins."""
+    sums = window_sums(weights)
+    # a line is in a surge if one of the windows that hold it is
+    core = [i for i, w in enumerate(weights) if w >= LONG and max(sums[max(0, i - WINDOW + 1) : i + 1]) >= SURGE]
+    if not core:
+        return 0, len(live)
+    outer = _common(holders, {live[i].holder for i in core})
+    begin, end = core[0], core[-1] + 1
+    adjoins = lambda i: weights[i] > 0 and _within(holders, live[i].holder, outer)
+    while begin > 0 and adjoins(begin - 1):
+        begin -= 1
+    while end < len(live) and adjoins(end):
+        end += 1
+    return begin, end
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    for strict in (2, 1, 0):
-        found = lines_of(page, strict)
-        live = [x for x in found if not x.noise]
-        inside = sum(len(x.text) for x in live if x.article)
-        marked = inside > 0 and inside * 4 >= sum(len(x.text) for x in live)
-        weights = [0 if x.noise or marked and not x.article or not marked and x.links * 2 > len(x.text) else len(x.text) for x in found]
-        if not any(weights):
-            continue
-        best = max(sum(weights[i : i + WINDOW]) for i in range(len(weights)))
-        spans = regions(weights, 1 if marked else SURGE * best)
-        totals = [sum(weights[a:b]) for a, b in spans]
-        keep = [s for s, t in zip(spans, totals) if marked or t >= REGION * max(totals)]
-        return "\n".join(found[i].text for a, b in keep for i in range(a, b) if weights[i])
-    return ""
+    live, holders, most = [], [], 0
+    for forms, words in ((True, True), (False, True), (True, False), (False, False)):
+        # class words are doubted only where they leave nothing, forms also where text surges in one and nowhere else
+        if most >= SURGE or live and not words:
+            break
+        found, blocks = lines_of(page, forms, words)
+        kept = [x for x in found if not x.noise]
+        now = max(window_sums([len(x.text) for x in kept]), default=0)
+        if now and not live or now >= SURGE:
+            live, holders, most = kept, blocks, now
+    weights = [max(len(x.text) - x.links, 0) for x in live]
+    sums = window_sums(weights)
+    top = max(range(len(sums)), key=sums.__getitem__, default=None)
+    if top is None:
+        return ""
+    if any(x.article for x in live[top : top + WINDOW]):
+        live = [x for x in live if x.article]
+        return "\n".join(x.text for x in live)
+    begin, end = bounds(live, weights, holders)
+    return "\n".join(x.text for x in live[begin:end])
 
 
 def extract(pages: DataFrame, key: str = "page_id", page: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

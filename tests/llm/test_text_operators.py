@@ -122,6 +122,45 @@ def test_html_noise_inside_a_line_leaves_one_block():
     assert html_text.main_text(page) == "One two three.\nFour\nfive six"
 
 
+LOREM = "This sentence is one of many in the text of the article, and it has some length of its own."
+
+
+def test_html_without_any_marks():
+    """No article element and no telling class: the windows and the blocks decide."""
+    menu = "<div><ul>" + "".join(f"<li><a href=/{i}>Part {i}</a>" for i in range(9)) + "</ul></div>"
+    side = "<div><p>Short words.</p><p>More of it.</p></div>"
+    body = "<div><h2>A headline</h2><p>By a writer</p>" + f"<p>{LOREM} {LOREM}</p><p>No.</p><p>{LOREM}</p><ul><li>One<li>Two</ul><p>The end.</p></div>"
+    want = f"A headline\nBy a writer\n{LOREM} {LOREM}\nNo.\n{LOREM}\nOne\nTwo\nThe end."
+    assert html_text.main_text(f"<html><body>{menu}{side}{body}{side}{menu}</body>") == want
+    # teasers in elements called article do not outweigh the text
+    teasers = "".join(f"<article><h3><a href=/{i}>Read the story number {i}</a></h3></article>" for i in range(8))
+    assert html_text.main_text(f"<body>{menu}{body}<div>{teasers}</div></body>") == want
+
+
+def test_html_headings_sections_and_forms():
+    page = f"<article><h2 id='related-work'>Related work</h2><p>{LOREM}</p><section id='discussion'><h2 id=navigation>Navigation</h2><p>{LOREM}</section><div class=ad>Buy</div><div class=share>x</div><p>Z.</p><div id=comments><p>{LOREM}</div></article>"
+    assert html_text.main_text(page) == f"Related work\n{LOREM}\nNavigation\n{LOREM}\nZ."
+    wrapped = f"<body><form><div class=menu>Menu menu</div><p>{LOREM} {LOREM}</p><p>Z.</p><div class=sidebar>Side {LOREM}</div></form><p>Top</p></body>"
+    assert html_text.main_text(wrapped).startswith(f"{LOREM} {LOREM}\nZ.") and "Side" not in html_text.main_text(wrapped) and "Menu" not in html_text.main_text(wrapped)
+
+
+def test_html_long_and_deep_pages():
+    import time
+
+    start = time.perf_counter()
+    many = "<body>" + "".join(f"<div><p>{LOREM} {i}</p></b>" for i in range(50_000)) + "<footer>Foot"
+    got = html_text.main_text(many)
+    assert len(many) > 5_000_000 and got.count("\n") == 49_999 and "Foot" not in got
+    assert time.perf_counter() - start < 60
+
+
+def test_html_query_with_other_element_names(spark, sf_dir):
+    """Without article elements the pages still give their text."""
+    for r in pq.read_table(f"{sf_dir}/pages.parquet").to_pylist():
+        page = re.sub(r"<(/?)article\b", r"<\1div", r["html"])
+        assert html_text.main_text(page) == html_text.main_text(r["html"])
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<p>", "<script>x", "<!-- only", "<nav>menu", "a < b"])
 def test_html_edges(page):
     assert html_text.main_text(page) == {"<nav>menu": "", "a < b": "a < b"}.get(page, "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NEAR_DAYS = 4
@@ -47,3 +47,24 @@ def same_case(score: Column, gap: Column, region: Column, other_region: Column,
     if least_hits and hits is not None:
         near = near.when(hits < least_hits, False)
     return F.when(other_region & ~region, False).when(other_office, False).when(gap <= NEAR_DAYS, near.otherwise(region)).otherwise(score >= STRONG_MATCH_SCORE)
+
+
+def adjacent_pairs(tokens: Column) -> Column:
+    """The distinct pairs of adjacent characters of an array of tokens; a token contained in another has only pairs of it."""
+    return F.array_distinct(F.flatten(F.transform(tokens, lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2))))))
+
+
+def best_by_title(releases: DataFrame, articles: DataFrame, least: float) -> DataFrame:
+    """url, id, score: each article's best release (id, rt) by the similarity of their tokens (url, at), the first of equals.
+
+    A score of `least` needs so many of a release's tokens to be met; of each release's tokens the rarest ones, of which
+    one at least must then be met, give the pairs of characters by which it meets articles: frequent words join nothing."""
+    words = releases.select("id", F.size("rt").alias("n"), F.explode("rt").alias("w"))
+    often = articles.select(F.explode("at").alias("w")).groupBy("w").agg(F.count("*").alias("often"))
+    ranked = words.join(often, "w", "left").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "w"))).alias("ws"))
+    # without n - ceil(least n) + 1 of its tokens a release cannot reach the score
+    rare = ranked.select("id", F.slice("ws", 1, F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int") + 1).alias("ws"))
+    keyed = rare.select("id", F.explode(adjacent_pairs(F.transform("ws", lambda x: x["w"]))).alias("p"))
+    met = articles.select("url", F.explode(adjacent_pairs(F.col("at"))).alias("p")).join(keyed, "p").select("url", "id").distinct()
+    score = met.join(articles, "url").join(releases, "id").select("url", "id", similarity(F.col("rt"), F.col("at")).alias("score")).where(F.col("score") >= least)
+    return score.groupBy("url").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id"))).alias("x")).select("url", "x.id", "x.score")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, texts_of
+from .common import in_arrow, map_arrow, slices, texts_of
 
 CACHE_ENTRIES = 400_000
 #: Bytes; longer pieces are merged one by one.
@@ -347,7 +347,7 @@ def decode(tokens: DataFrame, ranks_path: str, key: str = "doc_id", keep: tuple[
                 out = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep) + 1], out], [key, *keep, "decoded"])
 
-    return src.mapInArrow(run, f"{fields}, decoded binary")
+    return in_arrow(src, run, f"{fields}, decoded binary")
 
 
 def digests(docs: DataFrame, ranks_path: str) -> DataFrame:

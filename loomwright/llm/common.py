@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 from collections.abc import Callable, Iterator
 
@@ -61,6 +62,26 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
+def released() -> None:
+    """Gives freed memory back to the system: a worker that waits for its next task should hold little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; other systems do without
+    if trim:
+        trim(0)
+
+
+def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow whose workers give back their memory at a task's end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            released()
+
+    return df.mapInArrow(run, schema)
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, limit: int = 4_000_000, by: str = "text") -> DataFrame:
     """mapInArrow whose function gets pieces of a batch with about `limit` bytes in column `by` (or struct.field)."""
 
@@ -76,4 +97,4 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
             for a, b in slices(np.asarray(sizes), limit):
                 yield from f(batch.slice(a, b - a))
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import in_arrow, slices
 
 BLOCK = 512
 RATE = 8000
@@ -413,7 +413,7 @@ def to_flac(df: DataFrame, payload: str = "payload") -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(encode(part.column(len(keep)).to_pylist()), pa.binary())], [*keep, "media"])
 
-    return src.mapInArrow(run, schema)
+    return in_arrow(src, run, schema)
 
 
 def from_flac(df: DataFrame, media: str = "media") -> DataFrame:
@@ -433,7 +433,7 @@ def from_flac(df: DataFrame, media: str = "media") -> DataFrame:
                 pcm = pa.array([(w.view(np.uint8) ^ 128).tobytes() for w in whole], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, pcm, offsets, pa.array([feature(w, f) for w, f in zip(whole, starts)], pa.string())], [*keep, "pcm", "block_offsets", "feature"])
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def blocks(df: DataFrame, key: str = "doc_id") -> DataFrame:

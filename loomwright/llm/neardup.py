@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, map_arrow, slices, stored, texts_of
+from .common import dropped, in_arrow, map_arrow, slices, stored, texts_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -162,7 +162,7 @@ def word_idf(docs: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
 
-    found = docs.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = in_arrow(docs.select("text"), run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(DF_BUCKETS + 1)
     df[found["bucket"]] = found["n"]
     return np.log(2 + df[-1] / (1 + df[:-1])).astype(np.float64)
@@ -246,7 +246,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     found += [(x, own_id) for x in paired if similarity(held[x], own, weights) >= THRESHOLD]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["leader", "member"])
 
-    return rows.select(*keys, "id", "leaders", "keys").mapInArrow(run, "leader bigint, member bigint")
+    return in_arrow(rows.select(*keys, "id", "leaders", "keys"), run, "leader bigint, member bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -277,7 +277,7 @@ def shingle_order(sets: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
 
-    found = sets.select("keys").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = in_arrow(sets.select("keys"), run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(ORDER_BUCKETS, np.int64)
     out[found["bucket"].to_numpy()] = found["n"].to_numpy()
     return out
@@ -312,7 +312,7 @@ def prefixes(sets: DataFrame, order) -> DataFrame:  # noqa: ANN001  a broadcast
                 columns = [part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), *(pa.array(x) for x in (weight, np.concatenate(found), rest, rest >= short * weight))]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "class", "weight", "shingle", "rest", "first"])
 
-    return sets.select("id", "class", "keys").mapInArrow(run, "id bigint, class bigint, weight double, shingle bigint, rest double, first boolean")
+    return in_arrow(sets.select("id", "class", "keys"), run, "id bigint, class bigint, weight double, shingle bigint, rest double, first boolean")
 
 
 def apart(shared: DataFrame, labels: DataFrame | None, sets: DataFrame) -> DataFrame:
@@ -371,7 +371,10 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
             ids = shared.select(F.col("rep").alias("row")).distinct()
             # texts are dealt by row at every size; only ids are hashed, and no text is sorted
             wanted = src.join(ids.hint("shuffle_hash"), "row", "left_semi")
-            sets = stored(shingle_sets(wanted, idf).dropDuplicates(["id"]), "sets")
+            made = shingle_sets(wanted, idf)
+            # repeated rows have equal sets; sets are sorted to find them only where a row is repeated
+            repeated = not every.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+            sets = stored(made.dropDuplicates(["id"]) if repeated else made, "sets")
             done.append(sets)
         new = verified(pairs.withColumn("via", F.col("leader")), sets)
         links = stored(new if links is None else links.unionByName(new), f"links{k}")

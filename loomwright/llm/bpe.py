@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import in_arrow, map_arrow, slices, texts_of
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 120_000
 #: Bytes; longer pieces are merged one by one.
 LONG_PIECE = 64
 LETTER, NUMBER, OTHER, SPACE = range(4)
@@ -325,7 +325,7 @@ def encode(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "t
             cols.append(lists(v.offsets(ids, counts), counts))
         yield pa.RecordBatch.from_arrays(cols, [key, "ids", "offsets"][: len(cols)])
 
-    return map_arrow(src, run, f"{key} {kind}, ids array<int>" + ", offsets array<int>" * with_offsets, 1_000_000)
+    return map_arrow(src, run, f"{key} {kind}, ids array<int>" + ", offsets array<int>" * with_offsets, 500_000)
 
 
 def decode(tokens: DataFrame, ranks_path: str, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -351,8 +351,20 @@ def decode(tokens: DataFrame, ranks_path: str, key: str = "doc_id", keep: tuple[
 
 
 def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """Per document: n_tokens, SHA-256 of the decimal ids joined by a space, SHA-256 of the decoded bytes."""
-    ids = encode(docs, ranks_path, with_offsets=False).select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256")
-    )
-    return decode(ids, ranks_path, keep=("n_tokens", "ids_sha256")).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Per document: n_tokens, SHA-256 of the decimal ids joined by a space, SHA-256 of the bytes that the ids decode to.
+
+    Both directions run in one worker, a piece of a batch at a time, so that no task needs two."""
+    raw = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(raw.value)
+        ids, counts = v.encode(texts_of(batch.column(1)))
+        data, sizes = v.decode(ids), np.concatenate([[0], np.cumsum(v.lengths[ids])])
+        ends = sizes[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+        decoded = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists(ids, counts), decoded], ["doc_id", "ids", "decoded"])
+
+    both = map_arrow(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary", 500_000)
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

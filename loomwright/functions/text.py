@@ -5,7 +5,7 @@ Patterns start with (?U) where white space, digits or letters beyond ASCII count
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +37,11 @@ def any_phrase(text: Column, phrases: Sequence[str]) -> Column:
     return out
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once for a row, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def normalize_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
@@ -51,7 +56,7 @@ def semantic_key(text: Column) -> Column:
 
 def has_repeated_title(text: Column, title: Column) -> Column:
     key = semantic_key(F.regexp_replace(F.coalesce(title, F.lit("")), r"^\[[^\]]+\]", ""))
-    return (F.length(key) >= 8) & F.startswith(semantic_key(text), key)
+    return once(key, lambda k: F.when(F.length(k) >= 8, F.startswith(semantic_key(text), k)).otherwise(False))
 
 
 def times(text: Column, part: str) -> Column:
@@ -61,20 +66,22 @@ def times(text: Column, part: str) -> Column:
 
 def quality_score(text: Column, title: Column, marks: Sequence[str] = SUMMARY_MARKS, boilerplate: Sequence[str] = BOILERPLATE_PHRASES) -> Column:
     """Long texts with sentence marks score high; boilerplate, a repeated title and shortness cost; no text is -1000."""
-    t = normalize_space(text)
-    low = F.lower(t)
-    score = F.least(F.length(t), F.lit(1200)) + F.least(F.lit(300), sum((times(t, m) for m in marks), F.lit(0)) * 30)
-    for p in boilerplate:
-        score = score - F.when(F.contains(low, F.lit(p.lower())), 350).otherwise(0)
-    score = score - F.when(has_repeated_title(text, title), 120).otherwise(0) - F.when(F.length(t) < 120, 500).otherwise(0)
-    return F.when(t == "", -1000).otherwise(score).cast("int")
+    def scored(t: Column, low: Column) -> Column:
+        score = F.least(F.length(t), F.lit(1200)) + F.least(F.lit(300), sum((times(t, m) for m in marks), F.lit(0)) * 30)
+        for p in boilerplate:
+            score = score - F.when(F.contains(low, F.lit(p.lower())), 350).otherwise(0)
+        score = score - F.when(has_repeated_title(text, title), 120).otherwise(0) - F.when(F.length(t) < 120, 500).otherwise(0)
+        return F.when(t == "", -1000).otherwise(score).cast("int")
+
+    return once(normalize_space(text), lambda t: once(F.lower(t), lambda low: scored(t, low)))
 
 
 def low_quality(text: Column, title: Column, hard: Sequence[str] = HARD_FAILURE_PHRASES, marks: Sequence[str] = SUMMARY_MARKS, boilerplate: Sequence[str] = BOILERPLATE_PHRASES) -> Column:
-    t = normalize_space(text)
-    low = F.lower(t)
-    hits = sum((F.contains(low, F.lit(p.lower())).cast("int") for p in boilerplate), F.lit(0))
-    return (F.length(t) < 120) | any_phrase(low, [p.lower() for p in hard]) | (hits >= 2) | (quality_score(text, title, marks, boilerplate) < 100)
+    def weak(t: Column, low: Column) -> Column:
+        hits = sum((F.contains(low, F.lit(p.lower())).cast("int") for p in boilerplate), F.lit(0))
+        return (F.length(t) < 120) | any_phrase(low, [p.lower() for p in hard]) | (hits >= 2) | (quality_score(text, title, marks, boilerplate) < 100)
+
+    return once(normalize_space(text), lambda t: once(F.lower(t), lambda low: weak(t, low)))
 
 
 def stable_id(source: Column, url: Column) -> Column:

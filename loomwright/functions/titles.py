@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import any_phrase, blank_to_null, normalize_space, semantic_key
+from .text import any_phrase, blank_to_null, normalize_space, once, semantic_key
 
 # --- fixed values: what ends a title, what is no title word, particles in the order in which they are tried -----------
 TITLE_DELIMITERS = (" < ", " | ", " - ")
@@ -27,12 +27,7 @@ SUPPORT_OFFICE = r"[가-힣]교육지원청"
 
 def candidate_title(text: Column) -> Column:
     """A title without what list pages append to it: site names, metadata, dates, counters."""
-    return _let(F.regexp_replace(normalize_space(text), r"(?U)^(닫기\s+)+", ""), lambda t: _let(_before_delimiter(t), _without_metadata))
-
-
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once, however often f uses it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+    return once(F.regexp_replace(normalize_space(text), r"(?U)^(닫기\s+)+", ""), lambda t: once(_before_delimiter(t), _without_metadata))
 
 
 def _before_delimiter(t: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import matching as M
 from ..functions import text as T
 from ..functions import timewin as W
+from ..functions.titles import other_office
 from ..operators import contracts as C
 from ..operators import tables
 
@@ -54,11 +55,12 @@ def selected(items: DataFrame, drop: Sequence[tuple[str, Column]], rules: dict[s
 def assigned(releases: DataFrame, articles: DataFrame, region: Sequence[str] = (), other: Sequence[str] = (), before: int = 4, after: int = 14, suffixes: Sequence[str] = (), stop_words: Sequence[str] = ()) -> DataFrame:
     """newsId, url, score, gap: each article's one release.
 
-    releases: newsId, seq, title, date; articles: url, title, publisher, publishedAt (a date or null). Dated articles meet
+    releases: newsId, seq, title, date; articles: url, title, publisher, publishedAt (a date or null), seq (the order in
+    which they were seen: the first row of an address counts). Dated articles meet
     the releases of their band week by week; those without a date meet the releases with which they share two adjacent
     characters of a token, as a token that contains another has all pairs of it."""
     r = releases.select("newsId", "seq", F.to_date("date").alias("rd"), M.tokens(F.col("title"), suffixes, stop_words).alias("rt"))
-    a = articles.groupBy("url").agg(F.min_by(F.struct("title", "publisher", "publishedAt"), F.coalesce("title", F.lit(""))).alias("x")).select("url", "x.*")
+    a = articles.groupBy("url").agg(F.min_by(F.struct("title", "publisher", "publishedAt"), "seq").alias("x")).select("url", "x.*")
     a = a.select("url", "title", "publisher", F.to_date("publishedAt").alias("ad"), M.tokens(F.col("title"), suffixes, stop_words).alias("at"))
     week = lambda d: F.floor(F.unix_date(d) / 7)
     dated = a.where("ad is not null").withColumn("week", week(F.col("ad"))).join(r.withColumn("week", F.explode(F.sequence(week(F.date_sub("rd", before)), week(F.date_add("rd", after))))), "week").drop("week")
@@ -66,8 +68,9 @@ def assigned(releases: DataFrame, articles: DataFrame, region: Sequence[str] = (
     undated = a.where("ad is null").withColumn("p", F.explode(pairs(F.col("at")))).join(r.withColumn("p", F.explode(pairs(F.col("rt")))), "p").drop("p").dropDuplicates(["url", "newsId"])
     met = dated.unionByName(undated).where(M.within_days(F.col("ad"), F.col("rd"), before, after))
     met = met.withColumn("score", M.similarity(F.col("rt"), F.col("at"))).withColumn("gap", M.days_apart(F.col("ad"), F.col("rd")))
+    met = met.where(~(T.any_phrase(F.col("title"), other) & ~T.any_phrase(F.col("title"), region)))  # another region is the subject of the title
     here = T.any_phrase(F.concat_ws(" ", "title", "publisher"), region)
-    same = M.same_case(F.col("score"), F.col("gap"), here, T.any_phrase(F.col("title"), other), F.lit(False))
+    same = M.same_case(F.col("score"), F.col("gap"), here, F.lit(False), other_office(F.col("title"), region))
     rank = F.struct("score", (-F.coalesce("gap", F.lit(M.NO_GAP))).alias("near"), (-F.col("seq")).alias("first"))
     best = met.where(same).groupBy("url").agg(F.max_by(F.struct("newsId", "score", "gap"), rank).alias("b"))
     return best.select("b.newsId", "url", "b.score", "b.gap")
@@ -78,8 +81,9 @@ def covered(releases: DataFrame, matches: DataFrame, articles: DataFrame, most:
     before aggregators, by date and publisher."""
     publisher = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce("publisher", F.lit("")), r"(?Ui)\s*on\s+MSN\s*$", ""), r"(?U)\s+", ""))
     indirect = F.rlike(T.url_host(F.col("url")), F.lit(r"news\.google\.com|msn\.com|bing\.com")).cast("int")
-    rows = matches.join(articles.dropDuplicates(["url"]), "url").withColumn("_p", publisher).withColumn("_t", F.regexp_replace(F.coalesce("title", F.lit("")), "[^0-9A-Za-z가-힣]", ""))
-    best = rows.groupBy("newsId", "_p", "_t").agg(F.min_by(F.struct("title", "publisher", "publishedAt", "url"), F.struct(indirect, F.col("url"))).alias("x"))
+    first = articles.groupBy("url").agg(F.min("seq").alias("seq"), F.min_by(F.struct("title", "publisher", "publishedAt"), "seq").alias("x")).select("url", "seq", "x.*")
+    rows = matches.join(first, "url").withColumn("_p", publisher).withColumn("_t", F.regexp_replace(F.coalesce("title", F.lit("")), "[^0-9A-Za-z가-힣]", ""))
+    best = rows.groupBy("newsId", "_p", "_t").agg(F.min_by(F.struct("title", "publisher", "publishedAt", "url"), F.struct(indirect, F.col("seq"))).alias("x"))
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("x.publishedAt", F.lit("")).alias("d"), F.coalesce("x.publisher", F.lit("")).alias("p"), "x")))
     found = best.groupBy("newsId").agg(F.count("*").alias("articleCount"), F.slice(F.transform(order, lambda y: y["x"]), 1, most).alias("articles"))
     return releases.join(found, "newsId", "left").withColumn("articleCount", F.coalesce("articleCount", F.lit(0)))

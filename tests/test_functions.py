@@ -81,3 +81,30 @@ def test_date_band(spark):
     d = dt.date(2026, 8, 10)
     df = spark.createDataFrame([(d - dt.timedelta(4), d), (d - dt.timedelta(5), d), (d + dt.timedelta(14), d), (d + dt.timedelta(15), d), (None, d)], "a date, r date")
     assert [r[0] for r in df.select(M.within_days(F.col("a"), F.col("r"))).collect()] == [True, False, True, False, True]
+
+
+def test_fragments_and_best_summary(spark):
+    from loomwright.functions import reports as R
+
+    df = spark.createDataFrame([("• - 첫 줄 ( 12 명 ) , 끝 -", "a" * 200, "b" * 300)], "f string, h string, a string")
+    text, origin = R.best_summary(F.col("h"), F.col("a"), F.lit(200), F.lit(300), F.lit(False))
+    row = df.select(R.clean_fragment(F.col("f")).alias("f"), text.alias("t"), origin.alias("o"), R.first_fragments(F.array(F.lit("x"), F.lit("y"), F.lit("x"), F.lit("z")), F.array(F.lit(True), F.lit(False), F.lit(True), F.lit(True))).alias("two")).first()
+    assert row["f"] == "첫 줄 (12명), 끝" and row["o"] == "attachment" and row["t"] == "b" * 300 and row["two"] == ["x", "z"]
+    prefer = R.best_summary(F.col("h"), F.col("a"), F.lit(900), F.lit(0), F.lit(True))[1]
+    assert df.select(prefer).first()[0] == "attachment"
+
+
+def test_repeated_points_equal_all_pairs(spark):
+    import difflib
+    import random
+
+    from loomwright.operators.points import RATIO, repeated_points
+
+    rng = random.Random(4)
+    base = ["the school opens a new reading room for all", "teachers meet to plan the coming year together", "".join(rng.choice("abcdefgh ") for _ in range(60))]
+    rows = [(g, i, "".join(c if rng.random() > 0.12 else rng.choice("xyz ") for c in rng.choice(base))) for g in range(4) for i in range(12)]
+    rows += [(9, 0, ""), (9, 1, "  "), (9, 2, "one"), (9, 3, None)]
+    clean = lambda t: " ".join((t or "").split())
+    want = {(g, i, j) for g, i, a in rows for h, j, b in rows if g == h and i < j and difflib.SequenceMatcher(None, clean(a), clean(b)).ratio() >= RATIO}
+    got = {tuple(r) for r in repeated_points(spark.createDataFrame(rows, "g int, i int, t string"), "g", "i", "t").collect()}
+    assert got == want and len(want) > 10

@@ -28,7 +28,9 @@ def test_coverage(spark):
     articles = spark.createDataFrame([
         ("http://a/1", "Winter reading week opens today", "P", "2026-08-02"), ("http://news.google.com/1", "Winter reading week opens today!", "P on MSN", "2026-08-02"),
         ("http://a/2", "reading week ends, winter", "Q", None), ("http://a/3", "Winter reading week opens", "P", "2026-09-30"), ("http://a/4", "week", "P", "2026-08-02"),
+        ("http://a/1", "A title seen later", "P", "2026-08-02"),
     ], "url string, title string, publisher string, publishedAt string")
+    articles = articles.coalesce(1).withColumn("seq", F.monotonically_increasing_id())
     m = P.assigned(releases, articles)
     assert {r["url"]: r["newsId"] for r in m.collect()} == {"http://a/1": "r1", "http://news.google.com/1": "r1", "http://a/2": "r2"}
     got = {r["newsId"]: (r["articleCount"], [x["url"] for x in r["articles"] or []]) for r in P.covered(releases, m, articles).collect()}

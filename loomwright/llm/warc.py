@@ -261,24 +261,27 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
+#: Copies of one row that are made at once.
+BLOCK = 10_000
+
+
 def records(pages: DataFrame, least: int = 1000) -> DataFrame:
     """The rows to write: of equal payloads of `least` bytes or more, the largest page_id is the response, others revisit it."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    slim = pages.select("page_id", "url", F.sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("n"))
-    kinds = stored(slim.where(F.col("n") >= least).groupBy("digest", "page_id", "url").agg(F.count("*").alias("copies")), "digests")
-    rank = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", F.col("url").isNotNull().alias("has"), "url")
+    # wholly equal rows have one key; without nulls, so that grouping and join share one shuffle of the payloads
+    key = F.concat_ws(":", F.sha1(body), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.coalesce(F.concat(F.lit("="), "url"), F.lit("null")))
+    src = pages.select(key.alias("key"), "page_id", "url", body.alias("payload"))
+    slim = src.where(F.octet_length("payload") >= least).select("key", "page_id", "url", F.sha1("payload").alias("digest"))
+    kinds = stored(slim.groupBy("key").agg(F.min("page_id").alias("page_id"), F.min("url").alias("url"), F.min("digest").alias("digest"), F.count("*").alias("copies")), "digests")
+    rank = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", F.col("url").isNotNull().alias("has"), "url", "key")
     head = kinds.groupBy("digest").agg(F.max(rank).alias("head"), F.sum("copies").alias("k")).where("k > 1").drop("k")
-    # digests of a hot group meet in a join of slim rows that can be split; the payloads themselves are dealt by page and digest
-    told = kinds.join(head.repartition(F.xxhash64("digest")), "digest").withColumn("first", F.col("head.page_id").eqNullSafe(F.col("page_id")) & F.col("head.url").eqNullSafe(F.col("url")))
-    told = told.select("digest", F.col("page_id").alias("other_id"), F.col("url").alias("other_url"), F.col("head.page_id").alias("response_id"), "first", "copies").where("not first or copies > 1")
-    src = pages.select("page_id", "url", body.alias("payload"), F.sha1(body).alias("digest"))
-    rows = src.join(told.withColumnRenamed("digest", "own"), (F.col("digest") == F.col("own")) & F.col("page_id").eqNullSafe(F.col("other_id")) & F.col("url").eqNullSafe(F.col("other_url")), "left")
-    repeated = F.coalesce(F.col("first"), F.lit(False))
-    plain = rows.where(~repeated).select("page_id", "url", "payload", "response_id", F.col("own").isNotNull().alias("revisit"))
-    # wholly equal rows: one payload is kept before the shuffle, and the others need none
-    again = rows.where(repeated).groupBy("page_id", "url", "digest").agg(F.min("payload").alias("payload"), F.count("*").alias("copies"))
-    again = again.select("page_id", "url", "payload", F.col("page_id").alias("response_id"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("k"))
-    every = plain.unionByName(again.select("page_id", "url", "payload", "response_id", (F.col("k") > 1).alias("revisit")))
+    # digests of a hot group meet in a join of slim rows that can be split; the payloads themselves are dealt by key
+    told = kinds.join(head.repartition(F.xxhash64("digest")), "digest").select("key", F.col("head.page_id").alias("response_id"), (F.col("head.key") == F.col("key")).alias("first"))
+    # copies are counted before the shuffle; their rows come back in blocks, so that no array holds them all
+    each = src.groupBy("key").agg(F.min("page_id").alias("page_id"), F.min("url").alias("url"), F.min("payload").alias("payload"), F.count("*").alias("copies"))
+    rows = each.join(told, "key", "left").withColumn("block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"), F.lit(BLOCK).cast("long"))))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.col("block"), F.least(F.col("block") + (BLOCK - 1), F.col("copies")))))
+    every = rows.select("page_id", "url", "payload", "response_id", (F.col("first").isNotNull() & (~F.col("first") | (F.col("k") > 1))).alias("revisit"))
     urn = lambda c, digest: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(":"), digest)
     digest = F.sha1("payload")
     return every.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, flac, html_text, langid, maxent, neardup, pii, warc
+from . import bpe, chat, codes, decontam, flac, hardneg, html_text, langid, maxent, neardup, pii, quality, warc
 from .common import table
 
 #: For the queries over invented texts only, where the session has no key of its own.
@@ -54,7 +54,10 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_html_text, op3_pii_surrogates, op4_lm_scores, op5_language_id, op6_warc, op7_chat_format, op8_decontamination, op9_byte_bpe, op10_flac_media)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_near_dedup, op2_html_text, op3_pii_surrogates, op4_lm_scores, op5_language_id, op6_warc, op7_chat_format, op8_decontamination, op9_byte_bpe, op10_flac_media)
+} | {f.__name__: f for f in (codes.op11_vector_codes, hardneg.op12_hard_negatives, quality.op13_quality)}
 #: The others' digests come from learned models, tokenizers and codecs, or from regular expressions with lookarounds,
 #: which DuckDB's SQL does not have; they are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {"op6_warc": warc.ORACLE_SQL, "op7_chat_format": chat.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op6_warc": warc.ORACLE_SQL, "op7_chat_format": chat.ORACLE_SQL, "op11_vector_codes": codes.ORACLE_SQL, "op12_hard_negatives": hardneg.ORACLE_SQL}

@@ -10,7 +10,7 @@ from loomwright.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("pages", "conversations", "documents"):
+    for t in ("pages", "conversations", "documents", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     want, got = con.execute(queries.ORACLES[name]).df(), queries.QUERIES[name](spark, sf_dir).toPandas()
     order = sorted(want.columns)

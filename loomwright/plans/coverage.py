@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import matching as M
-from ..operators import tables
+from ..operators import overlap, tables
+from .pipelines import assigned
 from .registry import query, table
 
 SUFFIXES = ("ation", "tion", "ing", "ly", "ed", "er", "s")
@@ -100,6 +101,40 @@ select id as item_id, min(c) as component from r group by 1""")
 def title_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles that share two words or more, and what these lead to. The pairs come from an equi-join on words."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 3))
-    x = table(spark, sf_dir, "benchmark").select("item_id", F.explode(words).alias("w"))
-    pairs = x.alias("a").join(x.alias("b"), "w").where("a.item_id < b.item_id").groupBy(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b")).agg(F.count("*").alias("n")).where("n >= 2")
-    return tables.components(pairs).select(F.col("id").alias("item_id"), "component")
+    return overlap.clusters(table(spark, sf_dir, "benchmark"), "item_id", words).select(F.col("id").alias("item_id"), "component")
+
+
+#: Words of the tables' four languages that join nothing.
+COMMON_WORDS = (
+    "the", "of", "and", "to", "in", "is", "it", "that", "for", "was", "on", "are", "as", "with", "they", "at", "be", "this", "from", "or", "by", "not",
+    "le", "la", "les", "de", "des", "du", "et", "en", "un", "une", "que", "qui", "dans", "sur", "pour", "par", "elle", "il", "est", "au",
+    "der", "die", "das", "und", "von", "den", "mit", "sich", "ist", "nicht", "ein", "eine", "zu", "für", "auch", "auf",
+    "el", "los", "las", "se", "del", "al", "con", "su", "no", "es", "para", "como",
+)
+HERE, ELSEWHERE = ("src1", "src2"), ("tion ",)
+
+
+def _titles_sql(col: str) -> str:
+    cleaned = f"regexp_replace(coalesce({col}, ''), '[^0-9A-Za-z가-힣\\s]', ' ', 'g')"
+    return f"list_distinct(list_filter(regexp_split_to_array({cleaned}, '\\s+'), lambda w: length(w) >= 2 and not regexp_full_match(w, '[0-9]+') and not list_contains({list(COMMON_WORDS)}, w)))"
+
+
+@query(f"""
+with r as (select page_id as id, regexp_extract(html, '<title>([^<]*)', 1) as title, date '2026-01-01' + cast(page_id % 60 as int) as rd from pages),
+     a as (select doc_id, regexp_extract(text, '^[^.!?\n]*') as title, source, case when doc_id % 17 > 0 then date '2026-01-01' + cast(doc_id % 60 as int) end as ad from documents),
+     rt as (select id, rd, {_titles_sql('title')} as r from r), ot as (select *, {_titles_sql('title')} as o from a),
+     m as (select *, len(list_filter(r, lambda x: len(list_filter(o, lambda y: contains(y, x) or contains(x, y))) > 0)) as hits from rt, ot where ad is null or ad between rd - 4 and rd + 14),
+     s as (select *, case when len(r) > 0 and len(o) > 0 then hits * 1.0 / len(r) else 0.0 end as score, abs(ad - rd) as gap from m),
+     k as (select *, case when gap <= 4 then score >= 0.22 and (score >= 0.6 or hits >= 2 and (contains(title || ' ' || source, '{HERE[0]}') or contains(title || ' ' || source, '{HERE[1]}'))) else score >= 0.7 end as same from s
+           where not (contains(title, '{ELSEWHERE[0]}') and not contains(title, '{HERE[0]}') and not contains(title, '{HERE[1]}')))
+select id as page_id, doc_id, round(score, 6) as score, cast(coalesce(gap, 99) as int) as gap from k where same
+qualify row_number() over (partition by doc_id order by score desc, coalesce(gap, 99), id) = 1""")
+def assigned_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document, taken as an article under its first sentence, goes to the one page whose title it fits best."""
+    day = lambda key: F.date_add(F.lit("2026-01-01").cast("date"), (F.col(key) % 60).cast("int"))
+    releases = table(spark, sf_dir, "pages").select(F.col("page_id").alias("newsId"), F.col("page_id").alias("seq"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), day("page_id").alias("date"))
+    articles = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("url"), F.col("doc_id").alias("seq"), F.regexp_extract("text", r"^[^.!?\n]*", 0).alias("title"), F.col("source").alias("publisher"), F.when(F.col("doc_id") % 17 > 0, day("doc_id")).alias("publishedAt")
+    )
+    found = assigned(releases, articles, HERE, ELSEWHERE, stop_words=COMMON_WORDS, least_hits=2)
+    return found.select(F.col("newsId").alias("page_id"), F.col("url").alias("doc_id"), F.round("score", 6).alias("score"), F.coalesce("gap", F.lit(M.NO_GAP)).alias("gap"))

@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions import timewin as W
 from ..functions.titles import other_office
 from ..operators import contracts as C
-from ..operators import tables
+from ..operators import overlap, tables
 
 
 def usable(generic: Sequence[str], notices: Sequence[str], hard: Sequence[str] = T.HARD_FAILURE_PHRASES) -> Column:
@@ -52,25 +52,58 @@ def selected(items: DataFrame, drop: Sequence[tuple[str, Column]], rules: dict[s
     return kept, kept.groupBy("category").agg(F.count("*").alias("n"))
 
 
-def assigned(releases: DataFrame, articles: DataFrame, region: Sequence[str] = (), other: Sequence[str] = (), before: int = 4, after: int = 14, suffixes: Sequence[str] = (), stop_words: Sequence[str] = ()) -> DataFrame:
+#: A token that more articles have is dealt to several tasks.
+HOT_TOKEN = 50_000
+
+
+def _candidates(r: DataFrame, a: DataFrame, before: int, after: int, least_hits: int) -> DataFrame:
+    """newsId, url of all pairs that can be the same case: they share a date band, where both have a date, and one of the
+    release's rarest tokens.
+
+    A score that is good enough needs so many of a release's tokens to be met; of all but so many less one, then, one at
+    least is. Which of the articles' tokens contain a token, or are contained in it, is found among the distinct tokens."""
+    of_articles = a.select("url", "ad", F.explode("at").alias("r"))
+    often = of_articles.groupBy("r").agg(F.count("*").alias("often"))
+    of_releases = r.select("newsId", "rd", F.size("rt").alias("n"), F.explode("rt").alias("l"))
+    links = overlap.containing(of_releases.select(F.col("l").alias("t")).distinct(), often.select(F.col("r").alias("t"))).join(often, "r")
+    met = links.groupBy("l").agg(F.sum("often").alias("met"))
+    ranked = of_releases.join(met, "l", "left").groupBy("newsId", "rd", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("met", F.lit(0)).alias("met"), "l"))).alias("ls"))
+    salts = F.ceil(F.col("often") / HOT_TOKEN).cast("int")
+    dealt = lambda x: F.pmod(F.xxhash64("url"), F.greatest(F.coalesce(x, F.lit(1)), F.lit(1))).cast("int")
+    hot = often.where(F.col("often") > HOT_TOKEN).select("r", salts.alias("salts"))
+    week = lambda d: F.floor(F.unix_date(d) / 7)
+    rows = of_articles.join(hot, "r", "left").select("url", "ad", "r", dealt(F.col("salts")).alias("salt"), week(F.col("ad")).alias("week"))
+
+    def keyed(least: Column) -> DataFrame:
+        rare = ranked.select("newsId", "rd", F.explode(F.slice("ls", 1, F.col("n") - least + 1)).alias("x")).select("newsId", "rd", "x.l")
+        return rare.join(links, "l").select("newsId", "rd", "r", "often").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+
+    def banded(keys: DataFrame, first: int, last: int) -> DataFrame:
+        days = keys.where("rd is not null").withColumn("week", F.explode(F.sequence(week(F.date_sub("rd", first)), week(F.date_add("rd", last)))))
+        return days.join(rows.where("ad is not null"), ["week", "r", "salt"]).where(F.col("ad").between(F.date_sub("rd", first), F.date_add("rd", last)))
+
+    far = keyed(overlap.needed(F.col("n"), M.STRONG_MATCH_SCORE))
+    near = keyed(overlap.needed(F.col("n"), M.NEAR_MIN_SCORE, least_hits, M.NEAR_TRUST_SCORE))
+    dateless = far.join(rows, ["r", "salt"]).where("ad is null or rd is null")
+    found = (banded(near, min(before, M.NEAR_DAYS), min(after, M.NEAR_DAYS)), banded(far, before, after), dateless)
+    return found[0].select("newsId", "url").union(found[1].select("newsId", "url")).union(found[2].select("newsId", "url")).distinct()
+
+
+def assigned(releases: DataFrame, articles: DataFrame, region: Sequence[str] = (), other: Sequence[str] = (), before: int = 4, after: int = 14, suffixes: Sequence[str] = (), stop_words: Sequence[str] = (), least_hits: int = 0) -> DataFrame:
     """newsId, url, score, gap: each article's one release.
 
     releases: newsId, seq, title, date; articles: url, title, publisher, publishedAt (a date or null), seq (the order in
-    which they were seen: the first row of an address counts). Dated articles meet
-    the releases of their band week by week; those without a date meet the releases with which they share two adjacent
-    characters of a token, as a token that contains another has all pairs of it."""
+    which they were seen: the first row of an address counts). least_hits: so many tokens must be met where a score is
+    not trusted by itself. Pairs meet by their dates and a rare token, see _candidates()."""
     r = releases.select("newsId", "seq", F.to_date("date").alias("rd"), M.tokens(F.col("title"), suffixes, stop_words).alias("rt"))
     a = articles.groupBy("url").agg(F.min_by(F.struct("title", "publisher", "publishedAt"), "seq").alias("x")).select("url", "x.*")
     a = a.select("url", "title", "publisher", F.to_date("publishedAt").alias("ad"), M.tokens(F.col("title"), suffixes, stop_words).alias("at"))
-    week = lambda d: F.floor(F.unix_date(d) / 7)
-    dated = a.where("ad is not null").withColumn("week", week(F.col("ad"))).join(r.withColumn("week", F.explode(F.sequence(week(F.date_sub("rd", before)), week(F.date_add("rd", after))))), "week").drop("week")
-    pairs = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2))))))
-    undated = a.where("ad is null").withColumn("p", F.explode(pairs(F.col("at")))).join(r.withColumn("p", F.explode(pairs(F.col("rt")))), "p").drop("p").dropDuplicates(["url", "newsId"])
-    met = dated.unionByName(undated).where(M.within_days(F.col("ad"), F.col("rd"), before, after))
+    met = _candidates(r, a, before, after, least_hits).join(r, "newsId").join(a, "url").where(M.within_days(F.col("ad"), F.col("rd"), before, after))
     met = met.withColumn("score", M.similarity(F.col("rt"), F.col("at"))).withColumn("gap", M.days_apart(F.col("ad"), F.col("rd")))
     met = met.where(~(T.any_phrase(F.col("title"), other) & ~T.any_phrase(F.col("title"), region)))  # another region is the subject of the title
     here = T.any_phrase(F.concat_ws(" ", "title", "publisher"), region)
-    same = M.same_case(F.col("score"), F.col("gap"), here, F.lit(False), other_office(F.col("title"), region))
+    hits = F.round(F.col("score") * F.size("rt"))
+    same = M.same_case(F.col("score"), F.col("gap"), here, F.lit(False), other_office(F.col("title"), region), least_hits, hits)
     rank = F.struct("score", (-F.coalesce("gap", F.lit(M.NO_GAP))).alias("near"), (-F.col("seq")).alias("first"))
     best = met.where(same).groupBy("url").agg(F.max_by(F.struct("newsId", "score", "gap"), rank).alias("b"))
     return best.select("b.newsId", "url", "b.score", "b.gap")
@@ -92,8 +125,6 @@ def covered(releases: DataFrame, matches: DataFrame, articles: DataFrame, most:
 def routine_clusters(items: DataFrame, words: Column, least: int = 3, shared: int = 2, ceiling: int = 3) -> DataFrame:
     """newsId of items in clusters of `least` or more by titles that share words, none of them more important than the
     ceiling. words: an item's distinct title words."""
-    x = items.select("newsId", F.explode(words).alias("w"))
-    edges = x.alias("a").join(x.alias("b"), "w").where("a.newsId < b.newsId").groupBy(F.col("a.newsId").alias("a"), F.col("b.newsId").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= shared)
-    found = tables.components(edges).join(items.select(F.col("newsId").alias("id"), "importance"), "id")
+    found = overlap.clusters(items, "newsId", words, shared).join(items.select(F.col("newsId").alias("id"), "importance"), "id")
     groups = found.groupBy("component").agg(F.count("*").alias("n"), F.max("importance").alias("top")).where((F.col("n") >= least) & (F.col("top") <= ceiling))
     return found.join(groups.select("component"), "component", "left_semi").select(F.col("id").alias("newsId"))

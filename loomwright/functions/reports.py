@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import number_set
+from .text import number_set, repaired
 
 # --- fixed values: lengths, counts and phrases that decide results ---------------------------------------------------
 POINT_LENGTH = 320
@@ -83,25 +83,22 @@ def merged_issues(own: Column, status: Column, issues: Column, verified: Column)
     return F.concat(own, F.when(~verified | silent, whole).otherwise(theirs))
 
 
-def clean_fragment(text: Column) -> Column:
-    """A fragment of a press release without bullets, dashes and broken spaces."""
-    out = F.regexp_replace(text, r"(?U)^[\s\-–—·•*]+|[\s\-–—·•]+$", "")
-    for pattern, to in ((r"(?U)\s+", " "), (r" ([,.’”)\]%])", "$1"), (r"([‘“(\[]) ", "$1"), (r"(?U)(\d) (?=[가-힣])", "$1"), (r"(?U)~ (\d)", "~$1")):
-        out = F.regexp_replace(out, pattern, to)
-    return F.trim(out)
-
-
-def first_fragments(fragments: Column, good: Column, n: int = 2) -> Column:
-    """The first n distinct fragments for which a condition (an array of booleans beside them) holds."""
-    both = F.arrays_zip(fragments.alias("f"), good.alias("g"))
-    return F.slice(F.array_distinct(F.transform(F.filter(both, lambda x: x["g"]), lambda x: x["f"])), 1, n)
+# --- fixed values: what a fragment of a press release is rid of, in this order ------------------------------------------
+FRAGMENT_REPAIRS = (
+    (r"(?U)^[\-–—·•*\s]+", ""),
+    (r"(?U)[\-–—·•\s]+$", ""),
+    (r"(?U)\s+", " "),
+    (r"(?U)\s+([,\.\’”\)\]%])", "$1"),
+    (r"(?U)([‘“\(\[])\s+", "$1"),
+    (r"(?U)(\d)\s+(?=[가-힣])", "$1"),
+    (r"(?U)~\s+(\d)", "~$1"),
+)
+# -------------------------------------------------------------------------------------------------------------------
 
 
-def best_summary(html: Column, attachment: Column, html_score: Column, attachment_score: Column, prefer: Column, most: int = 5000) -> tuple[Column, Column]:
-    """The better of two texts and where it is from: an attachment wins if it is preferred and long enough, or scores 80 more."""
-    size = F.length(F.trim(F.regexp_replace(attachment, r"(?U)\s+", " ")))
-    wins = (attachment != "") & ((prefer & (size >= 120)) | (attachment_score > html_score + 80))
-    return F.substring(F.when(wins, attachment).otherwise(html), 1, most), F.when(wins, "attachment").otherwise("html")
+def clean_fragment(text: Column) -> Column:
+    """A fragment of a press release without bullets, dashes and broken spaces."""
+    return F.trim(repaired(text, FRAGMENT_REPAIRS))
 
 
 def rule_relevance(personnel: Column, system: Column, local: Column, once: Column) -> tuple[Column, Column]:

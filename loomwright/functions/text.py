@@ -155,11 +155,16 @@ BODY_REPAIRS = (
 # -------------------------------------------------------------------------------------------------------------------
 
 
+def repaired(text: Column, repairs: Sequence[tuple[str, str]]) -> Column:
+    """A text after replacements in their order."""
+    for pattern, to in repairs:
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
 def clean_body(text: Column) -> Column:
     """Broken bodies in sentences: numbers joined with their units, bullets, dashes and foreign footnotes gone."""
-    out = F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit(""))
-    for pattern, to in BODY_REPAIRS:
-        out = F.regexp_replace(out, pattern, to)
+    out = repaired(F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit("")), BODY_REPAIRS)
     return F.regexp_replace(out, r"(?U)\A\s+|\s+\z", "")
 
 

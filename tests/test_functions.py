@@ -83,15 +83,11 @@ def test_date_band(spark):
     assert [r[0] for r in df.select(M.within_days(F.col("a"), F.col("r"))).collect()] == [True, False, True, False, True]
 
 
-def test_fragments_and_best_summary(spark):
+def test_fragments(spark):
     from loomwright.functions import reports as R
 
-    df = spark.createDataFrame([("• - 첫 줄 ( 12 명 ) , 끝 -", "a" * 200, "b" * 300)], "f string, h string, a string")
-    text, origin = R.best_summary(F.col("h"), F.col("a"), F.lit(200), F.lit(300), F.lit(False))
-    row = df.select(R.clean_fragment(F.col("f")).alias("f"), text.alias("t"), origin.alias("o"), R.first_fragments(F.array(F.lit("x"), F.lit("y"), F.lit("x"), F.lit("z")), F.array(F.lit(True), F.lit(False), F.lit(True), F.lit(True))).alias("two")).first()
-    assert row["f"] == "첫 줄 (12명), 끝" and row["o"] == "attachment" and row["t"] == "b" * 300 and row["two"] == ["x", "z"]
-    prefer = R.best_summary(F.col("h"), F.col("a"), F.lit(900), F.lit(0), F.lit(True))[1]
-    assert df.select(prefer).first()[0] == "attachment"
+    df = spark.createDataFrame([("• - 첫 줄 ( 12 명 ) , 끝 -",)], "f string")
+    assert df.select(R.clean_fragment(F.col("f"))).first()[0] == "첫 줄 (12명), 끝"
 
 
 def test_repeated_points_equal_all_pairs(spark):

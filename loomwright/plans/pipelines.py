@@ -7,12 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bodies as B
 from ..functions import matching as M
 from ..functions import text as T
 from ..functions import timewin as W
-from ..functions.titles import other_office
+from ..functions.dates import any_date
+from ..functions.titles import first_title, other_office
 from ..operators import contracts as C
 from ..operators import overlap, tables
+from ..sources import nodes
 
 
 def usable(generic: Sequence[str], notices: Sequence[str], hard: Sequence[str] = T.HARD_FAILURE_PHRASES) -> Column:
@@ -39,6 +42,24 @@ def collected(old: DataFrame, new: DataFrame, names: DataFrame, window_end: Colu
     return named.orderBy(F.desc("date"), F.desc("collectedAt"), "id").limit(cap).withColumn("fresh", W.in_window(value, start, window_end))
 
 
+def detail_items(pages: DataFrame, paths: Sequence[str], junk: Sequence[str], today: Column, generic: Sequence[str] = ()) -> DataFrame:
+    """Items from fetched detail pages: id, sourceId, source, title, date, url, summary, contentOrigin, contentQuality.
+
+    pages: sourceId, source, url, html, listTitle, listText, attachment, preferred. The title is the first that says
+    something of the page's heading, its card, the list's and its own; the date is the first in the page or the list; the
+    summary is the best of the selected nodes, or the attachment."""
+    bare = lambda c: F.regexp_replace(nodes.unescaped(F.regexp_replace(c, r"(?s)<[^>]*>", " ")), r"(?U)\s+", " ")
+    tag = lambda name: bare(F.regexp_extract("html", rf"(?is)<{name}\b[^>]*>(.*?)</{name}\s*>", 1))
+    card = nodes.unescaped(F.regexp_extract("html", r'(?is)<meta\s[^>]*property="og:title"[^>]*content="([^"]*)"', 1))
+    title = first_title(F.array(tag("h1"), card, tag("h2"), F.coalesce("listTitle", F.lit("")), tag("title")), generic, "제목 없음")
+    page = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>", " ")
+    rows = pages.withColumns({"title": F.substring(title, 1, B.MOST_TITLE), "date": any_date(F.concat_ws(" ", bare(page), "listText"), today)})
+    best = nodes.best_text(pages, "url", "html", paths, T.quality_score(F.col("text"), F.lit("")), junk).select("url", F.col("text").alias("_node"))
+    rows = rows.join(best, "url", "left").withColumn("_s", B.chosen_summary(F.col("title"), F.col("_node"), F.col("attachment"), F.coalesce("preferred", F.lit(False))))
+    quality = T.quality_score(F.col("_s.summary"), F.col("title"))
+    return rows.select(T.stable_id(F.col("sourceId"), F.col("url")).alias("id"), "sourceId", "source", "title", "date", "url", "_s.summary", F.col("_s.origin").alias("contentOrigin"), quality.alias("contentQuality"))
+
+
 def selected(items: DataFrame, drop: Sequence[tuple[str, Column]], rules: dict[str, Sequence[str]], level: Column, importance: Column) -> tuple[DataFrame, DataFrame]:
     """Rule-based selection: the kept items with category and calibrated importance, and counts per category.
 

@@ -50,6 +50,11 @@ NOISE_WORDS = frozenset(
     "footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup signin login comment comments commentlist disqus respond reply replies discussion "
     "share sharing social related recommended recommendations widget widgets toolbar pagination pager copyright disclaimer masthead topbar skip offcanvas".split()
 )
+#: Words that say of noise where or what it is.
+PLACE_WORDS = frozenset(
+    "area articles bar block blocks bottom box button buttons col column container content fb form google icon icons inline inner item items left link links list main mobile news outer panel post posts row section "
+    "side slot small stories story strip tools top twitter unit us wrap wrapper zone right center middle in by the a for js el wp js v1 v2 1 2 3 4 5".split()
+)
 HEADER_WORDS = frozenset(("header", "head", "top"))
 #: Ids that mark no article text even inside an article; other ids there may be a heading's anchor.
 NOISE_IDS = frozenset("comments comment-list commentlist disqus disqus_thread respond sidebar footer newsletter".split())
@@ -78,6 +83,12 @@ def _words(value: str) -> set[str]:
     return {w.lower() for w in WORD.findall(value)}
 
 
+def _noise_name(name: str) -> bool:
+    """Whether a class says by all its words that an element is no text; a subject such as "social-impact" doesn't."""
+    found = _words(name)
+    return bool(found & NOISE_WORDS) and found <= NOISE_WORDS | PLACE_WORDS
+
+
 def _noisy(name: str, raw: str, inside: bool, forms: bool, words: bool) -> bool:
     """Whether an element holds no article text; forms: forms do not; words: class words and ids tell."""
     if name in ("html", "body", "article", "main"):
@@ -97,7 +108,7 @@ def _noisy(name: str, raw: str, inside: bool, forms: bool, words: bool) -> bool:
     if not words or name in HEADINGS:
         return False
     if inside:
-        return bool(_words(a.get("class", "")) & NOISE_WORDS) or a.get("id", "").lower() in NOISE_IDS
+        return any(map(_noise_name, a.get("class", "").split())) or a.get("id", "").lower() in NOISE_IDS
     found = _words(f"{a.get('class', '')} {a.get('id', '')}")
     return bool(found & NOISE_WORDS or found & HEADER_WORDS and name in ("div", "section", "table", "ul"))
 
@@ -119,6 +130,7 @@ class _Reader:
         self.forms, self.words = forms, words
         self.lines: list[Line] = []
         self.holders: list[int] = [0]
+        self.stories: set[int] = set()  # blocks that are elements of a whole story
         self.parts: list[str] = []
         self.stack: list[list] = []
         self.open: Counter[str] = Counter()
@@ -171,6 +183,8 @@ class _Reader:
             if name in CONTAINERS:
                 self.holders.append(holder)
                 holder = len(self.holders) - 1
+                if name in ("article", "main"):
+                    self.stories.add(holder)
             self.stack.append([name, noise, not noise and (above[2] or _is_article(name, raw)), holder, None])
         elif noise and not above[1]:
             self.stack.append([name, True, False, above[3], len(self.parts)])
@@ -180,8 +194,8 @@ class _Reader:
         self.open[name] += 1
 
 
-def lines_of(page: str, forms: bool = True, words: bool = True) -> tuple[list[Line], list[int]]:
-    """The page's lines in order, and for each block the block that holds it."""
+def lines_of(page: str, forms: bool = True, words: bool = True) -> tuple[list[Line], list[int], set[int]]:
+    """The page's lines in order, for each block the block that holds it, and the blocks of stories."""
     out, at, n = _Reader(forms, words), 0, len(page)
     while at < n:
         m = TOKEN.search(page, at)
@@ -209,7 +223,7 @@ def lines_of(page: str, forms: bool = True, words: bool = True) -> tuple[list[Li
         elif name not in VOID and not m[3].endswith("/"):
             out.begin(name, m[3])
     out.line()
-    return out.lines, out.holders
+    return out.lines, out.holders, out.stories
 
 
 def window_sums(weights: list[int]) -> list[int]:
@@ -251,27 +265,49 @@ def bounds(live: list[Line], weights: list[int], holders: list[int]) -> tuple[in
     return begin, end
 
 
+def own_story(live: list[Line], holders: list[int], stories: set[int]) -> list[Line]:
+    """The lines without other stories (teasers) inside a story: those that weigh less than what is the outer one's own."""
+
+    def story(block: int) -> int:
+        while block and block not in stories:
+            block = holders[block]
+        return block
+
+    own: Counter[int] = Counter()
+    for x in live:
+        own[story(x.holder)] += max(len(x.text) - x.links, 0)
+    whole = Counter(own)
+    for s in sorted(stories, reverse=True):  # a block's number is above its holder's
+        whole[story(holders[s])] += whole[s] if holders[s] else 0
+    most: Counter[int] = Counter()
+    for s in stories:
+        outer = story(holders[s])
+        most[outer] = max(most[outer], whole[s])
+    other = {s for s in stories if story(holders[s]) and own[story(holders[s])] > most[story(holders[s])]}
+
+    def within(block: int) -> bool:
+        while block and block not in other:
+            block = holders[block]
+        return block > 0
+
+    return [x for x in live if not within(x.holder)] if other else live
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    live, holders, most = [], [], 0
+    live, holders, stories, most = [], [], set(), 0
     for forms, words in ((True, True), (False, True), (True, False), (False, False)):
         # class words are doubted only where they leave nothing, forms also where text surges in one and nowhere else
         if most >= SURGE or live and not words:
             break
-        found, blocks = lines_of(page, forms, words)
+        found, blocks, whole = lines_of(page, forms, words)
         kept = [x for x in found if not x.noise]
         now = max(window_sums([len(x.text) for x in kept]), default=0)
         if now and not live or now >= SURGE:
-            live, holders, most = kept, blocks, now
+            live, holders, stories, most = kept, blocks, whole, now
+    live = own_story(live, holders, stories)
     weights = [max(len(x.text) - x.links, 0) for x in live]
-    sums = window_sums(weights)
-    top = max(range(len(sums)), key=sums.__getitem__, default=None)
-    if top is None:
-        return ""
-    if any(x.article for x in live[top : top + WINDOW]):
-        live = [x for x in live if x.article]
-        return "\n".join(x.text for x in live)
     begin, end = bounds(live, weights, holders)
     return "\n".join(x.text for x in live[begin:end])
 

@@ -265,3 +265,20 @@ def test_language_of_marks_alone_and_against_brute_force(spark):
             theirs = {g: k for k, g in enumerate(ranking(texts[{"en": 1, "fr": 2}[lang]], True))}
             best.append(sum(abs(theirs[g] - k) if g in theirs else langid.PROFILE for k, g in enumerate(own)))
         assert got[i] == (sorted(profiles)[int(np.argmin(best))], pytest.approx(1 - min(best) / (len(own) * langid.PROFILE)))
+
+
+def test_teasers_of_other_stories_go():
+    story = "<p>" + "A paragraph of the story that is long enough to count as a text of the page, with more words. " * 2 + "</p>"
+    teasers = "".join(f"<article><h3>Teaser {i}</h3><p>Some short text of another story that one may like to read, number {i}.</p></article>" for i in range(5))
+    for page in (f"<body><main>{story * 4}{teasers}</main></body>", f"<body><article>{story * 4}<section>{teasers}</section></article></body>"):
+        assert "Teaser" not in html_text.main_text(page) and html_text.main_text(page).count("\n") == 3
+    # a story inside a main element that says little of its own stays, and so do stories of equal rank
+    assert html_text.main_text(f"<body><main><p>Welcome to this site of ours.</p><article>{story * 4}</article></main></body>").count("of the story") == 8
+    assert html_text.main_text(f"<body><main><article>{story * 2}</article><article>{story * 2}</article></main></body>").count("of the story") == 8
+
+
+def test_class_words_inside_an_article_are_whole_names():
+    story = "<p>" + "A paragraph of the story that is long enough to count as a text of the page. " * 2 + "</p>"
+    told = "This paragraph tells of the impact of it all, and it is of some length, too."
+    for name, stays in (("social-impact", True), ("share", False), ("share-buttons", False), ("related-articles", False), ("ad", False), ("adSlot", False), ("x-ads", True)):
+        assert (told in html_text.main_text(f"<body><article>{story}<p class='{name}'>{told}</p>{story}</article></body>")) == stays, name

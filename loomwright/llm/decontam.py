@@ -7,6 +7,7 @@ benchmark's. Hits on one diagonal of one view (document position minus item posi
 Within each run of contiguous hits of templates the slots must be consistent: one benchmark value always stands for one
 value of the document, while two values may stand for the same one; of a run that is not, the windows with equal tokens
 count. So a question with other numbers is caught, and a text that merely has numbers is not.
+Windows that many items have, such as a line of instructions, are no sign of one of them: an item counts by its others.
 
 Defined results: null texts have no tokens; items shorter than WINDOW tokens are one window of their own length, items
 of fewer than SHORTEST tokens are not looked for; repeated items are found each; repeated rows of a document are found
@@ -27,6 +28,8 @@ WINDOW = 8
 SHORTEST = 4
 #: Windows on one diagonal that make an occurrence (or all windows of an item that has fewer).
 HITS = 3
+#: A window that more different texts of the benchmark have is looked for only where an item has no other.
+COMMON = 8
 #: A template's window with a smaller share of plain words is left to the view of words.
 PLAIN = 0.6
 #: Benchmark windows, and rows of ids, that may be broadcast; beyond it the join shuffles.
@@ -117,17 +120,36 @@ def _views(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.inline(_let(tokens(F.col("text")), both)))
 
 
-def _hits(texts: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """row, item_id, view, diagonal, at: equal windows of `size` tokens."""
+def _windows(df: DataFrame, key: str, at: str, sizes: Column) -> DataFrame:
+    """key, view, size, at, window: the windows of each size in an array of small structs (size, code)."""
+    return df.select(key, "view", F.inline(sizes)).select(key, "view", "size", F.posexplode("hashes").alias(at, "window")).where("window is not null")
 
-    def found(df: DataFrame, key: str, at: str) -> DataFrame:
-        code = F.when(F.col("view") == WORDS, windows(F.col("code"), size, WORDS)).otherwise(windows(F.col("code"), size, TEMPLATE))
-        return df.select(key, "view", F.posexplode(code).alias(at, "window")).where("window is not null")
 
-    wanted = found(items.where(F.col("size") == size), "item_id", "at").withColumnRenamed("view", "own")
+def _hashes(size: int) -> Column:
+    own = F.when(F.col("view") == WORDS, windows(F.col("code"), size, WORDS)).otherwise(windows(F.col("code"), size, TEMPLATE))
+    return F.struct(F.lit(size).alias("size"), own.alias("hashes"))
+
+
+def _wanted(items: DataFrame, sizes: list[int]) -> DataFrame:
+    """item_id, view, size, at, window: the windows that an item is looked for by.
+
+    A window that more than COMMON different texts of the benchmark have (an instruction, a frame of many questions) tells
+    nothing of one of them: an item is looked for by its other windows, or by all of them where it has no other."""
+    own = F.filter(F.array(*[_hashes(n) for n in sizes]), lambda x: x["size"] == F.col("size"))
+    every = _windows(items, "item_id", "at", own).join(items.select("item_id", "view", F.xxhash64("code").alias("text")), ["item_id", "view"])
+    often = every.groupBy("view", "window").agg(F.count_distinct("text").alias("n")).where(F.col("n") > COMMON).select("view", "window", F.lit(True).alias("common"))
+    known = every.join(often, ["view", "window"], "left").withColumn("common", F.coalesce("common", F.lit(False)))
+    alone = known.groupBy("item_id", "view").agg(F.min("common").alias("all common"))
+    return known.join(alone, ["item_id", "view"]).where(~F.col("common") | F.col("all common")).select("item_id", "view", "size", "at", "window")
+
+
+def _hits(texts: DataFrame, wanted: DataFrame, sizes: list[int]) -> DataFrame:
+    """row, item_id, view, diagonal, at, size: equal windows. Texts are tokenised once for windows of all sizes."""
     small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    both = found(texts, "row", "place").join(F.broadcast(wanted) if small else wanted, "window").where("view - own = 0")  # one number is the join's key
-    return both.select("row", "item_id", "view", (F.col("place") - F.col("at")).alias("diagonal"), "at", F.lit(size).alias("size"))
+    own = wanted.select("item_id", F.col("view").alias("own"), F.col("size").alias("width"), "at", "window")
+    found = _windows(texts, "row", "place", F.array(*[_hashes(n) for n in sizes]))
+    both = found.join(F.broadcast(own) if small else own, "window").where("view - own = 0 and size - width = 0")  # one number is the join's key
+    return both.select("row", "item_id", "view", (F.col("place") - F.col("at")).alias("diagonal"), "at", "size")
 
 
 def _bounded(ids: DataFrame) -> DataFrame:
@@ -148,11 +170,9 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         nothing = (("item_id", "long"), ("view", "int"), ("diagonal", "int"), ("begin", "int"), ("windows", "long"), ("exact", "boolean"))
         return docs.where("false").select(_row(docs).alias("row"), *[F.lit(None).cast(t).alias(c) for c, t in nothing])
     texts = _views(docs.select(_row(docs).alias("row"), "text"), "row")
-    found = None
-    for size in sizes:
-        hits = _hits(texts, items, size)
-        found = hits if found is None else found.unionByName(hits)
-    need = items.select("item_id", "view", F.least(F.lit(HITS), F.size("code") - F.col("size") + 1).alias("need"), "size")
+    wanted = stored(_wanted(items, sorted(sizes)), "wanted")
+    found = _hits(texts, wanted, sorted(sizes)).drop("size")
+    need = wanted.groupBy("item_id", "view", "size").agg(F.least(F.lit(HITS), F.count_distinct("at").cast("int")).alias("need"))
     one = ["row", "item_id", "view", "diagonal"]
     every = found.groupBy(*one).agg(F.array_sort(F.collect_set("at")).alias("ats")).join(need, ["item_id", "view"]).where(F.size("ats") >= F.col("need"))
     # contiguous hits: their place in the list grows as their position does

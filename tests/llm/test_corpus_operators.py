@@ -388,3 +388,16 @@ def test_pipeline(spark, sf_dir):
     assert set(kept) == {i for i in rows if i in heads and i not in leaks and re.search(r"[^\W\d_]", rows[i]["text"] or "")}
     last = {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert last == {i: hashlib.sha256(r["text"].encode()).hexdigest() for i, r in kept.items()}
+
+
+def test_decontamination_of_a_line_that_many_items_share(spark):
+    """60 documents and 60 items with one instruction line: no pair. What an item says itself is found, and so are items of
+    which nothing but shared windows is left."""
+    line = "Read the following passage with care and then answer the question below in one short sentence of your own words."
+    own = lambda i: " ".join(f"w{chr(97 + (i + k) % 26)}{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}" for k in range(14))
+    bench = spark.createDataFrame([(i, f"{line} {own(i)}") for i in range(60)] + [(100 + i, line) for i in range(2)], "item_id bigint, text string")
+    docs = documents(spark, [f"An exam. {line} {own(500 + i)} The end." for i in range(60)] + [f"Copied: {own(7)} here.", f"Copied: {line} {own(8)} here."])
+    found = decontam.contaminated(docs, bench).where("item_id < 100").collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(60, 7), (61, 8)}
+    alone = decontam.contaminated(docs, bench).where("item_id >= 100").select("doc_id").distinct().count()
+    assert alone == 61  # the line itself is an item

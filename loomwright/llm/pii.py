@@ -1,10 +1,11 @@
 """Surrogates for personal data, in DataFrame expressions only.
 
-E-mail addresses, telephone numbers, IP addresses, card and account numbers, secrets and names are replaced by keyed
-surrogates of the same type, script and format.
+E-mail addresses, telephone numbers, IP addresses (both versions), card and account numbers, secrets and names are replaced
+by keyed surrogates of the same type, script and format.
 
-Names are found after a title, and from then on wherever a word of them occurs in the same text. Given names of the lists
-below get another name of their list, so gender and script stay; other words are permuted letter by letter, the last
+Names are found after a title, or by a given name of the lists below before a capitalised word, and from then on wherever a
+word of them occurs in the same text, in capitals too; words that are common words as well (FAMILIAR) only within a name.
+Given names of the lists get another name of their list, so gender and script stay; other words are permuted letter by letter, the last
 letter of a cased word of three letters or more staying, as it carries gender in many languages. Everything is done word by
 word under one key, so that "Mr John Smith", "John" and "Smith" agree.
 
@@ -12,7 +13,8 @@ A permutation moves each character within its alphabet (its case and script; vow
 a keyed hash of the characters before it, and the first one by 1 or more: it is one-to-one and has no fixed point. So
 equal originals have equal surrogates wherever they occur (coreference), different ones have different surrogates
 (distinctness), and no original stays. Alphabets cover every letter of Unicode. Cards keep their first digit and a valid
-checksum; numbers without one are no cards. surrogates() checks distinctness over all entities of the corpus from what it
+checksum; numbers without one are no cards. Account numbers (IBAN) keep their country and a valid checksum, too; secrets of
+known services keep their prefix. surrogates() checks distinctness over all entities of the corpus from what it
 wrote, and gives colliding ones (which two kinds of name words can make) surrogates of another key until none is left.
 
 Defined results: a null text stays null; a text without entities stays as it is, byte for byte; of overlapping entities
@@ -34,36 +36,45 @@ from .common import dropped, stored
 #: The setting of a session that holds the key. Whoever knows the key can undo the permutations: keep it secret.
 KEY_SETTING = "loomwright.pii.key"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herrn|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora|Señor|Sra|Sr"
-NAME_WORD = r"(?:\p{Lu}|\p{Lt}|\p{Lo})[\p{L}\p{M}'’-]*[\p{L}\p{M}]"
+TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Professor|Captain|Capt|Sir|Judge|Senator|Herrn|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora|Señor|Sra|Sr"
+#: Words that follow or are like names, but are common words.
+FAMILIAR = "May|April|June|August|Will|Rose|Grace|Hope|Mark|Rich|Young|Long|Short|Brown|Green|White|Black|King|Street|Road|Avenue|Lane|Square|Park|Hall|House|University|Bridge|The|And|But|For|In|On|At|Of|It|He|She|They|We|Is|Was|Has|Die|Der|Das|Und|Le|La|Les|El|Los"
+PLACES = "Street|Road|Avenue|Lane|Square|Park|Hall|House|University|Bridge"
+#: Given names by gender and script: a name gets the one that a keyed, never empty, step away stands in its row.
+GIVEN_NAMES = (
+    "Adam Alan Albert Andrew Anthony Arthur Ben Brian Carl Charles Christian David Dennis Edward Eric Felix Frank George Hans Harry Heinz Henry Jack Jacques James Jean Johann John Jorge José Juan Karl Kevin Klaus Lars Louis Lukas Luis Manuel Marc Mark Martin Matthew Max Michael Miguel Oliver Oscar Pablo Patrick Paul Pedro Peter Philip Pierre Ralph Richard Robert Roger Samuel Simon Stefan Steven Thomas Tom Walter William Wolfgang".split(),
+    "Alice Amelia Amy Ana Andrea Angela Anna Anne Barbara Beatrice Carla Carmen Caroline Charlotte Chloe Christine Clara Claire Diana Dorothy Elena Elisabeth Elizabeth Emily Emma Eva Florence Frances Gabriele Grace Hannah Heidi Helen Ingrid Isabel Jane Jennifer Joan Judith Julia Karen Katharina Kate Laura Lena Linda Lisa Louise Lucy Luisa Maria Marie Martha Mary Monika Nicole Olivia Patricia Paula Rachel Rosa Ruth Sabine Sandra Sarah Sofia Sophie Susan Teresa Ursula Victoria".split(),
+    "Александр Алексей Андрей Борис Виктор Владимир Дмитрий Евгений Иван Игорь Максим Михаил Николай Олег Павел Пётр Сергей Юрий".split(),
+    "Александра Анастасия Анна Валентина Вера Галина Екатерина Елена Ирина Людмила Мария Наталья Надежда Ольга Светлана Татьяна Юлия".split(),
+)
+
+
+GIVEN = "|".join(n for names in GIVEN_NAMES for n in names)
+_CAPITAL = r"(?:\p{Lu}|\p{Lt}|\p{Lo})[\p{L}\p{M}'’-]*[\p{L}\p{M}]"
+NAME_WORD = rf"(?!(?:{PLACES})\b){_CAPITAL}"
+_HEXTET = "[0-9a-fA-F]{1,4}"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{M}\p{N}-]++(?:\.[\p{L}\p{M}\p{N}-]+)*\.[\p{L}\p{M}]{2,}",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?![\d]|\.\d)",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])",
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}:])(?:(?:{_HEXTET}:){{7}}{_HEXTET}|(?=[0-9a-fA-F:]*\d)(?:{_HEXTET}:){{1,6}}(?::{_HEXTET}){{1,6}})(?![\p{{L}}\p{{N}}:])",
+    "token": r"(?<![\p{L}\p{N}_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{16,255}|xox[abprs]-[0-9A-Za-z-]{10,255}|sk-[0-9A-Za-z_-]{16,255})(?![\p{L}\p{N}_-])",
+    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:[0-9A-Z]{11,30}|(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?)(?![\p{L}\p{N}])",
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])|(?<![\p{L}\p{N}.,/-])0\d{2,4}[ /-]\d{6,8}(?![\p{L}\p{N}/-])|(?<![\p{L}\p{N}.,/-])0\d{1,4}(?: \d{2,4}){3,4}(?![\p{L}\p{N}/-]| ?\d)",
     "secret": r"(?<![\p{L}\p{N}])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])(?=[0-9A-F]*[0-9])(?=[0-9A-F]*[A-F])[0-9A-F]{32,128}(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}])(?:\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{13,19})(?![\p{L}\p{N}])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "name": rf"(?<=\b(?:{TITLES})\.? ){NAME_WORD}(?: {NAME_WORD}){{0,2}}",
+    "name": rf"(?<=\b(?:{TITLES})\.? ){NAME_WORD}(?: {NAME_WORD}){{0,2}}|(?<![\p{{L}}\p{{M}}])(?=\p{{Lu}})(?:{GIVEN})(?: {NAME_WORD}){{1,2}}(?![\p{{L}}\p{{M}}])",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Cheap tests whether a text can hold an entity, or a titled name, at all.
-HINT = rf"@|\d{{2}}|[0-9a-fA-F]{{32}}|\b(?:{TITLES})\b"
-TITLED = rf"\b(?:{TITLES})\.? (?:\p{{Lu}}|\p{{Lt}}|\p{{Lo}})"
+#: Cheap tests whether a text can hold an entity, or a name, at all.
+NAMED = rf"\b(?:{TITLES})\.? (?:\p{{Lu}}|\p{{Lt}}|\p{{Lo}})|(?<![\p{{L}}\p{{M}}])(?=\p{{Lu}})(?:{GIVEN}) (?:\p{{Lu}}|\p{{Lt}}|\p{{Lo}})"
+HINT = rf"@|\d{{2}}|[0-9a-fA-F]{{32}}|:[0-9a-fA-F]|gh[pousr]_|sk-|xox|AKIA|ASIA|{NAMED}"
 #: Fixed alphabets of which a letter keeps its row; other letters go by script, case and block of 256 code points.
 ALPHABETS = (
     "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àáâãäåæèéêëìíîïòóôõöøùúûü", "ÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜ",
     "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
 )
 HEX = ("0123456789abcdef", "0123456789ABCDEF")
-#: Given names by gender and script: a name gets the one that a keyed, never empty, step away stands in its row.
-GIVEN_NAMES = (
-    "Adam Alan Albert Andrew Anthony Arthur Ben Brian Carl Charles Christian David Dennis Edward Eric Felix Frank George Hans Harry Heinz Henry Jack Jacques James Jean Johann John Jorge José Juan Karl Kevin Klaus Lars Louis Lukas Luis Manuel Marc Mark Martin Matthew Max Michael Miguel Oliver Oscar Pablo Patrick Paul Pedro Peter Philip Pierre Ralph Richard Robert Roger Samuel Simon Stefan Steven Thomas Tom Walter William Wolfgang".split(),
-    "Alice Amelia Amy Ana Andrea Angela Anna Anne Barbara Beatrice Carla Carmen Caroline Charlotte Chloe Christine Clara Claire Diana Dorothy Elena Elisabeth Elizabeth Emily Emma Eva Florence Frances Gabriele Grace Hannah Heidi Helen Ingrid Isabel Jane Jennifer Joan Judith Julia Karen Katharina Kate Laura Lena Linda Lisa Louise Lucy Luisa Maria Marie Martha Mary Monika Nicole Olivia Patricia Paula Rachel Rosa Ruth Sabine Sandra Sarah Sofia Sophie Susan Teresa Ursula Victoria".split(),
-    "Александр Алексей Андрей Борис Виктор Владимир Дмитрий Евгений Иван Игорь Максим Михаил Николай Олег Павел Пётр Сергей Юрий".split(),
-    "Александра Анастасия Анна Валентина Вера Галина Екатерина Елена Ирина Людмила Мария Наталья Надежда Ольга Светлана Татьяна Юлия".split(),
-)
-
-
 @lru_cache(1)
 def alphabets() -> str:
     """For each block of 256 code points the alphabets of its letters, separated by \\x02, blocks by \\x01: letters of one
@@ -189,11 +200,32 @@ def _card(value: Column, key: Column) -> Column:
     return _let(body, lambda b: F.concat(b, F.pmod(-luhn_sum(F.concat(_digits(b), F.lit("0"))), F.lit(10)).cast("string")))
 
 
+def _remainder(account: Column) -> Column:
+    """An account number's remainder by 97, its first four characters moved to its end, letters as two digits each."""
+    turned = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
+    step = lambda a, c: F.when(c >= "A", F.pmod(a * 100 + F.ascii(c) - 55, F.lit(97))).otherwise(F.pmod(a * 10 + F.ascii(c) - 48, F.lit(97)))
+    return F.aggregate(_characters(turned), F.lit(0), lambda a, c: step(a, c).cast("int"))
+
+
+def is_account(value: Column) -> Column:
+    return _let(F.replace(value, F.lit(" "), F.lit("")), lambda v: F.length(v).between(15, 34) & (_remainder(v) == 1))
+
+
+def _account(value: Column, key: Column) -> Column:
+    """What follows country and checksum moves; the checksum is made right."""
+    country = F.substring(value, 1, 2)
+    rest = permuted(F.substring(value, F.lit(5), F.length(value)), F.concat(key, F.lit("/iban"), country), ALPHABETS[:1] + ("ABCDEFGHIJKLMNOPQRSTUVWXYZ",))
+    check = lambda r: F.lpad((98 - _remainder(F.concat(country, F.lit("00"), F.replace(r, F.lit(" "), F.lit(""))))).cast("string"), 2, "0")
+    return _let(rest, lambda r: F.concat(country, check(r), r))
+
+
 def kind_of(value: Column) -> Column:
-    """The type of an entity; an empty string for a number that is no card."""
+    """The type of an entity; an empty string for a number that is no card and no account."""
     out = F.lit("name")
-    for kind in ("ssn", "card", "secret", "phone", "ip", "email"):
-        out = F.when(F.regexp_like(value, F.lit(f"^(?:{PATTERNS[kind]})$")), F.when(is_card(value), "card").otherwise("") if kind == "card" else F.lit(kind)).otherwise(out)
+    checked = {"card": is_card, "iban": is_account}
+    for kind in ("ssn", "card", "secret", "phone", "iban", "token", "ipv6", "ip", "email"):
+        own = F.when(checked[kind](value), kind).otherwise("") if kind in checked else F.lit(kind)
+        out = F.when(F.regexp_like(value, F.lit(f"^(?:{PATTERNS[kind]})$")), own).otherwise(out)
     return out
 
 
@@ -216,7 +248,7 @@ def name_word(word: Column, key: Column, rows: Rows) -> Column:
         cased = F.regexp_like(w, F.lit(r"^[\p{Lu}\p{Lt}].*[\p{Lu}\p{Ll}]$")) & (F.length(w) > 2)
         last = F.when(cased, F.substring(w, -1, 1)).otherwise("")
         body = F.when(cased, F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)
-        once = lambda b: permuted(b, F.concat(key, F.lit("/name"), last), rows)
+        once = lambda b: permuted(b, F.concat(key, F.lit("/name"), F.lower(last)), rows)
         # a word that has become a listed name goes on to another one
         return _let(once(body), lambda b: F.concat(F.when(_given(F.concat(b, last), key).isNotNull(), once(b)).otherwise(b), last))
 
@@ -232,10 +264,13 @@ def surrogate(value: Column, key: Column, rows: Rows) -> Column:
     phone = F.concat(code, permuted(F.substring(value, F.length(code) + 1, F.length(value)), under("/phone", code), ALPHABETS[:1]))
     upper = F.regexp_like(value, F.lit("[A-F]"))
     secret = F.when(upper, permuted(value, under("/secret"), HEX[1:])).otherwise(permuted(value, under("/secret"), HEX[:1]))
+    prefix = F.regexp_extract(value, r"^(AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-)", 1)
+    token = F.concat(prefix, permuted(F.substring(value, F.length(prefix) + 1, F.length(value)), under("/token", prefix), ALPHABETS[:5]))
+    v6 = F.when(upper, permuted(value, under("/ipv6"), HEX[1:])).otherwise(permuted(value, under("/ipv6"), HEX[:1]))
     name = F.array_join(F.transform(F.split(value, " "), lambda w: name_word(w, key, rows)), " ")
 
     def by_kind(kind: Column) -> Column:
-        out = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "secret", secret).when(kind == "ip", _ip(value, under("/ip")))
+        out = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "secret", secret).when(kind == "ip", _ip(value, under("/ip"))).when(kind == "iban", _account(value, key)).when(kind == "token", token).when(kind == "ipv6", v6)
         return out.when(kind == "card", _card(value, key)).when(kind == "ssn", permuted(value, under("/ssn"), ALPHABETS[:1])).when(kind == "name", name).otherwise(value)
 
     return _let(kind_of(value), by_kind)
@@ -243,12 +278,16 @@ def surrogate(value: Column, key: Column, rows: Rows) -> Column:
 
 def _pattern(text: Column) -> Column:
     """The entities' pattern, for a text with titled names those names' words too, wherever they occur."""
-    words = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0)), lambda n: F.split(n, " "))))
+    said = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0)), lambda n: F.split(n, " "))))
+    said = F.filter(said, lambda w: ~F.regexp_like(w, F.lit(f"^(?:{FAMILIAR})$")))
+    words = F.array_distinct(F.concat(said, F.filter(F.transform(said, F.upper), lambda w: F.length(w) > 2)))
     longest = F.transform(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
-    # words of cased scripts end where their letters end; other scripts put no space between words
-    each = F.transform(longest, lambda w: F.when(F.regexp_like(w, F.lit(r"^[\p{Lu}\p{Lt}]")), F.concat(F.lit(r"(?<![\p{L}\p{M}])\Q"), w, F.lit(r"\E(?![\p{L}\p{M}])"))).otherwise(F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))))
-    own = F.concat(F.lit(f"{ENTITY}|"), F.array_join(each, "|"))
-    return F.when(F.regexp_like(text, F.lit(TITLED)) & (F.size(words) > 0), own)
+    # words of cased scripts stand alone, which is looked at once for all of them; other scripts put no space between words
+    cased = lambda w: F.regexp_like(w, F.lit(r"^[\p{Lu}\p{Lt}]"))
+    any_of = lambda ws: F.array_join(F.transform(ws, lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), "|")
+    alone, joined = F.filter(longest, cased), F.filter(longest, lambda w: ~cased(w))
+    own = F.concat_ws("|", F.lit(ENTITY), F.when(F.size(alone) > 0, F.concat(F.lit(r"(?<![\p{L}\p{M}])(?:"), any_of(alone), F.lit(r")(?![\p{L}\p{M}])"))), F.when(F.size(joined) > 0, any_of(joined)))
+    return F.when(F.regexp_like(text, F.lit(NAMED)) & (F.size(words) > 0), own)
 
 
 def _found(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:

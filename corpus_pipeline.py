@@ -37,8 +37,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Entities in the texts get surrogates; n_chars follows the new text."""
-    done = pii.pseudonymised(docs, spark.conf.get(pii.KEY_SETTING, DEMONSTRATION_KEY))
+    """Entities in the texts get surrogates, different ones different ones; n_chars follows the new text."""
+    done = pii.surrogates(docs, spark.conf.get(pii.KEY_SETTING, DEMONSTRATION_KEY)).select(*[F.col(f"`{c}`") for c in docs.columns])
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 

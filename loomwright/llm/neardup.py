@@ -8,7 +8,9 @@ Copies with equal words are one representative from the start. In each of LEADER
 compared with one leader; the next leader is one of those that no leader has linked yet, and meets the linked members
 too. So large groups of copies are linked without pairing them with themselves. What is still apart in a bucket after
 that, linked or not, meets by an exact join that loses no pair of THRESHOLD: two texts must share one of the shingles that
-come first in an order common to all texts, rare ones first, and what follows it in each must suffice. Classes are the connected components of the verified links.
+come first in an order common to all texts, rare ones first, and what follows it in each must suffice. In HEAD_ROUNDS
+rounds the texts of a shingle first meet one of them, for which it comes early; all pairs are made only of classes that
+this leaves apart. Classes are the connected components of the verified links.
 
 Defined results: words are runs of ASCII letters and digits or non-ASCII characters, in lower case; a text of one to four
 words is one shingle; a text that is null or has no word is a class of its own; a class is named by its smallest id, by
@@ -24,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, in_arrow, map_arrow, slices, stored, texts_of
@@ -35,6 +37,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
 #: Leaders of a bucket before the exact join.
 LEADER_ROUNDS = 2
+#: Rounds in which the texts of a shingle meet one of them, before all pairs of the classes that are left do.
+HEAD_ROUNDS = 2
 #: Hashed counts that order shingles by how rare they are; any order loses nothing.
 ORDER_BUCKETS = 1 << 18
 #: Hashed counts of words: a count is that of the word and of the rare words that fall on it.
@@ -315,23 +319,55 @@ def prefixes(sets: DataFrame, order) -> DataFrame:  # noqa: ANN001  a broadcast
     return in_arrow(sets.select("id", "class", "keys"), run, "id bigint, class bigint, weight double, shingle bigint, rest double, first boolean")
 
 
-def apart(shared: DataFrame, labels: DataFrame | None, sets: DataFrame) -> DataFrame:
-    """leader, member, via (a shingle that both have): all pairs of two classes that may be similar, of the texts whose bucket has more than one class."""
-    rows = shared.withColumn("class", F.col("rep")) if labels is None else shared.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+def mixed_prefixes(shared: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """prefixes() of the texts whose bucket has more than one class."""
+    rows = classed(shared.withColumnRenamed("rep", "id"), labels)
     mixed = rows.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    ids = rows.join(mixed.repartition("low"), ["band", "key"]).select(F.col("rep").alias("id"), "class").distinct()
+    ids = rows.join(mixed.repartition("low"), ["band", "key"]).select("id", "class").distinct()
     some = stored(sets.join(ids, "id"), "apart")
     order = shared.sparkSession.sparkContext.broadcast(shingle_order(some))  # bounded: ORDER_BUCKETS numbers
     found = stored(prefixes(some, order), "prefixes")
+    dropped(some)
+    return found
+
+
+def classed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (id) with their class of now: a text without a link is its own."""
+    return rows.drop("class").join(labels, "id", "left").withColumn("class", F.coalesce("class", "id"))
+
+
+def _enough(weights: tuple[Column, Column], rests: tuple[Column, Column]) -> Column:
+    """Whether two texts can have so much in common as similar ones need, if a shingle is the first that they share."""
+    need = THRESHOLD / (1 + THRESHOLD) * (weights[0] + weights[1]) - 1e-6
+    return (rests[0] >= need) & (rests[1] >= need)
+
+
+def head_pairs(found: DataFrame, k: int) -> DataFrame:
+    """leader, member, via: the texts of each shingle with one of them, another in each round k; no more rows than found has."""
+    # one for which the shingle comes early, so that many others can be similar to it
+    chosen = F.max_by(F.struct("id", "class", "weight", "rest"), F.struct(F.floor(F.col("rest") / F.col("weight") * 32), F.xxhash64("id", F.lit(k))))
+    heads = found.groupBy("shingle").agg(chosen.alias("h"), F.count("*").alias("n")).where("n > 1").select("shingle", *[F.col(f"h.{c}").alias(f"head_{c}") for c in ("id", "class", "weight", "rest")])
+    # dealt anew, so that a shingle of many texts can be split in the join
+    met = found.join(heads.repartition("head_id"), "shingle").where(F.col("class") != F.col("head_class"))
+    alike = F.least("weight", "head_weight") >= (THRESHOLD - 1e-9) * F.greatest("weight", "head_weight")
+    close = alike & _enough((F.col("weight"), F.col("head_weight")), (F.col("rest"), F.col("head_rest")))
+    return met.where(close).groupBy(F.col("head_id").alias("leader"), F.col("id").alias("member")).agg(F.min("shingle").alias("via"))
+
+
+def all_pairs(found: DataFrame) -> DataFrame:
+    """leader, member, via (a shingle that both have): all pairs of two classes that may be similar."""
     light = found.where("first").select("shingle", *[F.col(c).alias(f"light_{c}") for c in ("id", "class", "weight", "rest")])
     # of the lighter and the heavier text; equal ones by id
     close = (F.col("class") != F.col("light_class")) & (F.struct("light_weight", "light_id") < F.struct("weight", "id")) & (F.col("light_weight") >= (THRESHOLD - 1e-9) * F.col("weight"))
-    need = THRESHOLD / (1 + THRESHOLD) * (F.col("light_weight") + F.col("weight")) - 1e-6
-    enough = (F.col("light_rest") >= need) & (F.col("rest") >= need)
-    pairs = light.join(found, "shingle").where(close & enough).groupBy(F.col("light_id").alias("leader"), F.col("id").alias("member")).agg(F.min("shingle").alias("via"))
-    pairs = stored(pairs, "pairs")
-    dropped(found)
-    dropped(some)
+    enough = _enough((F.col("light_weight"), F.col("weight")), (F.col("light_rest"), F.col("rest")))
+    return light.join(found, "shingle").where(close & enough).groupBy(F.col("light_id").alias("leader"), F.col("id").alias("member")).agg(F.min("shingle").alias("via"))
+
+
+def apart(shared: DataFrame, labels: DataFrame, sets: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """all_pairs() of the texts whose bucket has more than one class; found: their mixed_prefixes(), if they are known."""
+    now = stored(classed(mixed_prefixes(shared, labels, sets) if found is None else found, labels), "classed")
+    pairs = stored(all_pairs(now), "apart-pairs")
+    dropped(now)
     return pairs
 
 
@@ -385,13 +421,17 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     own = own.select("row", "id", F.when(F.col("none"), F.col("row")).otherwise(F.col("rep")).alias("rep"), F.when(F.col("none"), name).otherwise(F.col("name")).alias("name"))
     if links is not None:
         labels = components(links)
-        more = apart(shared, labels, sets)
-        done.append(more)
-        if not more.isEmpty():
-            links = stored(links.unionByName(verified(more, sets)), "links")
-            done.append(links)
-            dropped(labels)
-            labels = components(links)
+        found = mixed_prefixes(shared, labels, sets)
+        done.append(found)
+        # one text of each shingle first: what its texts' links join needs no pairs of its own; then all pairs that are left
+        for k in range(HEAD_ROUNDS + 1):
+            more = stored(head_pairs(classed(found, labels), k), "head-pairs") if k < HEAD_ROUNDS else apart(shared, labels, sets, found)
+            done.append(more)
+            if not more.isEmpty():
+                links = stored(links.unionByName(verified(more, sets)), "links")
+                done.append(links)
+                dropped(labels)
+                labels = components(links)
         labels = labels.withColumnRenamed("id", "rep")
         names = reps.select("rep", "name").join(labels, "rep").groupBy("class").agg(F.min("name").alias("first"))
         named = stored(labels.join(names, "class").select("rep", "first"), "named")

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.reports import ISSUES, issue
+
 RATIO = 0.82
 
 
@@ -48,3 +52,15 @@ def _ratio(a: Column, b: Column) -> Column:
         return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
 
     return run(a, b)
+
+
+def with_repeats(items: DataFrame, key: str, sections: Sequence[str], issues: str = "issues") -> DataFrame:
+    """items with DUPLICATE issues after their own: for each pair of a section's points that say nearly the same, one at the
+    later point. key: one row each; sections: columns of points; issues: as functions.reports has them."""
+    each = [items.select(F.struct(F.col(key).alias("key"), F.lit(c).alias("field")).alias("part"), F.posexplode(c).alias("i", "text")) for c in sections]
+    points = reduce(DataFrame.unionByName, each)
+    found = repeated_points(points, "part", "i").select(F.col("part.key").alias(key), issue(F.col("part.field"), F.col("right"), "DUPLICATE").alias("x"), "left")
+    # in the order of sections and points; a group is one item's issues
+    order = F.transform(F.array_sort(F.collect_list(F.struct(F.array_position(F.array(*[F.lit(c) for c in sections]), F.col("x.field")).alias("s"), F.col("left").alias("l"), F.col("x.pointIndex").alias("r"), "x"))), lambda y: y["x"])
+    more = found.groupBy(key).agg(order.alias("_more"))
+    return items.join(more, key, "left").withColumn(issues, F.concat(issues, F.coalesce("_more", F.array().cast(ISSUES)))).drop("_more")

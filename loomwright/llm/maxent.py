@@ -1,16 +1,23 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-Words have leaves of a two-level tree: the most frequent ones a leaf of their own, the rest by a hash of how they begin.
-A token's probability is P(class | context) P(leaf | class, context) P(word | leaf): two softmaxes over the factored
-tree, and absolute discounting within a leaf, where all unknown words together are one more word. A context's features
-are hashed: the leaf before, the leaf before that (skip), and both (n-gram).
+Words have leaves of a two-level tree, CLASSES classes of WITHIN leaves, ordered by frequency: the most frequent OWN - 1
+words and the end of a text a leaf of their own, the rest by a hash of how they begin. A token's probability is
+P(class | context) P(leaf | class, context) P(word | leaf): two softmaxes over the factored tree, and absolute
+discounting within a leaf, where all unknown words together are one more word.
 
-All training texts are counted: words exactly, and leaf triples in a table whose size the number of leaves fixes. The
-softmaxes are trained on that table by distributed gradient updates: each partition sends the gradient of its contexts.
+A context is the two leaves before a token. Its features are hashed: the leaf before (n-gram), the leaf before that (skip)
+and both (n-gram). Each feature has a row of scores for the classes and, hashed together with a class, a row for the
+leaves in it, so that a context reads a few rows whatever the number of words.
+
+All training texts are counted: words exactly, and what followed each context in sorted pieces where the texts lie, of a
+size that grows with the corpus. The softmaxes start at a model of the leaf before, in closed form, and are trained by
+distributed gradient updates: each task sums what its contexts expect, Spark sums these vectors (of fixed size) in
+blocks. Scoring takes the distinct contexts of a batch once each.
 
 Words meet their corpus counts per chunk of documents, so that a frequent word is one row for each chunk and no
-vocabulary is ever in one place. Defined results: a null text is one end token; with nothing to learn from, every token
-is unknown and the leaves are equally likely.
+vocabulary is ever in one place. Defined results: a null text is one end token; repeated and null ids are rows like any
+other, each scored; columns other than id and text are left out; with nothing to learn from, every token is unknown and
+the leaves are equally likely; an empty table gives an empty one. Only rows equal in id and text always share a chunk.
 """
 
 from __future__ import annotations
@@ -19,24 +26,35 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_arrow, stored, texts_of
+from .common import dropped, held_out, in_arrow, released, stored, texts_of
 
-CLASSES, WITHIN = 8, 8
+CLASSES, WITHIN = 64, 64
 LEAVES = CLASSES * WITHIN
 #: Leaves of one word: the end of a text, and the most frequent words.
-OWN = 36
-PAIR_ROWS = 2048
-FEATURES = 1 + 2 * LEAVES + PAIR_ROWS
-ROUNDS = 10
-RATE = 0.7
+OWN = LEAVES - 256
+#: Rows of scores for classes: no feature, the leaf before, the leaf before that, and hashed pairs.
+PAIRS = 1 << 13
+TOP_ROWS = 1 + 2 * LEAVES + PAIRS
+#: Rows of scores within classes: no feature, and features hashed together with the class.
+HASHED = 1 << 15
+LOW_ROWS = CLASSES + HASHED
+ROUNDS = 3
+RATE = 0.4
+#: Counts that a weight is held back by.
+HOLD = 3.0
 DISCOUNT = 0.75
 CHUNK_BYTES = 4_000_000
+PIECE_TOKENS = 3_000_000
+BATCH_ROWS = 200_000
+CONTEXTS = 20_000
+BLOCK = 8192
 END = ""
 
 
@@ -66,88 +84,221 @@ def leaf_of(word: bytes, own: dict[bytes, int]) -> int:
     return own.get(word, OWN + zlib.crc32(word[:2]) % (LEAVES - OWN))
 
 
-def leaf_column(word: Column, own: dict[bytes, int]) -> Column:
-    """leaf_of() as an expression."""
-    known = F.create_map(*[x for w, i in own.items() for x in (F.lit(w.decode()), F.lit(i))])
-    return F.coalesce(F.try_element_at(known, word), (F.lit(OWN) + F.crc32(F.substring(word.cast("binary"), 1, 2)) % (LEAVES - OWN)).cast("int"))
-
-
-def features(contexts: np.ndarray) -> np.ndarray:
-    """The feature rows of contexts (leaf before that * LEAVES + leaf before): bias, last, skip, hashed pair."""
-    skip, last = contexts // LEAVES, contexts % LEAVES
-    pair = (contexts * 2654435761 >> 7) % PAIR_ROWS
-    return np.stack([np.zeros_like(last), 1 + last, 1 + LEAVES + skip, 1 + 2 * LEAVES + pair], 1)
-
-
-def probabilities(weights: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(class | context) and P(leaf | class, context); weights: a row of CLASSES + LEAVES scores for each feature."""
-    score = weights[features(contexts)].sum(1)
-    top = score[:, :CLASSES]
-    low = score[:, CLASSES:].reshape(-1, CLASSES, WITHIN)
-    top = np.exp(top - top.max(1, keepdims=True))
-    low = np.exp(low - low.max(2, keepdims=True))
-    return top / top.sum(1, keepdims=True), low / low.sum(2, keepdims=True)
-
-
-def gradient(weights: np.ndarray, cells: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """Of the log likelihood; cells: how often each leaf (column) came after each context (row)."""
-    top, low = probabilities(weights, contexts)
-    seen = cells.reshape(-1, CLASSES, WITHIN)
-    by_class = seen.sum(2)
-    error = np.concatenate([by_class - top * by_class.sum(1, keepdims=True), (seen - low * by_class[:, :, None]).reshape(-1, LEAVES)], 1)
-    out = np.zeros_like(weights)
-    for rows in features(contexts).T:
-        np.add.at(out, rows, error)
-    return out
-
-
-def _dense(context: np.ndarray, leaf: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    contexts, row = np.unique(context, return_inverse=True)
-    cells = np.zeros((len(contexts), LEAVES))
-    np.add.at(cells, (row, leaf), n)
-    return contexts, cells
-
-
-def trained(triples: DataFrame) -> np.ndarray:
-    """Weights from the table context, leaf, n (at most LEAVES ** 3 rows, whatever the corpus)."""
-    spark = triples.sparkSession
-    table = stored(triples.repartition(8, "context"), "triples")
-    one = table.groupBy("context").agg(F.sum("n").alias("n")).toPandas() if not table.isEmpty() else None
-    pairs = table.groupBy((F.col("context") % LEAVES).alias("last"), "leaf").agg(F.sum("n").alias("n")).toPandas()
-    weights = np.zeros((FEATURES, CLASSES + LEAVES))
-    if one is None:
-        return weights
-    # start at the bigram model, which has a closed form; the updates then weigh all features together
-    counts = np.zeros((LEAVES, LEAVES))
-    counts[pairs["last"], pairs["leaf"]] = pairs["n"]
-    total = counts.sum(0)
-    logs = lambda c: np.concatenate([np.log(c.reshape(-1, CLASSES, WITHIN).sum(2) + 1), np.log(c + 0.5)], 1)
-    weights[0] = logs(total[None])[0]
-    share = logs(counts + 10 * total / max(1, total.sum()))
-    weights[1 : 1 + LEAVES] = share - weights[0]
-    weights[1 : 1 + LEAVES][counts.sum(1) == 0] = 0
-    size = np.zeros(FEATURES)
-    for rows in features(one["context"].to_numpy(np.int64)).T:
-        np.add.at(size, rows, one["n"].to_numpy(float))
+class Model(NamedTuple):
+    """Scores of classes and of leaves within classes; or counts, in the same places."""
+
+    top: np.ndarray
+    low: np.ndarray
+
+    @classmethod
+    def zero(cls, kind: type = np.float64) -> Model:
+        return cls(np.zeros((TOP_ROWS, CLASSES), kind), np.zeros((LOW_ROWS, WITHIN), kind))
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.top.ravel(), self.low.ravel()])
+
+
+def _hash(x: np.ndarray, salt: int, rows: int) -> np.ndarray:
+    mixed = (x.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(40)).astype(np.int64) % rows
+
+
+def top_features(context: np.ndarray) -> list[np.ndarray]:
+    """The rows of contexts (leaf before * LEAVES + leaf before that) but for row 0, which all have."""
+    last, skip = context // LEAVES, context % LEAVES
+    return [1 + last, 1 + LEAVES + skip, 1 + 2 * LEAVES + _hash(context, 0, PAIRS)]
+
+
+def low_features(context: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
+    """The same within a class, where row `of` is the one that all contexts have."""
+    last, skip = context // LEAVES, context % LEAVES
+    return [CLASSES + _hash(x * CLASSES + of, salt, HASHED) for salt, x in ((1 << 50, last), (1 << 51, skip), (1 << 52, context))]
+
+
+def _log_softmax(score: np.ndarray) -> np.ndarray:
+    score -= score.max(1, keepdims=True)
+    return score - np.log(np.exp(score).sum(1, keepdims=True))
+
+
+def class_logs(model: Model, context: np.ndarray) -> np.ndarray:
+    """log P(class | context), a row for each context."""
+    return _log_softmax(sum((model.top[r] for r in top_features(context)), model.top[0]))
+
+
+def leaf_logs(model: Model, context: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """log P(leaf | class, context), a row for each context and class."""
+    return _log_softmax(sum((model.low[r] for r in low_features(context, of)), model.low[of]))
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def _add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    at = _starts(rows)
+    table[rows[at]] += np.add.reduceat(values[order], at)
+
+
+def observe(into: Model, context: np.ndarray, leaf: np.ndarray, n: np.ndarray) -> None:
+    """Adds how often each class and leaf came with each feature."""
+    of = leaf // WITHIN
+    for table, features, target in ((into.top, [np.zeros_like(context), *top_features(context)], of), (into.low, [of, *low_features(context, of)], leaf % WITHIN)):
+        for rows in features:
+            cell, where = np.unique(rows * table.shape[1] + target, return_inverse=True)
+            table.ravel()[cell] += np.bincount(where, n)
+
+
+def expect(into: Model, model: Model, context: np.ndarray, leaf: np.ndarray, n: np.ndarray) -> None:
+    """Adds how often the model expects them; rows are sorted by context, leaf. Observed less expected is the gradient
+    of the log likelihood."""
+    at = _starts(context)
+    for i in range(0, len(at), CONTEXTS):
+        some, total = context[at[i : i + CONTEXTS]], np.add.reduceat(n, at)[i : i + CONTEXTS, None]
+        p = np.exp(class_logs(model, some)) * total
+        into.top[0] += p.sum(0)
+        for rows in top_features(some):
+            _add_rows(into.top, rows, p)
+    of = leaf // WITHIN
+    at = _starts(context * CLASSES + of)
+    total = np.add.reduceat(n, at)
+    for i in range(0, len(at), CONTEXTS):
+        rows = at[i : i + CONTEXTS]
+        p = np.exp(leaf_logs(model, context[rows], of[rows])) * total[i : i + CONTEXTS, None]
+        for rows in [of[rows], *low_features(context[rows], of[rows])]:
+            _add_rows(into.low, rows, p)
+
+
+def start(seen: Model) -> Model:
+    """The model of the leaf before, in closed form from what was observed."""
+    model = Model.zero()
+    for weights, count, bias, last in ((model.top, seen.top, slice(0, 1), slice(1, 1 + LEAVES)), (model.low, seen.low, slice(0, CLASSES), None)):
+        smooth = count[bias] + 0.5
+        weights[bias] = np.log(smooth)
+        if last:
+            share = smooth / smooth.sum(1, keepdims=True)
+            some = count[last].sum(1) > 0
+            part = count[last][some]
+            weights[last][some] = np.log((part + 20 * share) / (part.sum(1, keepdims=True) + 20) / share)
+    return model
+
+
+def stepped(model: Model, seen: Model, expected: Model) -> Model:
+    """A gradient step, scaled for each weight by its curvature as the mean of observed and expected counts."""
+    return Model(*(w + RATE * (o - e) / ((o + e) / 2 + HOLD) for w, o, e in zip(model, seen, expected)))
+
+
+def log10s(model: Model, context: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """log10 of P(class | context) P(leaf | class, context) for each token; equal contexts are computed once."""
+    key = context * LEAVES + leaf
+    order = np.argsort(key)
+    context, of, inner = context[order], leaf[order] // WITHIN, leaf[order] % WITHIN
+    out = np.empty(len(key))
+    for logs, group, column in ((class_logs, context, of), (leaf_logs, context * CLASSES + of, inner)):
+        at = np.append(_starts(group), len(group))
+        for i in range(0, len(at) - 1, CONTEXTS):
+            ends = at[i : i + CONTEXTS + 1]
+            some, a, b = ends[:-1], ends[0], ends[-1]
+            found = logs(model, context[some]) if logs is class_logs else logs(model, context[some], of[some])
+            found = found[np.repeat(np.arange(len(some)), np.diff(ends)), column[a:b]]
+            if logs is class_logs:
+                out[order[a:b]] = found
+            else:
+                out[order[a:b]] += found
+    return out / np.log(10)
+
+
+def contexts(leaves: np.ndarray) -> np.ndarray:
+    """Of each token but the first two, which stand before a text: leaf before * LEAVES + leaf before that."""
+    return leaves[1:-1] * LEAVES + leaves[:-2]
+
+
+def followers(docs: DataFrame, own: dict[bytes, int]) -> DataFrame:
+    """context, leaf, n: sorted pieces, counted where the texts lie. One column: the text."""
+
+    def piece(keys: list[np.ndarray]) -> pa.RecordBatch:
+        key = np.sort(np.concatenate(keys))
+        at = _starts(key)
+        n = np.diff(np.append(at, len(key)))
+        key = key[at]
+        return pa.RecordBatch.from_arrays([pa.array((key // LEAVES).astype(np.int32)), pa.array((key % LEAVES).astype(np.int32)), pa.array(n.astype(np.int32))], ["context", "leaf", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[bytes, int] = {}
+        keys: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                found = words(t)
+                if len(memo) > 300_000:
+                    memo.clear()
+                leaves = np.fromiter(map(memo.get, found, repeat(-1)), np.int64, len(found))
+                for i in np.flatnonzero(leaves < 0).tolist():
+                    leaves[i] = memo[found[i]] = leaf_of(found[i], own)
+                leaves = np.concatenate([[0, 0], leaves, [0]])
+                keys.append(contexts(leaves) * LEAVES + leaves[2:])
+                size += len(found) + 1
+                if size > PIECE_TOKENS:
+                    yield piece(keys)
+                    keys, size = [], 0
+        if keys:
+            yield piece(keys)
+
+    return in_arrow(docs, run, "context int, leaf int, n int")
+
+
+def _summed(table: DataFrame, add) -> Model:
+    """The sum over all tasks of what `add` puts into a model's places: each task sends blocks that are not zero, which Spark sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        into = Model.zero()
+        held: list[pa.RecordBatch] = []
+
+        def work() -> None:
+            whole = pa.Table.from_batches(held)
+            add(into, *(whole.column(c).to_numpy().astype(np.int64) for c in ("context", "leaf", "n")))
+            held.clear()
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= BATCH_ROWS:
+                work()
+        if held:
+            work()
+        flat = into.flat().astype(np.float32)
+        blocks = [flat[i : i + BLOCK] for i in range(0, len(flat), BLOCK)]
+        some = [i for i, b in enumerate(blocks) if b.any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary())], ["block", "part"])
+
+    def total(rows: pa.Table) -> pa.Table:
+        out = sum(np.frombuffer(b, np.float32).astype(float) for b in rows.column("part").to_pylist())
+        return pa.table({"block": rows.column("block").slice(0, 1), "part": pa.array([out.tobytes()], pa.binary())})
+
+    # as many vectors as the cluster has cores, however many files there are
+    few = table.coalesce(max(8, table.sparkSession.sparkContext.defaultParallelism))
+    sums = in_arrow(few, run, "block int, part binary").groupBy("block").applyInArrow(total, "block int, part binary")
+    flat = np.zeros(TOP_ROWS * CLASSES + LOW_ROWS * WITHIN)
+    for r in sums.collect():  # bounded: the places of one model
+        part = np.frombuffer(r["part"])
+        flat[r["block"] * BLOCK :][: len(part)] = part
+    cut = TOP_ROWS * CLASSES
+    return Model(flat[:cut].reshape(TOP_ROWS, CLASSES), flat[cut:].reshape(LOW_ROWS, WITHIN))
+
+
+def trained(table: DataFrame) -> Model:
+    """The model of a table of context, leaf, n, each of whose pieces is sorted."""
+    seen = _summed(table, observe)
+    if not seen.top.any():
+        return Model.zero(np.float32)
+    model = start(seen)
     for _ in range(ROUNDS):
-        now = spark.sparkContext.broadcast(weights)  # bounded: FEATURES x (CLASSES + LEAVES)
-
-        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            found = [x for x in batches if x.num_rows]
-            if not found:
-                return
-            whole = pa.Table.from_batches(found)
-            contexts, cells = _dense(*(whole.column(c).to_numpy() for c in ("context", "leaf", "n")))
-            g = gradient(now.value, cells, contexts)
-            rows = np.flatnonzero(g.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array([r.tobytes() for r in g[rows]], pa.binary())], ["feature", "g"])
-
-        step = np.zeros_like(weights)
-        for f, g in table.mapInArrow(run, "feature bigint, g binary").toLocalIterator():
-            step[f] += np.frombuffer(g)
+        now = table.sparkSession.sparkContext.broadcast(Model(*(x.astype(np.float32) for x in model)))  # bounded: the places of one model
+        model = stepped(model, seen, _summed(table, lambda into, c, leaf, n, now=now: expect(into, now.value, c, leaf, n)))
         now.destroy()
-        weights = weights + RATE * step / (0.25 * size + 20)[:, None]
-    return weights
+    return Model(*(x.astype(np.float32) for x in model))
 
 
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -156,42 +307,25 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     src = docs.select(F.col(key).alias("doc_id"), held_out(key, 7).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count("*").alias("docs")).first()
     chunks = max(1, -(-(total["n"] + 50 * total["docs"]) // CHUNK_BYTES))
-    src = src.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
+    src = src.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     lists = stored(src.groupBy("chunk").applyInArrow(_chunk_words, "chunk int, word string, n bigint"), "words")
     counts = stored(lists.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
     row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = row["n"], row["v"]
-    top = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(OWN - 1).collect()
-    own = {b"": 0} | {r["word"].encode(): i + 1 for i, r in enumerate(top)}
+    frequent = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(OWN - 1).collect()
+    own = {b"": 0} | {r["word"].encode(): i + 1 for i, r in enumerate(frequent)}
     sizes = np.zeros((2, LEAVES))
-    for r in counts.groupBy(leaf_column(F.col("word"), own).alias("leaf")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+    known = F.broadcast(spark.createDataFrame([(w.decode(), i) for w, i in own.items()], "word string, own int"))  # bounded: OWN rows
+    tail = F.lit(OWN) + F.crc32(F.substring(F.col("word").cast("binary"), 1, 2)) % (LEAVES - OWN)
+    for r in counts.join(known, "word", "left").groupBy(F.coalesce("own", tail.cast("int")).alias("leaf")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         sizes[:, r["leaf"]] = r["n"], r["v"]
-
-    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(LEAVES**3, np.int64)
-        memo: dict[bytes, int] = {}
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                found = words(t)
-                if len(memo) > 300_000:
-                    memo.clear()
-                leaves = np.fromiter(map(memo.get, found, repeat(-1)), np.int64, len(found))
-                for i in np.flatnonzero(leaves < 0).tolist():
-                    leaves[i] = memo[found[i]] = leaf_of(found[i], own)
-                leaves = np.concatenate([[0, 0], leaves, [0]])
-                np.add.at(cells, (leaves[:-2] * LEAVES + leaves[1:-1]) * LEAVES + leaves[2:], 1)
-        some = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(cells[some])], ["cell", "n"])
-
-    cells = src.where(~F.col("held_out")).select("text").mapInArrow(triples, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    weights = trained(cells.select(F.expr(f"cell div {LEAVES}").alias("context"), (F.col("cell") % LEAVES).alias("leaf"), "n"))
-    every = np.arange(LEAVES * LEAVES)
-    first, second = probabilities(weights, every)
-    table = (np.log10(first)[:, :, None] + np.log10(second)).reshape(len(every), LEAVES).astype(np.float32)
-    model = spark.sparkContext.broadcast((own, sizes, table))  # bounded: LEAVES ** 3 numbers
+    table = stored(followers(src.where(~F.col("held_out")).select("text"), own), "followers")
+    trained_model = trained(table)
+    dropped(table)
+    model = spark.sparkContext.broadcast((own, sizes, trained_model))  # bounded: the places of one model
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        own, sizes, table = model.value
+        own, sizes, model_ = model.value
         names = right.column("word").cast(pa.binary()).to_pylist()
         c = np.append(right.column("c").to_numpy(), 0)
         leaf = np.array([leaf_of(w, own) for w in names] + [0], np.int64)
@@ -202,19 +336,22 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         base = np.log10((c + 1) / (n + 1 * (v + 1)))
         index = {w: i for i, w in enumerate(names)}
         end = index.get(b"", len(names))
-        out: list[tuple] = []
+        ats, befores = [], []
         for t in texts_of(left.column("text")):
-            at = np.fromiter(map(index.__getitem__, words(t)), np.int64)
-            at = np.append(at, end)
-            leaves = np.concatenate([[0, 0], leaf[at]])
-            s = inner[at].sum() + table[leaves[:-2] * LEAVES + leaves[1:-1], leaves[2:]].sum(dtype=float)
-            out.append((len(at), int((c[at] > 0).sum()), float(base[at].sum()), float(s)))
-        cols = list(zip(*out)) if out else [(), (), (), ()]
-        size = len(out)
-        return pa.table({
-            "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()),
-            "train_tokens": pa.array([n] * size, pa.int64()), "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64()),
+            at = np.append(np.fromiter(map(index.__getitem__, words(t)), np.int64), end)
+            ats.append(at)
+            befores.append(contexts(np.concatenate([[0, 0], leaf[at]])))
+        size = len(ats)
+        lengths = np.array([len(a) for a in ats], np.int64)
+        at, first = np.concatenate([np.zeros(0, np.int64), *ats]), np.cumsum(lengths) - lengths
+        by_text = lambda x: np.add.reduceat(x, first) if size else x[:0]
+        s = inner[at] + (log10s(model_, np.concatenate(befores), leaf[at]) if size else 0.0)
+        out = pa.table({
+            "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(lengths, pa.int64()), "n_known": pa.array(by_text((c[at] > 0).astype(np.int64)), pa.int64()),
+            "train_tokens": pa.array([n] * size, pa.int64()), "base_score": pa.array(by_text(base[at]), pa.float64()), "score": pa.array(by_text(s), pa.float64()),
         })
+        released()
+        return out
 
     met = lists.join(counts, "word", "left").select("chunk", "word", F.coalesce("c", F.lit(0)).cast("long").alias("c"))
     kind = src.schema["doc_id"].dataType.simpleString()

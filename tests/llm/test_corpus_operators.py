@@ -141,30 +141,96 @@ def test_language_model_base_and_gain(spark, sf_dir):
         assert (g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == (held[r["doc_id"]], len(t), sum(count[x] > 0 for x in t), n)
         assert g["base_score"] == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in t))
     kept = [got[i] for i, h in held.items() if h]
-    assert sum(g["score"] for g in kept) > sum(g["base_score"] for g in kept)
+    assert sum(g["score"] - g["base_score"] for g in kept) > 0.2 * sum(g["n_tokens"] for g in kept)
+
+
+def random_model(rng, size=1.0):
+    return maxent.Model(*(rng.normal(size=x.shape) * size for x in maxent.Model.zero()))
 
 
 def test_language_model_is_a_distribution():
-    rng = np.random.default_rng(1)
-    weights = rng.normal(size=(maxent.FEATURES, maxent.CLASSES + maxent.LEAVES))
-    top, low = maxent.probabilities(weights, np.arange(50))
-    assert np.allclose((top[:, :, None] * low).sum((1, 2)), 1)
+    model = random_model(np.random.default_rng(1))
+    for context in (0, 5, 77 * maxent.LEAVES + 4000):
+        every = np.arange(maxent.LEAVES)
+        assert (10 ** maxent.log10s(model, np.full(maxent.LEAVES, context), every)).sum() == pytest.approx(1)
 
 
 def test_language_model_gradient():
     rng = np.random.default_rng(2)
-    weights, contexts = rng.normal(size=(maxent.FEATURES, maxent.CLASSES + maxent.LEAVES)) * 0.1, np.array([3, 70, 71])
-    cells = rng.integers(0, 5, (3, maxent.LEAVES)).astype(float)
-
-    def value(w):
-        top, low = maxent.probabilities(w, contexts)
-        return (cells * np.log(top[:, :, None] * low).reshape(3, -1)).sum()
-
-    g = maxent.gradient(weights, cells, contexts)
-    for f, k in ((0, 3), (0, 20), (1 + 3, 5), (1 + 6, 60)):
-        step = np.zeros_like(weights)
-        step[f, k] = 1e-5
-        assert g[f, k] == pytest.approx((value(weights + step) - value(weights - step)) / 2e-5, abs=1e-4)
+    model = random_model(rng, 0.1)
+    keys = np.unique(rng.choice([3, 70 * maxent.LEAVES + 1, 71 * maxent.LEAVES + 70], 60) * maxent.LEAVES + rng.choice([0, 3, 64, 65, 4095], 60))
+    context, leaf, n = keys // maxent.LEAVES, keys % maxent.LEAVES, rng.integers(1, 5, len(keys))
+
+    def value(m):
+        return float((n * maxent.log10s(m, context, leaf)).sum() * np.log(10))
+
+    seen, expected = maxent.Model.zero(), maxent.Model.zero()
+    maxent.observe(seen, context, leaf, n)
+    maxent.expect(expected, model, context, leaf, n)
+    inside = maxent.low_features(np.array([3]), np.array([1]))
+    for part, row, column in ((0, 0, 1), (0, 1 + 70, 63), (0, 1 + maxent.LEAVES + 3, 0), (1, 1, 0), (1, int(inside[0][0]), 1), (1, int(inside[2][0]), 2)):
+        up, down = (maxent.Model(*(x.copy() for x in model)) for _ in range(2))
+        up[part][row, column] += 1e-5
+        down[part][row, column] -= 1e-5
+        assert seen[part][row, column] - expected[part][row, column] == pytest.approx((value(up) - value(down)) / 2e-5, abs=1e-4)
+
+
+def test_language_model_score_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst0123456789"] * 30
+    vocabulary = [w + str(i // 200) for i, w in enumerate(vocabulary)]  # more words than leaves of their own
+    drawn = [np.where(rng.random(150) < 0.5, rng.integers(0, 6000, 150), np.minimum(rng.pareto(1, 150) * 10, 5999)).astype(int) for _ in range(150)]
+    texts = [" ".join(vocabulary[x] for x in xs) for xs in drawn] + ["", None, "unseen words here"]
+    docs = documents(spark, texts)
+    got = {r["doc_id"]: r for r in maxent.scored(docs).collect()}
+    rows = {r["doc_id"]: lm_tokens(r["text"]) for r in docs.collect()}
+    count = Counter(t for i, ts in rows.items() if not got[i]["held_out"] for t in ts)
+    ranked = sorted((t for t in count if t is not None), key=lambda t: (-count[t], t))
+    assert len(ranked) > maxent.OWN
+    own = {b"": 0} | {t: i + 1 for i, t in enumerate(ranked[: maxent.OWN - 1])}
+    leaf = lambda t: 0 if t is None else maxent.leaf_of(t, own)
+    table = Counter()
+    for i, ts in rows.items():
+        leaves = [0, 0, *map(leaf, ts)]
+        if not got[i]["held_out"]:
+            table.update((b * maxent.LEAVES + a, c) for a, b, c in zip(leaves, leaves[1:], leaves[2:]))
+    keys = sorted(table)
+    context, after = (np.array([k[j] for k in keys]) for j in (0, 1))
+    n = np.array([table[k] for k in keys])
+    seen = maxent.Model.zero()
+    maxent.observe(seen, context, after, n)
+    model = maxent.start(seen)
+    for _ in range(maxent.ROUNDS):
+        expected = maxent.Model.zero()
+        maxent.expect(expected, model, context, after, n)
+        model = maxent.stepped(model, seen, expected)
+    many, kinds = Counter(), Counter()
+    for t, c in count.items():
+        many[leaf(t)] += c
+        kinds[leaf(t)] += 1
+
+    def chosen(scores, i):
+        top = max(scores)
+        return scores[i] - top - math.log(sum(math.exp(x - top) for x in scores))
+
+    for i in list(rows)[:6] + list(rows)[-3:]:
+        leaves, total = [0, 0, *map(leaf, rows[i])], 0.0
+        for a, b, c, t in zip(leaves, leaves[1:], leaves[2:], rows[i]):
+            k, of = np.array([b * maxent.LEAVES + a]), c // maxent.WITHIN
+            total += chosen(list(model.top[0] + sum(model.top[r[0]] for r in maxent.top_features(k))), of)
+            total += chosen(list(model.low[of] + sum(model.low[r[0]] for r in maxent.low_features(k, np.array([of])))), c % maxent.WITHIN)
+            if c >= maxent.OWN and many[c]:
+                total += math.log((count[t] - maxent.DISCOUNT if count[t] else maxent.DISCOUNT * kinds[c]) / many[c])
+        assert got[i]["score"] == pytest.approx(total / math.log(10), rel=1e-4, abs=1e-3)
+
+
+def test_language_model_ids_and_columns(spark):
+    rows = [(None, "a b a", "x"), (None, "a b a", "y"), (7, "b", "z"), (7, "a", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, chunk string")
+    got = maxent.scored(docs.withColumn("word", docs.chunk)).collect()
+    assert sorted(r["n_tokens"] for r in got) == [2, 2, 4, 4] and "chunk" not in got[0].asDict()
+    nulls = [r for r in got if r["doc_id"] is None]
+    assert len(nulls) == 2 and not any(r["held_out"] for r in nulls) and nulls[0]["score"] == nulls[1]["score"]
 
 
 def test_language_model_edges(spark):

@@ -224,6 +224,85 @@ def test_flac_without_a_seek_table_and_with_damage():
         flac.decode([bytes(broken)])
 
 
+def crc_of(data, width, poly):
+    c = 0
+    for byte in data:
+        c ^= byte << (width - 8)
+        for _ in range(8):
+            c = (c << 1 ^ (poly if c >> (width - 1) else 0)) & ((1 << width) - 1)
+    return c.to_bytes(width // 8, "big")
+
+
+def hand_made_stream(frames, total):
+    """A FLAC stream of subframes: pairs of bits ('0110...') and samples, as the format describes them."""
+    info = (16).to_bytes(2, "big") + (65535).to_bytes(2, "big") + bytes(6) + (8000 << 44 | 7 << 36 | len(total)).to_bytes(8, "big") + hashlib.md5(total.astype(np.int8).tobytes()).digest()
+    out = b"fLaC\x80" + len(info).to_bytes(3, "big") + info
+    for number, (bits, n) in enumerate(frames):
+        head = bytes([0xFF, 0xF8, 0x70, 0x02, number]) + (n - 1).to_bytes(2, "big")
+        head += crc_of(head, 8, 0x07)
+        body = head + int(bits + "0" * (-len(bits) % 8), 2).to_bytes(-(-len(bits) // 8), "big")
+        out += body + crc_of(body, 16, 0x8005)
+    return out
+
+
+def bits_of(value, width):
+    return format(value & ((1 << width) - 1), f"0{width}b") if width else ""
+
+
+def residual_bits(residual, order, n, method, parts, escaped):
+    """Partitioned Rice codes; partitions whose number is in `escaped` are plain numbers."""
+    out, span, at = bits_of(method, 2) + bits_of(parts, 4), n >> parts, 0
+    for k in range(1 << parts):
+        part = residual[at : at + span - (order if k == 0 else 0)]
+        at += len(part)
+        wide = 4 + method
+        if k in escaped:
+            raw = max((int(v).bit_length() + 1 for v in part if v), default=0)
+            out += "1" * wide + bits_of(raw, 5) + "".join(bits_of(int(v), raw) for v in part)
+        else:
+            rice = k % 5 + (12 if method and k == 1 else 0)
+            out += bits_of(rice, wide)
+            for v in part:
+                z = int(v) << 1 if v >= 0 else (-int(v) << 1) - 1
+                out += "0" * (z >> rice) + "1" + bits_of(z, rice)
+    return out
+
+
+@pytest.mark.parametrize("order,precision,shift", [(1, 5, 3), (2, 12, 10), (8, 9, 7), (32, 15, 12), (0, 0, 0), (3, 0, 0)])
+@pytest.mark.parametrize("method,parts,escaped", [(0, 0, ()), (0, 3, (0, 2, 5)), (1, 2, (3,)), (1, 0, (0,))])
+def test_flac_streams_of_other_encoders(order, precision, shift, method, parts, escaped):
+    """Linear predictors of any order, fixed ones (precision 0), both Rice methods, partitions, escapes; with constant and verbatim frames."""
+    rng = np.random.default_rng(order + 100 * parts)
+    n = 512
+    x = np.clip(np.cumsum(rng.integers(-4, 5, n)), -128, 127)
+    x[n // 2 : n // 2 + 200] = 0  # a partition of zeros, which takes no bits a number
+    if precision:
+        c = [int(v) for v in rng.integers(-(1 << precision - 1), 1 << precision - 1, order) // order]
+        head = bits_of(32 + order - 1, 6)
+        numbers = bits_of(precision - 1, 4) + bits_of(shift, 5) + "".join(bits_of(v, precision) for v in c)
+    else:
+        c, head, numbers = [[], [1], [2, -1], [3, -3, 1]][order], bits_of(8 + order, 6), ""
+    guess = [sum(v * int(x[i - 1 - j]) for j, v in enumerate(c)) >> shift for i in range(order, n)]
+    coded = "0" + head + "0" + "".join(bits_of(int(v), 8) for v in x[:order]) + numbers + residual_bits(x[order:] - np.array(guess, int), order, n, method, parts, escaped)
+    noise = rng.integers(-128, 128, 40)
+    frames = [(coded, n), ("0" + bits_of(0, 6) + "0" + bits_of(-7, 8), 30), ("0" + bits_of(1, 6) + "0" + "".join(bits_of(int(v), 8) for v in noise), 40)]
+    total = np.concatenate([x, np.full(30, -7), noise])
+    whole, starts = flac.decode([hand_made_stream(frames, total)])
+    assert (whole[0] == total).all() and starts[0].tolist() == [0, n, n + 30]
+
+
+def test_flac_feature_sample_by_sample():
+    x = np.random.default_rng(5).integers(-128, 128, 1000).astype(np.int8)
+    values = [int(v) for v in x]
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(values, values[1:]))
+    want = f"blocks=3;mean={sum(values) / 1000:.6f};rms={(sum(v * v for v in values) / 1000) ** 0.5:.6f};peak={max(map(abs, values))};crossings={crossings}"
+    assert flac.feature(x, np.array([0, 400, 800])) == want
+
+
+def test_flac_of_an_empty_table(spark):
+    assert flac.features(documents(spark, ["a"]).where("false")).count() == 0
+
+
 def test_flac_query_and_blocks(spark):
     texts = [None, "", "ab", "x" * 64, "é" * 3000, "same", "same"]
     got = {r["doc_id"]: r for r in flac.features(documents(spark, texts)).collect()}

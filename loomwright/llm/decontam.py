@@ -2,8 +2,9 @@
 
 A text is looked at in two views. Its words as they are: windows of WINDOW words find what was copied, in whatever case.
 Its template: numbers, names (runs of capitalised words) and units after numbers become typed placeholders; windows of
-which PLAIN are words find questions with other numbers, names and units. Windows are hashed and joined with the
-benchmark's. Hits on one diagonal of one view (document position minus item position) are one occurrence of a passage.
+which PLAIN are words find questions with other numbers, names and units. An item without any such window, mostly
+numbers, is looked for by windows with a word at least and a name at most, all of which a document must have. Windows are
+hashed and joined with the benchmark's. Hits on one diagonal of one view (document position minus item position) are one occurrence of a passage.
 Within each run of contiguous hits of templates the slots must be consistent: one benchmark value always stands for one
 value of the document, while two values may stand for the same one; of a run that is not, the windows with equal tokens
 count. So a question with other numbers is caught, and a text that merely has numbers is not.
@@ -30,8 +31,11 @@ SHORTEST = 4
 HITS = 3
 #: A window that more different texts of the benchmark have is looked for only where an item has no other.
 COMMON = 8
-#: A template's window with a smaller share of plain words is left to the view of words.
+#: A template's window with a smaller share of plain words is thin.
 PLAIN = 0.6
+#: Words and names of an item that is looked for by thin windows; one with fewer, one shorter than a window, and one with
+#: windows of numbers or names alone would be found anywhere, and are left to the view of words.
+FEWEST = 2
 #: Benchmark windows, and rows of ids, that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
 UNITS = "km|cm|mm|kg|mg|lb|lbs|oz|ml|mi|ft|mph|kmh|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|meters?|metres?|miles?|feet|inches|grams?|liters?|litres?|dollars?|euros?|cents?|percent"
@@ -98,14 +102,17 @@ def _spans(values: Column, size: int, join: Callable[[Column, Column], Column])
 
 
 def windows(code: Column, size: int, view: int) -> Column:
-    """The hash of each window by position; null where a template's window has too few plain words."""
+    """The hash of each window by position, odd for thin ones; null where a template's window has too few plain words."""
 
     def hashed(code: Column) -> Column:
         own = _spans(code, size, lambda a, b: F.xxhash64(a, b))
         if view == WORDS:
             return own
-        plain = _spans(F.transform(code, lambda c: ((c < NAME) | (c > NUMBER)).cast("int")), size, lambda a, b: a + b)
-        return F.zip_with(own, plain, lambda h, n: F.when(n >= PLAIN * size, F.xxhash64(h, F.lit(TEMPLATE))))
+        # words and names of a window in one number: a name is 100
+        kinds = F.transform(code, lambda c: F.when((c < NAME) | (c > NUMBER), F.lit(1)).when(c == NAME, F.lit(100)).otherwise(F.lit(0)))
+        even = lambda h: F.shiftleft(F.xxhash64(h, F.lit(TEMPLATE)), 1)
+        both = _spans(kinds, size, lambda a, b: a + b)
+        return F.zip_with(own, both, lambda h, n: F.when(n % 100 >= PLAIN * size, even(h)).when((n % 100 > 0) & (n < 200), even(h) + 1))
 
     return _let(code, hashed)
 
@@ -130,13 +137,22 @@ def _hashes(size: int) -> Column:
     return F.struct(F.lit(size).alias("size"), own.alias("hashes"))
 
 
+def thin() -> Column:
+    return (F.col("view") == TEMPLATE) & (F.col("window") % 2 != 0)
+
+
 def _wanted(items: DataFrame, sizes: list[int]) -> DataFrame:
     """item_id, view, size, at, window: the windows that an item is looked for by.
 
     A window that more than COMMON different texts of the benchmark have (an instruction, a frame of many questions) tells
-    nothing of one of them: an item is looked for by its other windows, or by all of them where it has no other."""
+    nothing of one of them: an item is looked for by its other windows, or by all of them where it has no other. Thin windows
+    are those of items that have none but thin ones."""
+    enough = (F.size("code") >= WINDOW) & (F.size(F.filter("code", lambda c: (c < UNIT) | (c > NUMBER))) >= FEWEST)
     own = F.filter(F.array(*[_hashes(n) for n in sizes]), lambda x: x["size"] == F.col("size"))
-    every = _windows(items, "item_id", "at", own).join(items.select("item_id", "view", F.xxhash64("code").alias("text")), ["item_id", "view"])
+    whole = _windows(items, "item_id", "at", own).withColumn("thin", thin())
+    needed = items.groupBy("item_id", "view").agg(F.max(F.size("code") - F.col("size") + 1).alias("places"), F.min(enough).alias("enough"))
+    has = whole.join(needed, ["item_id", "view"]).groupBy("item_id", "view").agg((F.min("thin") & (F.count_distinct("at") == F.first("places")) & F.first("enough")).alias("only thin"))
+    every = whole.join(has, ["item_id", "view"]).where(~F.col("thin") | F.col("only thin")).join(items.select("item_id", "view", F.xxhash64("code").alias("text")), ["item_id", "view"])
     often = every.groupBy("view", "window").agg(F.count_distinct("text").alias("n")).where(F.col("n") > COMMON).select("view", "window", F.lit(True).alias("common"))
     known = every.join(often, ["view", "window"], "left").withColumn("common", F.coalesce("common", F.lit(False)))
     alone = known.groupBy("item_id", "view").agg(F.min("common").alias("all common"))
@@ -172,7 +188,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = _views(docs.select(_row(docs).alias("row"), "text"), "row")
     wanted = stored(_wanted(items, sorted(sizes)), "wanted")
     found = _hits(texts, wanted, sorted(sizes)).drop("size")
-    need = wanted.groupBy("item_id", "view", "size").agg(F.least(F.lit(HITS), F.count_distinct("at").cast("int")).alias("need"))
+    need = wanted.groupBy("item_id", "view", "size").agg(F.least(F.when(F.max(thin()), F.lit(1 << 30)).otherwise(F.lit(HITS)), F.count_distinct("at").cast("int")).alias("need"))
     one = ["row", "item_id", "view", "diagonal"]
     every = found.groupBy(*one).agg(F.array_sort(F.collect_set("at")).alias("ats")).join(need, ["item_id", "view"]).where(F.size("ats") >= F.col("need"))
     # contiguous hits: their place in the list grows as their position does

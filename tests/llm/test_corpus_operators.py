@@ -150,7 +150,7 @@ def random_model(rng, size=1.0):
 
 def test_language_model_is_a_distribution():
     model = random_model(np.random.default_rng(1))
-    for context in (0, 5, 77 * maxent.LEAVES + 4000):
+    for context in (0, 5, 77 * maxent.LEAVES + maxent.LEAVES - 5):
         every = np.arange(maxent.LEAVES)
         assert (10 ** maxent.log10s(model, np.full(maxent.LEAVES, context), every)).sum() == pytest.approx(1)
 
@@ -158,7 +158,7 @@ def test_language_model_is_a_distribution():
 def test_language_model_gradient():
     rng = np.random.default_rng(2)
     model = random_model(rng, 0.1)
-    keys = np.unique(rng.choice([3, 70 * maxent.LEAVES + 1, 71 * maxent.LEAVES + 70], 60) * maxent.LEAVES + rng.choice([0, 3, 64, 65, 4095], 60))
+    keys = np.unique(rng.choice([3, 70 * maxent.LEAVES + 1, 71 * maxent.LEAVES + 70], 60) * maxent.LEAVES + rng.choice([0, 3, 64, 65, maxent.LEAVES - 1], 60))
     context, leaf, n = keys // maxent.LEAVES, keys % maxent.LEAVES, rng.integers(1, 5, len(keys))
 
     def value(m):
@@ -168,7 +168,7 @@ def test_language_model_gradient():
     maxent.observe(seen, context, leaf, n)
     maxent.expect(expected, model, context, leaf, n)
     inside = maxent.low_features(np.array([3]), np.array([1]))
-    for part, row, column in ((0, 0, 1), (0, 1 + 70, 63), (0, 1 + maxent.LEAVES + 3, 0), (1, 1, 0), (1, int(inside[0][0]), 1), (1, int(inside[2][0]), 2)):
+    for part, row, column in ((0, 0, 1), (0, 1 + 70, maxent.CLASSES - 1), (0, 1 + maxent.LEAVES + 3, 0), (1, 1, 0), (1, int(inside[0][0]), 1), (1, int(inside[2][0]), 2)):
         up, down = (maxent.Model(*(x.copy() for x in model)) for _ in range(2))
         up[part][row, column] += 1e-5
         down[part][row, column] -= 1e-5
@@ -294,6 +294,19 @@ def test_decontamination_of_copies_and_rewritten_names(spark):
     assert got == {(0, 1), (1, 1), (2, 2), (3, 2), (4, 3), (5, 3), (8, 3)}
 
 
+def test_decontamination_of_questions_of_numbers(spark):
+    """Windows of mostly numbers: the whole item with other numbers is found, parts of it, mixed slots and plain tables are not."""
+    sum_ = "Compute 12 + 7 * 3 - 4 then 45 / 6 + 18 - 2 and 9 * 5 + 31"
+    same = "Compute 88 + 9 * 5 - 1 then 63 / 4 + 27 - 6 and 8 * 2 + 70"
+    mixed = same.replace("70", "88")  # one value stands for two
+    table_ = " ".join(str(i) for i in range(40))
+    bench = spark.createDataFrame([(1, sum_), (2, table_), (3, "from 3 to 5 of 7")], "item_id bigint, text string")
+    docs = documents(spark, [f"An exam. {same} Well done.", sum_, same[:30], "Compute " + same[20:], " ".join(str(7 * i) for i in range(40)), f"and {table_}", "from 4 to 6 of 9", "x then " + same[8:], f"{sum_.replace('31', '12')} is it"])
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()}
+    assert got >= {(0, 1), (1, 1), (5, 2)} and {d for d, _ in got} <= {0, 1, 5, 8}
+    assert decontam.contaminated(documents(spark, [mixed]), bench).count() == 1  # two values may become one
+
+
 def test_decontamination_of_null_and_repeated_ids(spark):
     item = "one passage of the benchmark that has quite enough words to be found"
     rows = [(None, item), (None, "another text that is clean"), (7, item), (7, "a clean text"), (7, item)]

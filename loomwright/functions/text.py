@@ -114,7 +114,7 @@ def html_escape(text: Column) -> Column:
 
 def keyword_list(text: Column) -> Column:
     """Keywords separated by lines or commas, without blanks."""
-    return F.filter(F.transform(F.split(text, "[\n,]"), F.trim), lambda w: w != "")
+    return F.filter(F.transform(F.split(text, "[\n,]"), lambda w: F.trim(w)), lambda w: w != "")
 
 
 def stars(importance: Column) -> Column:

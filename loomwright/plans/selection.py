@@ -162,7 +162,7 @@ def near_duplicate_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where(close).withColumn("ratio", F.round(ratio("text", "before"), 6)).where("ratio >= 0.82").select("conv_id", "turn", "ratio")
 
 
-@query()
+@query("select doc_id, case when n_chars >= 300 then 'KEEP' else 'DROP' end as decision, cast(1 as int) as attempts, false as fallback from documents")
 def batch_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule-based agent over batches of six with a contract and a fallback, as a language model would be called."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")

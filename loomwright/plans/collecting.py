@@ -56,7 +56,7 @@ def retention_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     value = F.when(F.col("o_orderkey") % 7 != 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
     cutoff = orders.agg((F.max("o_orderdate").cast("timestamp") - F.expr("interval 90 days")).alias("cutoff"))
-    return orders.select("o_orderkey", value.alias("value")).join(F.broadcast(cutoff)).where(W.retained(F.col("value"), F.col("cutoff"))).select("o_orderkey")
+    return orders.select("o_orderkey", value.alias("value")).where(W.retained(F.col("value"), cutoff.scalar())).select("o_orderkey")
 
 
 @query("""

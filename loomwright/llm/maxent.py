@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import dropped, held_out, in_arrow, released, stored, texts_of
 
-CLASSES, WITHIN = 64, 64
+CLASSES, WITHIN = 32, 64
 LEAVES = CLASSES * WITHIN
 #: Leaves of one word: the end of a text, and the most frequent words.
 OWN = LEAVES - 256
@@ -43,17 +43,17 @@ OWN = LEAVES - 256
 PAIRS = 1 << 13
 TOP_ROWS = 1 + 2 * LEAVES + PAIRS
 #: Rows of scores within classes: no feature, and features hashed together with the class.
-HASHED = 1 << 15
+HASHED = 1 << 14
 LOW_ROWS = CLASSES + HASHED
-ROUNDS = 3
-RATE = 0.4
+ROUNDS = 2
+RATE = 0.6
 #: Counts that a weight is held back by.
 HOLD = 3.0
 DISCOUNT = 0.75
 CHUNK_BYTES = 4_000_000
 PIECE_TOKENS = 3_000_000
 BATCH_ROWS = 200_000
-CONTEXTS = 20_000
+CONTEXTS = 8_000
 BLOCK = 8192
 END = ""
 
@@ -115,19 +115,39 @@ def low_features(context: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
     return [CLASSES + _hash(x * CLASSES + of, salt, HASHED) for salt, x in ((1 << 50, last), (1 << 51, skip), (1 << 52, context))]
 
 
-def _log_softmax(score: np.ndarray) -> np.ndarray:
-    score -= score.max(1, keepdims=True)
-    return score - np.log(np.exp(score).sum(1, keepdims=True))
+def _gathered(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """The sum of a few rows of a table for each context."""
+    out = table[rows[0]]
+    for r in rows[1:]:
+        out += table[r]
+    return out
+
+
+def _class_scores(model: Model, context: np.ndarray) -> np.ndarray:
+    out = _gathered(model.top, top_features(context))
+    out += model.top[0]
+    return out
 
 
-def class_logs(model: Model, context: np.ndarray) -> np.ndarray:
-    """log P(class | context), a row for each context."""
-    return _log_softmax(sum((model.top[r] for r in top_features(context)), model.top[0]))
+def _leaf_scores(model: Model, context: np.ndarray, of: np.ndarray) -> np.ndarray:
+    return _gathered(model.low, [of, *low_features(context, of)])
+
+
+def _softmax(score: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Probabilities times a count for each row; works in place."""
+    score -= score.max(1, keepdims=True)
+    np.exp(score, out=score)
+    score *= (total / score.sum(1))[:, None]
+    return score
 
 
-def leaf_logs(model: Model, context: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """log P(leaf | class, context), a row for each context and class."""
-    return _log_softmax(sum((model.low[r] for r in low_features(context, of)), model.low[of]))
+def _chosen(score: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Logs of probabilities at some places."""
+    most = score.max(1)
+    at = score[row, column] - most[row]
+    score -= most[:, None]
+    np.exp(score, out=score)
+    return at - np.log(score.sum(1))[row]
 
 
 def _starts(x: np.ndarray) -> np.ndarray:
@@ -147,26 +167,26 @@ def observe(into: Model, context: np.ndarray, leaf: np.ndarray, n: np.ndarray) -
     of = leaf // WITHIN
     for table, features, target in ((into.top, [np.zeros_like(context), *top_features(context)], of), (into.low, [of, *low_features(context, of)], leaf % WITHIN)):
         for rows in features:
-            cell, where = np.unique(rows * table.shape[1] + target, return_inverse=True)
-            table.ravel()[cell] += np.bincount(where, n)
+            np.add.at(table.reshape(-1), rows * table.shape[1] + target, n.astype(table.dtype))
 
 
 def expect(into: Model, model: Model, context: np.ndarray, leaf: np.ndarray, n: np.ndarray) -> None:
     """Adds how often the model expects them; rows are sorted by context, leaf. Observed less expected is the gradient
     of the log likelihood."""
     at = _starts(context)
+    total = np.add.reduceat(n, at).astype(model.top.dtype)
     for i in range(0, len(at), CONTEXTS):
-        some, total = context[at[i : i + CONTEXTS]], np.add.reduceat(n, at)[i : i + CONTEXTS, None]
-        p = np.exp(class_logs(model, some)) * total
+        some = context[at[i : i + CONTEXTS]]
+        p = _softmax(_class_scores(model, some), total[i : i + CONTEXTS])
         into.top[0] += p.sum(0)
         for rows in top_features(some):
             _add_rows(into.top, rows, p)
     of = leaf // WITHIN
     at = _starts(context * CLASSES + of)
-    total = np.add.reduceat(n, at)
+    total = np.add.reduceat(n, at).astype(model.low.dtype)
     for i in range(0, len(at), CONTEXTS):
         rows = at[i : i + CONTEXTS]
-        p = np.exp(leaf_logs(model, context[rows], of[rows])) * total[i : i + CONTEXTS, None]
+        p = _softmax(_leaf_scores(model, context[rows], of[rows]), total[i : i + CONTEXTS])
         for rows in [of[rows], *low_features(context[rows], of[rows])]:
             _add_rows(into.low, rows, p)
 
@@ -196,17 +216,13 @@ def log10s(model: Model, context: np.ndarray, leaf: np.ndarray) -> np.ndarray:
     order = np.argsort(key)
     context, of, inner = context[order], leaf[order] // WITHIN, leaf[order] % WITHIN
     out = np.empty(len(key))
-    for logs, group, column in ((class_logs, context, of), (leaf_logs, context * CLASSES + of, inner)):
-        at = np.append(_starts(group), len(group))
-        for i in range(0, len(at) - 1, CONTEXTS):
-            ends = at[i : i + CONTEXTS + 1]
-            some, a, b = ends[:-1], ends[0], ends[-1]
-            found = logs(model, context[some]) if logs is class_logs else logs(model, context[some], of[some])
-            found = found[np.repeat(np.arange(len(some)), np.diff(ends)), column[a:b]]
-            if logs is class_logs:
-                out[order[a:b]] = found
-            else:
-                out[order[a:b]] += found
+    for scores, group, column in ((lambda at: _class_scores(model, context[at]), context, of), (lambda at: _leaf_scores(model, context[at], of[at]), context * CLASSES + of, inner)):
+        edges = np.append(_starts(group), len(group))
+        for i in range(0, len(edges) - 1, CONTEXTS):
+            ends = edges[i : i + CONTEXTS + 1]
+            a, b = ends[0], ends[-1]
+            logs = _chosen(scores(ends[:-1]), np.repeat(np.arange(len(ends) - 1), np.diff(ends)), column[a:b])
+            out[order[a:b]] = logs if column is of else out[order[a:b]] + logs
     return out / np.log(10)
 
 
@@ -278,7 +294,7 @@ def _summed(table: DataFrame, add) -> Model:
         return pa.table({"block": rows.column("block").slice(0, 1), "part": pa.array([out.tobytes()], pa.binary())})
 
     # as many vectors as the cluster has cores, however many files there are
-    few = table.coalesce(max(8, table.sparkSession.sparkContext.defaultParallelism))
+    few = table.coalesce(table.sparkSession.sparkContext.defaultParallelism)
     sums = in_arrow(few, run, "block int, part binary").groupBy("block").applyInArrow(total, "block int, part binary")
     flat = np.zeros(TOP_ROWS * CLASSES + LOW_ROWS * WITHIN)
     for r in sums.collect():  # bounded: the places of one model

@@ -56,27 +56,30 @@ def without_label(title: Column) -> Column:
     return trimmed(F.regexp_replace(F.coalesce(title, F.lit("")), r"^\[[^\]]+\]", ""))
 
 
-def _spelt(key: Column, between: str) -> Column:
-    """A pattern for a string's characters with other things between them."""
-    return F.concat(F.lit(r"\Q"), F.array_join(F.filter(F.split(key, ""), lambda c: c != ""), rf"\E{between}\Q"), F.lit(r"\E"))
+_KEY = "[0-9A-Za-z가-힣]"
+_NO_KEY = "[^0-9A-Za-z가-힣]"
 
 
-_NO_KEY = "[^0-9A-Za-z가-힣]*"
+def _after(text: Column, n: Column, before: str, char: str, after: str = "") -> Column:
+    """A text from what follows its n-th `char` on, `before` being what may lie before each; the whole if `after` does not
+    come there. The group is possessive: a matcher takes it round by round, and needs no stack however great n is."""
+    return F.regexp_replace(text, F.concat(F.lit(rf"(?Us)\A(?:{before}*+{char}){{"), n.cast("string"), F.lit(rf"}}+{after}")), F.lit(""))
 
 
 def without_title(text: Column, title: Column) -> Column:
     """A text in clean lines that no longer begins with its title: in whatever spacing (twice at most), then in whatever
     punctuation."""
 
-    def rid(lines: Column) -> Column:
-        plain = compact(title)
-        spaced = F.concat(F.lit(r"(?U)\A\s*"), _spelt(plain, r"\s*"), F.lit(r"(?:\s+|\z)"))
-        cut = lambda t: F.regexp_replace(F.regexp_replace(t, spaced, F.lit("")), F.lit(r"(?U)\A\s+"), F.lit(""))
-        marked = F.concat(F.lit(r"(?U)\A\s*"), _spelt(semantic_key(without_label(title)), _NO_KEY), F.lit(r"(?:\s+|\z)"))
-        last = lambda t: F.when(has_repeated_title(t, title), F.regexp_replace(F.regexp_replace(t, marked, F.lit("")), F.lit(r"(?U)\A\s+"), F.lit(""))).otherwise(t)
-        return F.when(F.length(plain) < LEAST_TITLE_KEY, lines).otherwise(once(cut(cut(lines)), last))
+    def rid(lines: Column, plain: Column, key: Column) -> Column:
+        end = r"(?:\s+|\z)"
+        bare = lambda t: F.regexp_replace(t, F.lit(r"(?U)\A\s+"), F.lit(""))
+        cut = lambda t: bare(F.when(F.startswith(compact(t), plain), _after(t, F.length(plain), r"\s", r"\S", end)).otherwise(t))
+        same = lambda t: F.rlike(t, F.lit(rf"(?U)\A\s*{_KEY}")) & F.startswith(F.regexp_replace(t, rf"{_NO_KEY}+", ""), key)
+        marked = lambda t: bare(F.when(same(t), _after(t, F.length(key), _NO_KEY, _KEY, end)).otherwise(t))
+        last = lambda t: F.when(has_repeated_title(t, title), marked(t)).otherwise(t)
+        return F.when(F.length(plain) < LEAST_TITLE_KEY, lines).otherwise(once(once(once(lines, cut), cut), last))
 
-    return once(clean_lines(text), rid)
+    return once(clean_lines(text), lambda t: once(compact(title), lambda plain: once(semantic_key(without_label(title)), lambda key: rid(t, plain, key))))
 
 
 def _ends(pieces: Column, matches: Column) -> Column:
@@ -87,19 +90,32 @@ def _ends(pieces: Column, matches: Column) -> Column:
 
 def without_header(text: Column, title: Column) -> Column:
     """A document from what follows its title on: the last place where the title stands, in whatever spacing and
-    punctuation, with something after it; else the first line that holds the title, or most of it, and nothing else of it."""
+    punctuation, with something after it; else the first line that holds the title, or most of it, and nothing else of it.
+
+    Places are found in the text's own key, and counted in its characters. A place with another one or two after it has
+    something after it, as a key is long enough for that, so the last three tell."""
+    said = lambda x: F.length(normalize_space(x)) >= LEAST_REMAINDER
+
+    def last(t: Column, key: Column) -> Column:
+        def of(own: Column, pieces: Column) -> Column:
+            behind = lambda k: F.aggregate(F.slice(pieces, -(k + 1), k + 1), F.lit(k) * F.length(key), lambda a, x: a + F.length(x))
+            rest = lambda k: once(clean_lines(_after(t, F.length(own) - behind(k), _NO_KEY, _KEY)), lambda x: F.when(said(x), x))
+            return F.coalesce(*[F.when(F.size(pieces) > k + 1, rest(k)) for k in range(3)])
+
+        return once(semantic_key(t), lambda own: once(F.split(own, key, -1), lambda pieces: of(own, pieces)))
+
+    def first(t: Column, key: Column) -> Column:
+        def of(lines: Column) -> Column:
+            long_enough = lambda k: F.length(k) >= F.greatest(F.lit(LEAST_TITLE_KEY), F.floor(F.length(key) * F.lit(HEADER_SHARE)))
+            titled = lambda x: once(semantic_key(x), lambda k: long_enough(k) & (F.contains(k, key) | F.contains(key, k)))
+            # what follows a later line is part of what follows this one
+            rest = lambda at: F.when(at > 0, F.array_join(F.slice(lines, at.cast("int") + 1, F.greatest(F.size(lines), F.lit(1))), "\n"))
+            return once(once(F.array_position(F.transform(lines, titled), F.lit(True)), rest), lambda x: F.when(said(x), x))
+
+        return once(F.split(t, "\n"), of)
 
     def rid(t: Column, key: Column) -> Column:
-        pattern = F.concat(F.lit("(?is)"), _spelt(key, _NO_KEY))
-        said = lambda x: F.length(normalize_space(x)) >= LEAST_REMAINDER
-        after = F.transform(_ends(F.split(t, pattern, -1), F.regexp_extract_all(t, pattern, F.lit(0))), lambda e: clean_lines(F.substring(t, e + 1, F.length(t))))
-        last = F.get(F.reverse(F.filter(after, said)), F.lit(0))
-        lines = F.split(t, "\n")
-        long_enough = lambda k: F.length(k) >= F.greatest(F.lit(LEAST_TITLE_KEY), F.floor(F.length(key) * F.lit(HEADER_SHARE)))
-        titled = lambda k: long_enough(k) & (F.contains(k, key) | F.contains(key, k))
-        rest = F.transform(lines, lambda x, i: F.when(titled(semantic_key(x)), F.array_join(F.slice(lines, i + 2, F.greatest(F.size(lines), F.lit(1))), "\n")))
-        first = F.get(F.filter(rest, lambda x: x.isNotNull() & said(x)), F.lit(0))
-        return F.when(F.length(key) < LEAST_TITLE_KEY, t).otherwise(F.coalesce(last, first, t))
+        return F.when(F.length(key) < LEAST_TITLE_KEY, t).otherwise(F.coalesce(last(t, key), first(t, key), t))
 
     return once(clean_lines(text), lambda t: once(semantic_key(without_label(title)), lambda key: rid(t, key)))
 

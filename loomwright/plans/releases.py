@@ -29,7 +29,7 @@ with d as (select doc_id, {_CLEAN.format('text')} as t, coalesce(string_split(te
 select doc_id, length(body) as n, md5(body) as body_md5 from g""")
 def bodies_without_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document from what follows its title on; its second line is taken for the title."""
-    title = F.concat(F.lit("["), F.col("source"), F.lit("]"), F.coalesce(F.get(F.split("text", "\n"), F.lit(1)), F.lit("")))
+    title = F.concat(F.lit("["), F.coalesce("source", F.lit("")), F.lit("]"), F.coalesce(F.get(F.split("text", "\n"), F.lit(1)), F.lit("")))
     return table(spark, sf_dir, "documents").select("doc_id", B.without_header(F.col("text"), title).alias("body")).select("doc_id", F.length("body").cast("long").alias("n"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 

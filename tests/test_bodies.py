@@ -46,6 +46,41 @@ def test_repeated_title_goes(spark, title, text, want):
     assert one(spark, text, B.without_title(F.col("t"), F.lit(title))) == want
 
 
+def test_titles_as_long_as_texts(spark):
+    import random
+
+    title = " ".join(f"word{i}" for i in range(20_000))
+    assert one(spark, f"head\n{title}\nthe body that follows", B.without_header(F.col("t"), F.lit(title))) == "the body that follows"
+    assert one(spark, f"{title} and the body", B.without_title(F.col("t"), F.lit(title))) == "and the body"
+    assert one(spark, f"{title}, and the body", B.without_title(F.col("t"), F.lit(f"[label] {title}"))) == f"{title}, and the body"
+    assert one(spark, title.replace(" ", " - ") + " and the body", B.without_title(F.col("t"), F.lit(f"[label] {title}"))) == "and the body"
+    lines = "a title of words\n" * 20_000
+    assert one(spark, lines, B.without_header(F.col("t"), F.lit("a title of words"))) == "a title of words"
+    dice = random.Random(1)  # few words, so that titles stand at many places and near the end
+    texts = ["".join(dice.choice(["abcd", "efgh", "x", " ", "\n", "-"]) for _ in range(dice.randint(1, 40))) for _ in range(400)]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", B.without_header(F.col("t"), F.lit("abcd-efgh")).alias("x")).collect():
+        assert r["x"] == header_by_hand(r["t"], "abcdefgh"), r["t"]
+
+
+def header_by_hand(text, key):
+    import re
+
+    clean = lambda x: "\n".join(w for w in (" ".join(y.split()) for y in x.split("\n")) if w)
+    t, between = clean(text), "[^0-9a-z]*"
+    rests = [clean(t[m.end() :]) for m in re.finditer(between.join(key), t)]
+    rests = [x for x in rests if len(x) >= 10]
+    bare, lines = (lambda x: re.sub("[^0-9a-z]", "", x)), t.split("\n")
+    titled = [clean("\n".join(lines[i + 1 :])) for i, x in enumerate(lines) if len(bare(x)) >= 8 and (key in bare(x) or bare(x) in key)]
+    return ([*rests[-1:], *[x for x in titled if len(x) >= 10][:1], t])[0]
+
+
+def test_source_without_name(spark, tmp_path):
+    from loomwright.plans.releases import bodies_without_header
+
+    spark.createDataFrame([(1, "head\na title of words\nthe body that follows", None)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert bodies_without_header(spark, str(tmp_path)).first()["n"] == len("the body that follows")
+
+
 def test_null_and_empty_bodies(spark):
     for f in (B.without_title, B.without_header):
         assert one(spark, None, f(F.col("t"), F.lit("a title of words"))) == "" and one(spark, "body", f(F.col("t"), F.lit(None).cast("string"))) == "body"

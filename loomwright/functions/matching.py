@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import once
+
 NEAR_DAYS = 4
 NEAR_MIN_SCORE = 0.22
 NEAR_TRUST_SCORE = 0.6
@@ -27,9 +29,18 @@ def tokens(text: Column, suffixes: Sequence[str] = (), stop_words: Sequence[str]
 
 
 def similarity(release: Column, article: Column) -> Column:
-    """The share of the release's tokens that contain, or are contained in, a token of the article."""
-    hit = F.filter(release, lambda t: F.exists(article, lambda o: F.contains(o, t) | F.contains(t, o)))
-    return F.when((F.size(release) > 0) & (F.size(article) > 0), F.size(hit) / F.size(release)).otherwise(F.lit(0.0))
+    """The share of the release's tokens that contain, or are contained in, a token of the article.
+
+    Both are computed once for a row. A token that is contained in another is found in the text of all of them (tokens have
+    no blanks), so that only those that lie in the other side's tokens are looked for one by one."""
+    within = lambda some, others: once(F.array_join(others, " "), lambda text: F.filter(some, lambda t: F.contains(text, t)))
+
+    def share(r: Column, a: Column) -> Column:
+        hit = lambda text, inner: F.filter(r, lambda t: F.contains(text, t) | F.exists(inner, lambda o: F.contains(t, o)))
+        hits = once(F.array_join(a, " "), lambda text: once(within(a, r), lambda inner: hit(text, inner)))
+        return F.when((F.size(r) > 0) & (F.size(a) > 0), F.size(hits) / F.size(r)).otherwise(F.lit(0.0))
+
+    return once(release, lambda r: once(article, lambda a: share(r, a)))
 
 
 def days_apart(a: Column, b: Column) -> Column:

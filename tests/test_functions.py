@@ -90,6 +90,28 @@ def test_fragments(spark):
     assert df.select(R.clean_fragment(F.col("f"))).first()[0] == "첫 줄 (12명), 끝"
 
 
+def test_similarity_of_long_lines(spark):
+    """Each line's tokens are made once, not once for each token of the title."""
+    import random
+
+    from loomwright.functions import bodies as B
+
+    dice = random.Random(5)
+    word = lambda: "".join(dice.choice("abcdefgh") for _ in range(dice.randint(2, 9)))
+    title, lines = [word() for _ in range(4000)], [[word() for _ in range(5000)] for _ in range(3)]
+    lines[1] += title[:2000]
+    df = spark.createDataFrame([(" ".join(title), "\n".join("# " + " ".join(x) for x in lines))], "t string, d string")
+    alike = df.select(M.similarity(M.tokens(F.col("t")), M.tokens(F.split("d", "\n")[2])).alias("s"))
+    assert alike._jdf.queryExecution().analyzed().toString().count("[^0-9A-Za-z") == 2
+    row = alike.first()
+    assert df.select(B.subtitle(F.col("d"), F.col("t"), "#").alias("x")).first()["x"] in [" ".join(x) for x in (lines[0], lines[2])]
+    own, others = set(title), " ".join(lines[2])
+    inner = {y for y in lines[2] if y in " ".join(own)}
+    assert row["s"] == sum(x in others or any(y in x for y in inner) for x in own) / len(own)
+    small = spark.createDataFrame([(["ab", "cdx", "q1"], ["xab", "cd", "zz"]), ([], ["ab"]), (["ab"], []), (None, ["ab"])], "r array<string>, a array<string>")
+    assert [r[0] for r in small.select(M.similarity(F.col("r"), F.col("a"))).collect()] == [2 / 3, 0.0, 0.0, 0.0]
+
+
 def test_repeated_points_equal_all_pairs(spark):
     import difflib
     import random

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import components
@@ -68,3 +70,43 @@ def containing(left: DataFrame, right: DataFrame) -> DataFrame:
     tested = pairs(long(left), "l").join(pairs(right, "r"), "p").unionByName(pairs(short(left), "l").join(pairs(long(right), "r"), "p"))
     tested = tested.select("l", "r").distinct().where(F.contains("l", F.col("r")) | F.contains("r", F.col("l")))
     return a.union(b).union(tested).distinct()
+
+
+#: Values are sorted within bands of this width; one band of one group has at most a hundred times as many values of two decimals.
+BAND = 50.0
+
+
+def nearest(left: DataFrame, right: DataFrame, score: Callable[[Column, Column], Column]) -> DataFrame:
+    """url, id, score: for each row of left (url, k, v) that of right (id, k, v) with its k and the best score, the smallest
+    id of equals; NaN is the greatest.
+
+    Values have two decimals at most, and a score never rises with their distance; it may be equal for values that are
+    0.01 apart, not for three in a row. So the best is the next value on either side or the one behind it. Next values come
+    from sorting distinct values within bands; what no band of its own has comes from the ends of the other bands."""
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    at = right.where("v is not null").groupBy("k", "v").agg(F.min("id").alias("id")).withColumn("v", F.col("v") + F.lit(0.0))
+    own = F.struct("v", "id")
+    cents = F.floor(F.least(F.greatest(F.col("v") * 100 + 0.5, F.lit(-1e17)), F.lit(1e17)))
+    steps = at.where(finite(F.col("v"))).withColumn("x", own)
+    # each value with its neighbours 0.01 away: what can be its equal by score
+    around = steps.select("k", "x", F.explode(F.array(cents - 1, cents, cents + 1)).alias("cents")).groupBy("k", "cents").agg(F.collect_set("x").alias("xs"))
+    known = steps.withColumn("cents", cents).join(around, ["k", "cents"]).select("k", "v", "xs")
+    asked = left.where("v is not null").select("k", "v").distinct().where(finite(F.col("v")))
+    points = known.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)), allowMissingColumns=True).withColumn("band", F.floor(F.col("v") / BAND))
+    ends = points.where(~F.col("asks")).groupBy("k", "band").agg(F.min_by("xs", "v").alias("first"), F.max_by("xs", "v").alias("last"))
+    bands = points.select("k", "band").distinct().join(ends, ["k", "band"], "left")
+    order = Window.partitionBy("k").orderBy("band")
+    bands = bands.select("k", "band", F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("lower"), F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("upper"))
+    # a value is its own lower neighbour: releases come first
+    inside = Window.partitionBy("k", "band").orderBy("v", "asks")
+    beside = points.select("k", "v", "asks", "band", F.last("xs", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("below"), F.first("xs", True).over(inside.rowsBetween(0, Window.unboundedFollowing)).alias("above")).where("asks")
+    none = F.array().cast("array<struct<v:double,id:bigint>>")
+    met = beside.join(bands, ["k", "band"]).select("k", "v", F.concat(F.coalesce("below", "lower", none), F.coalesce("above", "upper", none)).alias("xs"))
+    rank = F.transform("xs", lambda x: F.struct(score(x["v"], F.col("v")).alias("score"), (-x["id"]).alias("first")))
+    best = met.select("k", "v", F.array_max(rank).alias("b"))
+    # values without end or number: a score of NaN is that of any with NaN, and of equal infinite ones
+    odd = at.groupBy("k").agg(F.min("id").alias("any"), F.min(F.when(F.isnan("v"), F.col("id"))).alias("nan"), *[F.min(F.when(F.col("v") == x, F.col("id"))).alias(n) for n, x in (("up", float("inf")), ("down", float("-inf")))])
+    special = F.when(F.isnan("v"), F.col("any")).otherwise(F.least("nan", F.when(F.col("v") == float("inf"), F.col("up")).when(F.col("v") == float("-inf"), F.col("down"))))
+    rows = left.where("v is not null").join(best, ["k", "v"], "left").join(odd, "k").withColumn("_s", special)
+    some = F.col("_s").isNotNull()
+    return rows.select("url", F.when(some, F.col("_s")).otherwise(-F.col("b.first")).alias("id"), F.when(some, float("nan")).otherwise(F.col("b.score")).alias("score")).where("id is not null")

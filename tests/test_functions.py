@@ -97,7 +97,7 @@ def test_similarity_of_long_lines(spark):
     from loomwright.functions import bodies as B
 
     dice = random.Random(5)
-    word = lambda: "".join(dice.choice("abcdefgh") for _ in range(dice.randint(2, 9)))
+    word = lambda: "".join(dice.choice("abcdefghijklmnopqrst") for _ in range(dice.randint(3, 9)))
     title, lines = [word() for _ in range(4000)], [[word() for _ in range(5000)] for _ in range(3)]
     lines[1] += title[:2000]
     df = spark.createDataFrame([(" ".join(title), "\n".join("# " + " ".join(x) for x in lines))], "t string, d string")

@@ -71,3 +71,53 @@ def test_assignment_over_hot_tokens_and_two_words(spark, monkeypatch):
     assert found(2) == want and found(0) == want | {"one": "r1"}
     monkeypatch.setattr(P, "HOT_TOKEN", 7)
     assert found(2) == want
+
+
+def test_nearest_equals_all_pairs(spark):
+    import math
+    import random
+
+    from pyspark.sql import functions as F
+
+    dice = random.Random(3)
+    value = lambda: dice.choice([round(dice.uniform(-1000, 10000), 2), round(dice.uniform(0, 3), 2), -0.0])
+    odd = [math.nan, math.inf, -math.inf, None, 1e25, -1e25]
+    left = [(i, dice.randint(0, 5), value()) for i in range(500)] + [(600 + i, k, v) for i, v in enumerate(odd) for k in (0, 6, 7)]
+    left = [(i * 10 + n, k, v) for n, (i, k, v) in enumerate(left)]
+    right = [(i, dice.randint(0, 3), value()) for i in range(200)] + [(300, 6, 5.0), (301, 6, 5.0), (302, 7, math.nan), (303, 7, math.inf), (304, 7, None), (305, 4, 77.0), (306, 7, -1e25)]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, k int, v double")
+    score = lambda a, b: F.round(1 - F.abs(a - b) / 11000, 6)
+    met = frame(left, "url").alias("l").join(frame(right, "id").alias("r"), "k").select("url", "id", score(F.col("r.v"), F.col("l.v")).alias("score")).where("score >= 0.6")
+    want = met.groupBy("url").agg(F.max(F.struct("score", (-F.col("id")).alias("first"))).alias("b")).select("url", -F.col("b.first"), "b.score")
+    found = overlap.nearest(frame(left, "url"), frame(right, "id"), score).where("score >= 0.6")
+    assert sorted(map(repr, found.collect())) == sorted(repr(r.__class__(url=r[0], id=r[1], score=r[2])) for r in want.collect())
+    assert found.count() > 400
+
+
+def test_best_match_makes_no_pairs_of_an_office(spark, tmp_path):
+    """All customers of a nation used to meet all of its suppliers: 40,000,000 pairs here."""
+    from pyspark.sql import functions as F
+
+    from loomwright.plans.coverage import best_match_threshold
+
+    for name, n, p in (("customer", 20_000, "c"), ("supplier", 2_000, "s")):
+        balance = F.round(F.pmod(F.hash("id"), F.lit(1_000_000)) / 100, 2)
+        spark.range(n).select(F.col("id").alias(f"{p}_{'cust' if p == 'c' else 'supp'}key"), F.lit(1).alias(f"{p}_nationkey"), balance.alias(f"{p}_acctbal")).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = best_match_threshold(spark, str(tmp_path))
+    assert found.count() == 20_000
+    made = []
+
+    def look(plan):
+        m = plan.metrics().get("numOutputRows")
+        if m.isDefined():
+            made.append(m.get().value())
+        for i in range(plan.children().size()):
+            look(plan.children().apply(i))
+        if "AdaptiveSparkPlan" in plan.nodeName():
+            look(plan.executedPlan())
+        if "QueryStage" in plan.nodeName():
+            look(plan.plan())
+
+    found.collect()
+    look(found._jdf.queryExecution().executedPlan())
+    assert made and max(made) <= 40_000

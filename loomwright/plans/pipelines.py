@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from ..functions.dates import any_date
 from ..functions.titles import first_title, other_office
 from ..operators import contracts as C
 from ..operators import overlap, tables
+from ..operators.lineage import checkpointing
 from ..sources import nodes
 
 
@@ -77,37 +79,35 @@ def selected(items: DataFrame, drop: Sequence[tuple[str, Column]], rules: dict[s
 HOT_TOKEN = 50_000
 
 
-def _candidates(r: DataFrame, a: DataFrame, before: int, after: int, least_hits: int) -> DataFrame:
-    """newsId, url of all pairs that can be the same case: they share a date band, where both have a date, and one of the
-    release's rarest tokens.
-
-    A score that is good enough needs so many of a release's tokens to be met; of all but so many less one, then, one at
-    least is. Which of the articles' tokens contain a token, or are contained in it, is found among the distinct tokens."""
-    of_articles = a.select("url", "ad", F.explode("at").alias("r"))
-    often = of_articles.groupBy("r").agg(F.count("*").alias("often"))
-    of_releases = r.select("newsId", "rd", F.size("rt").alias("n"), F.explode("rt").alias("l"))
-    links = overlap.containing(of_releases.select(F.col("l").alias("t")).distinct(), often.select(F.col("r").alias("t"))).join(often, "r")
+def _meeting(r: DataFrame, a: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """newsId, seq, rd, n and ls, a release's tokens by how many articles have a token that contains them or is contained in
+    them, fewest first; and l, r, often of such tokens, found among the distinct ones."""
+    often = a.select(F.explode("at").alias("r")).groupBy("r").agg(F.count("*").alias("often"))
+    of_releases = r.select("newsId", "seq", "rd", F.size("rt").alias("n"), F.explode("rt").alias("l"))
+    links = overlap.containing(of_releases.select(F.col("l").alias("t")).distinct(), often.select(F.col("r").alias("t"))).join(often, "r").checkpoint()
     met = links.groupBy("l").agg(F.sum("often").alias("met"))
-    ranked = of_releases.join(met, "l", "left").groupBy("newsId", "rd", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("met", F.lit(0)).alias("met"), "l"))).alias("ls"))
-    salts = F.ceil(F.col("often") / HOT_TOKEN).cast("int")
-    dealt = lambda x: F.pmod(F.xxhash64("url"), F.greatest(F.coalesce(x, F.lit(1)), F.lit(1))).cast("int")
-    hot = often.where(F.col("often") > HOT_TOKEN).select("r", salts.alias("salts"))
-    week = lambda d: F.floor(F.unix_date(d) / 7)
-    rows = of_articles.join(hot, "r", "left").select("url", "ad", "r", dealt(F.col("salts")).alias("salt"), week(F.col("ad")).alias("week"))
+    ranked = of_releases.join(met, "l", "left").groupBy("newsId", "seq", "rd", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("met", F.lit(0)).alias("met"), "l"))).alias("ls"))
+    return ranked.checkpoint(), links
 
-    def keyed(least: Column) -> DataFrame:
-        rare = ranked.select("newsId", "rd", F.explode(F.slice("ls", 1, F.col("n") - least + 1)).alias("x")).select("newsId", "rd", "x.l")
-        return rare.join(links, "l").select("newsId", "rd", "r", "often").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
 
-    def banded(keys: DataFrame, first: int, last: int) -> DataFrame:
-        days = keys.where("rd is not null").withColumn("week", F.explode(F.sequence(week(F.date_sub("rd", first)), week(F.date_add("rd", last)))))
-        return days.join(rows.where("ad is not null"), ["week", "r", "salt"]).where(F.col("ad").between(F.date_sub("rd", first), F.date_add("rd", last)))
+def _candidates(ranked: DataFrame, links: DataFrame, a: DataFrame, least: Column, days: tuple[int, int] | None) -> DataFrame:
+    """newsId, url (perhaps repeated) of all pairs of which `least` of the release's n tokens can be met, and whose dates lie in a band (days
+    before, days after); without one, of pairs that lack a date.
 
-    far = keyed(overlap.needed(F.col("n"), M.STRONG_MATCH_SCORE))
-    near = keyed(overlap.needed(F.col("n"), M.NEAR_MIN_SCORE, least_hits, M.NEAR_TRUST_SCORE))
-    dateless = far.join(rows, ["r", "salt"]).where("ad is null or rd is null")
-    found = (banded(near, min(before, M.NEAR_DAYS), min(after, M.NEAR_DAYS)), banded(far, before, after), dateless)
-    return found[0].select("newsId", "url").union(found[1].select("newsId", "url")).union(found[2].select("newsId", "url")).distinct()
+    Of all but so many of a release's tokens less one, one at least is met then: its rarest ones are looked for."""
+    salts = F.ceil(F.col("often") / HOT_TOKEN).cast("int")
+    rare = ranked.select("newsId", "rd", F.explode(F.slice("ls", 1, F.col("n") - least + 1)).alias("x")).select("newsId", "rd", "x.l")
+    keys = rare.join(links, "l").select("newsId", "rd", "r", "often").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    hot = links.where(F.col("often") > HOT_TOKEN).select("r", salts.alias("salts")).distinct()
+    dealt = F.pmod(F.xxhash64("url"), F.greatest(F.coalesce("salts", F.lit(1)), F.lit(1))).cast("int")
+    rows = a.select("url", "ad", F.explode("at").alias("r")).join(hot, "r", "left").select("url", "ad", "r", dealt.alias("salt"))
+    if days is None:
+        dated, undated = rows.where("ad is not null"), rows.where("ad is null")
+        found = keys.join(undated, ["r", "salt"]).select("newsId", "url").union(keys.where("rd is null").join(dated, ["r", "salt"]).select("newsId", "url"))
+    else:
+        on = keys.where("rd is not null").withColumn("ad", F.explode(F.sequence(F.date_sub("rd", days[0]), F.date_add("rd", days[1]))))
+        found = on.join(rows.where("ad is not null"), ["ad", "r", "salt"]).select("newsId", "url")
+    return found
 
 
 def assigned(releases: DataFrame, articles: DataFrame, region: Sequence[str] = (), other: Sequence[str] = (), before: int = 4, after: int = 14, suffixes: Sequence[str] = (), stop_words: Sequence[str] = (), least_hits: int = 0) -> DataFrame:
@@ -115,19 +115,51 @@ def assigned(releases: DataFrame, articles: DataFrame, region: Sequence[str] = (
 
     releases: newsId, seq, title, date; articles: url, title, publisher, publishedAt (a date or null), seq (the order in
     which they were seen: the first row of an address counts). least_hits: so many tokens must be met where a score is
-    not trusted by itself. Pairs meet by their dates and a rare token, see _candidates()."""
-    r = releases.select("newsId", "seq", F.to_date("date").alias("rd"), M.tokens(F.col("title"), suffixes, stop_words).alias("rt"))
+    not trusted by itself.
+
+    Better pairs are looked for first: those whose release is met whole, on the article's day, then near it, then within
+    the band or without a date (the first releases first); then lower scores, step by step. An article that has found one
+    goes, as all pairs that are left for it are worse; so the many weak pairs are made for the few that need them."""
+    checkpointing(releases.sparkSession)
+    r = releases.select("newsId", "seq", F.to_date("date").alias("rd"), M.tokens(F.col("title"), suffixes, stop_words).alias("rt")).checkpoint()
     a = articles.groupBy("url").agg(F.min_by(F.struct("title", "publisher", "publishedAt"), "seq").alias("x")).select("url", "x.*")
-    a = a.select("url", "title", "publisher", F.to_date("publishedAt").alias("ad"), M.tokens(F.col("title"), suffixes, stop_words).alias("at"))
-    met = _candidates(r, a, before, after, least_hits).join(r, "newsId").join(a, "url").where(M.within_days(F.col("ad"), F.col("rd"), before, after))
-    met = met.withColumn("score", M.similarity(F.col("rt"), F.col("at"))).withColumn("gap", M.days_apart(F.col("ad"), F.col("rd")))
-    met = met.where(~(T.any_phrase(F.col("title"), other) & ~T.any_phrase(F.col("title"), region)))  # another region is the subject of the title
-    here = T.any_phrase(F.concat_ws(" ", "title", "publisher"), region)
-    hits = F.round(F.col("score") * F.size("rt"))
-    same = M.same_case(F.col("score"), F.col("gap"), here, F.lit(False), other_office(F.col("title"), region), least_hits, hits)
-    rank = F.struct("score", (-F.coalesce("gap", F.lit(M.NO_GAP))).alias("near"), (-F.col("seq")).alias("first"))
-    best = met.where(same).groupBy("url").agg(F.max_by(F.struct("newsId", "score", "gap"), rank).alias("b"))
-    return best.select("b.newsId", "url", "b.score", "b.gap")
+    a = a.where(~(T.any_phrase(F.col("title"), other) & ~T.any_phrase(F.col("title"), region)))  # another region is the subject of the title
+    here = F.coalesce(T.any_phrase(F.concat_ws(" ", "title", "publisher"), region), F.lit(False))
+    a = a.select("url", F.to_date("publishedAt").alias("ad"), M.tokens(F.col("title"), suffixes, stop_words).alias("at"), here.alias("here"), F.coalesce(other_office(F.col("title"), region), F.lit(False)).alias("office"))
+    left = a.where(~F.col("office") & (F.size("at") > 0)).drop("office").checkpoint()
+    ranked, links = _meeting(r, left)
+    n = F.col("n")
+
+    def best(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        met = pairs.join(r, "newsId").join(rows, "url").withColumn("score", M.similarity(F.col("rt"), F.col("at"))).withColumn("gap", M.days_apart(F.col("ad"), F.col("rd")))
+        same = M.same_case(F.col("score"), F.col("gap"), F.col("here"), F.lit(False), F.lit(False), least_hits, F.round(F.col("score") * F.size("rt")))
+        rank = F.struct("score", (-F.coalesce("gap", F.lit(M.NO_GAP))).alias("near"), (-F.col("seq")).alias("first"))
+        return met.where(same).groupBy("url").agg(F.max_by(F.struct("newsId", "score", "gap"), rank).alias("b"))
+
+    early = ranked.select(F.percentile_approx("seq", 0.02).alias("s")).first()["s"]
+    first = ranked.where(F.col("seq") <= F.lit(early))
+    whole, strong, trusted = (overlap.needed(n, x) for x in (1.0, M.STRONG_MATCH_SCORE, M.NEAR_TRUST_SCORE))
+    weak = overlap.needed(n, M.NEAR_MIN_SCORE, least_hits, M.NEAR_TRUST_SCORE)
+    dated, undated, named = F.col("ad").isNotNull(), F.col("ad").isNull(), F.col("here")
+    near = (min(before, M.NEAR_DAYS), min(after, M.NEAR_DAYS))
+    close = lambda d: (min(before, d), min(after, d))
+    # releases, tokens needed, bands, the articles that take part, the score from which all pairs that could be better are seen
+    every, middle = ((before, after), None), 0.4
+    steps = (
+        (ranked, whole, (close(0),), dated, 1.0), (ranked, whole, (close(1),), dated, 1.0), (first, whole, (None,), undated, 1.0), (ranked, whole, every, F.lit(True), 1.0),
+        (ranked, strong, every, F.lit(True), M.STRONG_MATCH_SCORE), (ranked, trusted, (near,), dated, M.NEAR_TRUST_SCORE),
+        (ranked, overlap.needed(n, middle, least_hits, M.NEAR_TRUST_SCORE), (near,), dated & named, middle), (ranked, weak, (near,), dated & named, 0.0),
+    )
+    settled = []
+    for some, least, bands, who, enough in steps:
+        rows = left.where(who)
+        pairs = reduce(DataFrame.union, [_candidates(some, links, rows, least, days) for days in bands]).distinct()
+        found = best(pairs, rows).where(F.col("b.score") >= enough)
+        settled.append(found.checkpoint())
+        left = left.join(settled[-1].select("url"), "url", "left_anti").checkpoint()
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.union, settled).select("b.newsId", "url", "b.score", "b.gap")
 
 
 def covered(releases: DataFrame, matches: DataFrame, articles: DataFrame, most: int = 30) -> DataFrame:

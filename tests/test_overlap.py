@@ -121,3 +121,47 @@ def test_best_match_makes_no_pairs_of_an_office(spark, tmp_path):
     found.collect()
     look(found._jdf.queryExecution().executedPlan())
     assert made and max(made) <= 40_000
+
+
+def test_assigned_equals_all_pairs_and_makes_few(spark, monkeypatch):
+    import datetime
+    import random
+
+    from loomwright.plans import pipelines as P
+
+    dice = random.Random(9)
+    words = ["ab", "abc", "bcd", "xabcx", "klm", "nop", "opq", "rstu", "vwx", "yzz"]
+    day = lambda: dice.choice([None, *[datetime.date(2026, 1, 1) + datetime.timedelta(dice.randint(0, 25)) for _ in range(12)]])
+    title = lambda most: " ".join(dice.choice(words) for _ in range(dice.randint(0, most)))
+    rel = [(i, dice.randint(0, 40), title(6), day()) for i in range(60)]
+    rel = [(i, s * 100 + i, t, d) for i, s, t, d in rel]
+    art = [(i, i, dice.choice(["", "here ", "there "]) + title(5), dice.choice([None, "here", "p"]), day()) for i in range(120)]
+    releases = spark.createDataFrame(rel, "newsId long, seq long, title string, date date")
+    articles = spark.createDataFrame(art, "url long, seq long, title string, publisher string, publishedAt date")
+    want = {}
+    for url, _, t, p, ad in art:
+        here, at = "here" in f"{t} {p or ''}".replace("there", "-here") or "here" in t, set(t.split())
+        for news, seq, rt, rd in rel:
+            r = set(rt.split())
+            if ad and rd and not -4 <= (ad - rd).days <= 14 or not r or not at:
+                continue
+            hits = sum(any(x in y or y in x for y in at) for x in r)
+            score, gap = hits / len(r), abs((ad - rd).days) if ad and rd else None
+            same = score >= 0.22 and (score >= 0.6 or hits >= 2 and here) if gap is not None and gap <= 4 else score >= 0.7
+            if same:
+                want[url] = max(want.get(url, (-1,)), (score, -(99 if gap is None else gap), -seq, news))
+    got = {r["url"]: (r["newsId"], r["score"], r["gap"]) for r in P.assigned(releases, articles, region=("here",), least_hits=2).collect()}
+    assert got == {u: (x[3], x[0], None if x[1] == -99 else -x[1]) for u, x in want.items()} and len(got) > 60
+
+    made = []
+    whole = P._candidates
+
+    def counted(*args):
+        found = whole(*args)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(P, "_candidates", counted)
+    same = lambda n, name, at: spark.range(n).select(F.col("id").alias(name), F.col("id").alias("seq"), F.lit("klm nop").alias("title"), F.lit("p").alias("publisher"), F.date_add(F.lit("2026-01-01").cast("date"), (F.col("id") % 20).cast("int")).alias(at))
+    assert P.assigned(same(200, "newsId", "date"), same(200, "url", "publishedAt")).count() == 200
+    assert sum(made) <= 200 * 10 * 2  # those of an article's day; all of its band were four times as many at least

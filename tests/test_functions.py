@@ -126,3 +126,40 @@ def test_repeated_points_equal_all_pairs(spark):
     want = {(g, i, j) for g, i, a in rows for h, j, b in rows if g == h and i < j and difflib.SequenceMatcher(None, clean(a), clean(b)).ratio() >= RATIO}
     got = {tuple(r) for r in repeated_points(spark.createDataFrame(rows, "g int, i int, t string"), "g", "i", "t").collect()}
     assert got == want and len(want) > 10
+
+
+def test_repeated_points_of_small_and_large_groups(spark):
+    import difflib
+    import random
+
+    from loomwright.operators.points import FEW, RATIO, repeated_points
+
+    dice = random.Random(2)
+    base = ["".join(dice.choice("abcdefghij ") for _ in range(n)).strip() + "." for n in (20, 24, 40, 120)]
+
+    def near(t):
+        t = list(t)
+        for _ in range(dice.randint(0, len(t) // 5)):
+            t[dice.randrange(len(t))] = dice.choice("abcxyz")
+        return "".join(t)
+
+    rows = [(g, i, near(dice.choice(base))) for g in range(40) for i in range(2 * FEW if g == 0 else 4)]
+    rows = [(g, i, " ".join(t.split())) for g, i, t in rows]
+    by = {g: [r for r in rows if r[0] == g] for g in range(40)}
+    want = {(g, a[1], b[1]) for g, own in by.items() for k, a in enumerate(own) for b in own[k + 1 :] if difflib.SequenceMatcher(None, a[2], b[2]).ratio() >= RATIO}
+    got = [tuple(r) for r in repeated_points(spark.createDataFrame(rows, "g int, i int, t string"), "g", "i", "t").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len({g for g, _, _ in want}) > 10
+
+    long = [(g, i, f"{g} {i} " + "".join(dice.choice("abcdefghij") for _ in range(500))) for g in range(100) for i in range(2)]
+    made, found = [], repeated_points(spark.createDataFrame(long, "g int, i int, t string"), "g", "i", "t")
+    found.collect()
+
+    def look(plan):
+        m = plan.metrics().get("numOutputRows")
+        made.append(m.get().value() if m.isDefined() else 0)
+        inner = plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan.plan() if "QueryStage" in plan.nodeName() else None
+        for x in [inner] if inner is not None else [plan.children().apply(i) for i in range(plan.children().size())]:
+            look(x)
+
+    look(found._jdf.queryExecution().executedPlan())
+    assert 0 < max(made) < 5_000  # not a row for each of 100,000 characters

@@ -56,14 +56,20 @@ def repeated_points(points: DataFrame, group: str, index: str, text: str = "text
     # blank texts are equal to each other: an empty pair has the ratio 1
     blank = rows.where("t = ''").groupBy("g").agg(F.array_sort(F.collect_list("i")).alias("all")).where(F.size("all") > 1)
     empty = blank.select("g", F.explode(F.flatten(F.transform("all", lambda a, k: F.transform(F.slice("all", k + 2, F.size("all")), lambda b: F.struct(a.alias("left"), b.alias("right")))))).alias("p")).select("g", "p.left", "p.right")
-    found = both.where(_ratio(F.col("left_text"), F.col("right_text")) >= ratio).select("g", "left", "right").unionByName(empty)
+    found = both.where(_ratio(F.col("left_text"), F.col("right_text"), ratio) >= ratio).select("g", "left", "right").unionByName(empty)
     return found.select(F.col("g").alias(group), "left", "right")
 
 
-def _ratio(a: Column, b: Column) -> Column:
+def _ratio(a: Column, b: Column, least: float) -> Column:
+    """The ratio of two texts; 0 if the characters that they have in common already rule out `least`."""
+
+    def of(x: str, y: str) -> float:
+        m = difflib.SequenceMatcher(None, x, y)
+        return m.ratio() if m.quick_ratio() >= least else 0.0
+
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
+        return pd.Series([of(x, y) for x, y in zip(a, b)], dtype=float)
 
     return run(a, b)
 

@@ -25,10 +25,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomwright/{spark.sparkContext.applicationId}/{name}-{next(_serial)}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes to the shared folder and reads it back, so that a lost executor costs no recomputation."""
+def stored(df: DataFrame, name: str, most: int = 0) -> DataFrame:
+    """Cuts the lineage: writes to the shared folder and reads it back, so that a lost executor costs no recomputation.
+    A file has `most` rows at most, if that is not 0."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", most).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -9,31 +9,33 @@ A context is the two leaves before a token. Its features are hashed: the leaf be
 and both (n-gram). Each feature has a row of scores for the classes and, hashed together with a class, a row for the
 leaves in it, so that a context reads a few rows whatever the number of words.
 
-All training texts are counted: words exactly, and what followed each context in sorted pieces where the texts lie, of a
-size that grows with the corpus. The softmaxes start at a model of the leaf before, in closed form, and are trained by
-distributed gradient updates: each task sums what its contexts expect, Spark sums these vectors (of fixed size) in
-blocks. Scoring takes the distinct contexts of a batch once each.
-
-Words meet their corpus counts per chunk of documents, so that a frequent word is one row for each chunk and no
-vocabulary is ever in one place. Defined results: a null text is one end token; repeated and null ids are rows like any
-other, each scored; columns other than id and text are left out; with nothing to learn from, every token is unknown and
-the leaves are equally likely; an empty table gives an empty one. Only rows equal in id and text always share a chunk.
+Texts are split into tokens once, where they lie: a chunk of documents keeps its distinct words and its texts as numbers
+of these, and all later steps work on the numbers. All training texts are counted: words exactly, and what followed each
+context in pieces, which meet by a hash of the context, so that each context of the corpus is trained once a round however
+often it occurs. The softmaxes start at a model of the leaf before, in closed form, and are trained by distributed gradient
+updates: each task sums what its contexts expect, Spark sums these vectors (of fixed size) in blocks. Scoring takes the
+distinct contexts of a chunk once each.
+
+Words meet their corpus counts per chunk, so that a frequent word is one row for each chunk and no vocabulary is ever in
+one place. Defined results: a null text is one end token; repeated and null ids are rows like any other, each scored;
+columns other than id and text are left out; with nothing to learn from, every token is unknown and the leaves are equally
+likely; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, held_out, in_arrow, released, stored, texts_of
+from .common import dropped, held_out, in_arrow, released, slices, stored, texts_of
 
 CLASSES, WITHIN = 32, 64
 LEAVES = CLASSES * WITHIN
@@ -50,8 +52,10 @@ RATE = 0.6
 #: Counts that a weight is held back by.
 HOLD = 3.0
 DISCOUNT = 0.75
-CHUNK_BYTES = 4_000_000
-PIECE_TOKENS = 3_000_000
+CHUNK_BYTES = 6_000_000
+#: Rows of packed numbers in a file: a reader may hold all of them.
+PACKED_A_FILE = 12
+PIECE_TOKENS = 2_000_000
 BATCH_ROWS = 200_000
 CONTEXTS = 8_000
 BLOCK = 8192
@@ -63,21 +67,64 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def _chunk_words(table: pa.Table) -> pa.Table:
-    total: Counter[bytes] = Counter()
-    train: Counter[bytes] = Counter()
-    ends = 0
-    for held, text in zip(table.column("held_out").to_pylist(), texts_of(table.column("text"))):
-        if held:
-            total.update(words(text))
-        else:
-            train.update(words(text))
-            ends += 1
-    total.update(train.keys())
-    names = list(total)
-    n = [train[w] for w in names]
-    chunk = table.column("chunk")[0].as_py()
-    return pa.table({"chunk": pa.array([chunk] * (len(names) + 1), pa.int32()), "word": pa.array([*names, b""], pa.binary()).cast(pa.string()), "n": pa.array([*n, ends], pa.int64())})
+def packed(x: np.ndarray) -> bytes:
+    """Non-negative integers: first all their lowest bytes, then all the next, which compress well, as far as any is not 0."""
+    planes = np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).T
+    return planes[: max(1, -(-int(x.max(initial=0)).bit_length() // 8))].tobytes()
+
+
+def unpacked(b: bytes, size: int) -> np.ndarray:
+    out = np.zeros((size, 8), np.uint8)
+    planes = np.frombuffer(b, np.uint8).reshape(-1, size)
+    out[:, : len(planes)] = planes.T
+    return out.view(np.int64).ravel()
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """doc_ids, held_out, n_tokens, ids, words, of doc_id, held_out, text: a row for about CHUNK_BYTES of texts. The ids are
+    numbers of words, each text's with its end; each word has its count in training texts."""
+
+    def chunk(rows: list[pa.RecordBatch], found: list[np.ndarray], names: list[bytes]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(rows).combine_chunks()
+        held = whole.column("held_out").to_numpy()
+        lengths = np.array([len(x) for x in found], np.int32)
+        ids = np.concatenate(found)
+        often = np.argsort(-np.bincount(ids, minlength=len(names)), kind="stable")
+        number = np.empty(len(names), np.int32)
+        number[often] = np.arange(len(names), dtype=np.int32)
+        ids = number[ids]
+        n = np.bincount(ids[~np.repeat(held, lengths)], minlength=len(names))
+        spelt = pa.array([names[i] for i in often.tolist()], pa.binary()).cast(pa.string())
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        columns = [one(whole.column("doc_id").combine_chunks()), one(pa.array(held)), one(pa.array(lengths)), pa.array([packed(ids)], pa.binary()), one(pa.StructArray.from_arrays([spelt, pa.array(n, pa.int64())], ["word", "n"]))]
+        return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns], ["doc_ids", "held_out", "n_tokens", "ids", "words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def fresh() -> tuple[list[pa.RecordBatch], list[np.ndarray], defaultdict[bytes, int], int]:
+            index: defaultdict[bytes, int] = defaultdict()
+            index.default_factory = index.__len__  # a new word has the next number
+            index[b""] = 0  # the end
+            return [], [], index, 0
+
+        rows, found, index, size = fresh()
+        for batch in batches:
+            sizes = 50 + np.asarray(pc.binary_length(batch.column("text"))).astype(np.int64)
+            for a, b in slices(sizes, CHUNK_BYTES // 8):
+                part = batch.slice(a, b - a)
+                rows.append(part.select(["doc_id", "held_out"]).take(pa.array(range(b - a))))  # a copy: a slice would keep the texts
+                for t in texts_of(part.column("text")):
+                    ws = words(t)
+                    ws.append(b"")
+                    found.append(np.fromiter(map(index.__getitem__, ws), np.int32, len(ws)))
+                size += int(sizes[a:b].sum())
+                if size >= CHUNK_BYTES:
+                    yield chunk(rows, found, list(index))
+                    rows, found, index, size = fresh()
+        if rows:
+            yield chunk(rows, found, list(index))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return in_arrow(docs, run, f"doc_ids array<{kind}>, held_out array<boolean>, n_tokens array<int>, ids binary, words array<struct<word: string, n: bigint>>")
 
 
 def leaf_of(word: bytes, own: dict[bytes, int]) -> int:
@@ -226,43 +273,74 @@ def log10s(model: Model, context: np.ndarray, leaf: np.ndarray) -> np.ndarray:
     return out / np.log(10)
 
 
-def contexts(leaves: np.ndarray) -> np.ndarray:
-    """Of each token but the first two, which stand before a text: leaf before * LEAVES + leaf before that."""
-    return leaves[1:-1] * LEAVES + leaves[:-2]
+def contexts(leaves: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each token: leaf before * LEAVES + leaf before that. Leaf 0, an end, stands twice before a text."""
+    out = np.zeros(len(leaves), np.int64)
+    out[1:] = leaves[:-1] * LEAVES
+    out[2:] += leaves[:-2]
+    out[first] = 0
+    return out
 
 
-def followers(docs: DataFrame, own: dict[bytes, int]) -> DataFrame:
-    """context, leaf, n: sorted pieces, counted where the texts lie. One column: the text."""
+def _leaves_of(names: list[str], own: dict[bytes, int]) -> np.ndarray:
+    return np.fromiter((leaf_of(w.encode(), own) for w in names), np.int64, len(names))
 
-    def piece(keys: list[np.ndarray]) -> pa.RecordBatch:
-        key = np.sort(np.concatenate(keys))
+
+def _counted(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of n."""
+    if n is None:
+        key = np.sort(key)
         at = _starts(key)
-        n = np.diff(np.append(at, len(key)))
-        key = key[at]
-        return pa.RecordBatch.from_arrays([pa.array((key // LEAVES).astype(np.int32)), pa.array((key % LEAVES).astype(np.int32)), pa.array(n.astype(np.int32))], ["context", "leaf", "n"])
+        return key[at], np.diff(np.append(at, len(key)))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = _starts(key)
+    return key[at], np.add.reduceat(n[order], at) if len(at) else n
+
+
+def followers(chunks: DataFrame, own: dict[bytes, int], tokens: int) -> DataFrame:
+    """What followed each context in training texts: rows of `size` packed contexts, leaves, n, sorted; each pair of context
+    and leaf once. Counted in pieces where the chunks lie, which then meet by a hash of the context."""
+    blocks = max(1, -(-tokens // PIECE_TOKENS))
+    schema = "size int, context binary, leaf binary, n binary"
+
+    def rows(key: np.ndarray, n: np.ndarray, edges: np.ndarray) -> dict[str, pa.Array]:
+        columns = {c: pa.array([packed(x[a:b]) for a, b in zip(edges, edges[1:])], pa.binary()) for c, x in (("context", key // LEAVES), ("leaf", key % LEAVES), ("n", n))}
+        return {"size": pa.array(np.diff(edges), pa.int32())} | columns
+
+    def piece(keys: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = _counted(np.concatenate(keys))
+        block = _hash(key // LEAVES, 1 << 53, blocks)
+        order = np.argsort(block, kind="stable")
+        block = block[order]
+        edges = np.append(_starts(block), len(block))
+        return pa.RecordBatch.from_pydict({"block": pa.array(block[edges[:-1]], pa.int32())} | rows(key[order], n[order], edges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
         keys: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                found = words(t)
-                if len(memo) > 300_000:
-                    memo.clear()
-                leaves = np.fromiter(map(memo.get, found, repeat(-1)), np.int64, len(found))
-                for i in np.flatnonzero(leaves < 0).tolist():
-                    leaves[i] = memo[found[i]] = leaf_of(found[i], own)
-                leaves = np.concatenate([[0, 0], leaves, [0]])
-                keys.append(contexts(leaves) * LEAVES + leaves[2:])
-                size += len(found) + 1
-                if size > PIECE_TOKENS:
+            for i in range(batch.num_rows):
+                held, lengths = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("held_out", "n_tokens"))
+                leaves = _leaves_of(batch.column("words")[i].values.to_pylist(), own)[unpacked(batch.column("ids")[i].as_py(), int(lengths.sum()))]
+                keys.append((contexts(leaves, np.cumsum(lengths) - lengths) * LEAVES + leaves)[~np.repeat(held, lengths)])
+                size += len(keys[-1])
+                if size >= PIECE_TOKENS:
                     yield piece(keys)
                     keys, size = [], 0
-        if keys:
+        if size:
             yield piece(keys)
 
-    return in_arrow(docs, run, "context int, leaf int, n int")
+    def merged(found: pa.Table) -> pa.Table:
+        pairs = zip(*(found.column(c).to_pylist() for c in ("size", "context", "leaf", "n")))
+        keys, ns = zip(*((unpacked(context, size) * LEAVES + unpacked(leaf, size), unpacked(n, size)) for size, context, leaf, n in pairs))
+        key, n = _counted(np.concatenate(keys), np.concatenate(ns))
+        out = pa.table(rows(key, n, np.append(np.arange(0, len(key), BATCH_ROWS), len(key))))
+        released()
+        return out
+
+    parts = in_arrow(chunks.select("held_out", "n_tokens", "ids", F.col("words.word").alias("words")), run, f"block int, {schema}")
+    return parts.groupBy("block").applyInArrow(merged, schema)
 
 
 def _summed(table: DataFrame, add) -> Model:
@@ -270,20 +348,9 @@ def _summed(table: DataFrame, add) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into = Model.zero()
-        held: list[pa.RecordBatch] = []
-
-        def work() -> None:
-            whole = pa.Table.from_batches(held)
-            add(into, *(whole.column(c).to_numpy().astype(np.int64) for c in ("context", "leaf", "n")))
-            held.clear()
-
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-            if sum(b.num_rows for b in held) >= BATCH_ROWS:
-                work()
-        if held:
-            work()
+            for size, *row in zip(*(batch.column(c) for c in ("size", "context", "leaf", "n"))):
+                add(into, *(unpacked(x.as_py(), size.as_py()) for x in row))
         flat = into.flat().astype(np.float32)
         blocks = [flat[i : i + BLOCK] for i in range(0, len(flat), BLOCK)]
         some = [i for i, b in enumerate(blocks) if b.any()]
@@ -305,7 +372,7 @@ def _summed(table: DataFrame, add) -> Model:
 
 
 def trained(table: DataFrame) -> Model:
-    """The model of a table of context, leaf, n, each of whose pieces is sorted."""
+    """The model of a table of packed context, leaf, n, each of whose rows is sorted."""
     seen = _summed(table, observe)
     if not seen.top.any():
         return Model.zero(np.float32)
@@ -321,11 +388,13 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score; both scores in log10."""
     spark = docs.sparkSession
     src = docs.select(F.col(key).alias("doc_id"), held_out(key, 7).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    total = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count("*").alias("docs")).first()
-    chunks = max(1, -(-(total["n"] + 50 * total["docs"]) // CHUNK_BYTES))
-    src = src.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-    lists = stored(src.groupBy("chunk").applyInArrow(_chunk_words, "chunk int, word string, n bigint"), "words")
-    counts = stored(lists.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
+    chunks = stored(chunked(src).withColumn("chunk", F.monotonically_increasing_id()), "chunks", PACKED_A_FILE)
+    # a word's count meets its chunks in one shuffle: a word is one row of a chunk, and is written out in the first only
+    same = Window.partitionBy("word")
+    lists = chunks.select("chunk", F.posexplode("words").alias("pos", "of")).select("chunk", "pos", "of.word", "of.n")
+    met = lists.select("chunk", "pos", F.sum("n").over(same).alias("c"), F.when(F.min("chunk").over(same) == F.col("chunk"), F.col("word")).alias("word"))
+    met = stored(met, "words")
+    counts = met.where("word is not null and c > 0").select("word", "c")
     row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = row["n"], row["v"]
     frequent = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(OWN - 1).collect()
@@ -335,41 +404,37 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     tail = F.lit(OWN) + F.crc32(F.substring(F.col("word").cast("binary"), 1, 2)) % (LEAVES - OWN)
     for r in counts.join(known, "word", "left").groupBy(F.coalesce("own", tail.cast("int")).alias("leaf")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         sizes[:, r["leaf"]] = r["n"], r["v"]
-    table = stored(followers(src.where(~F.col("held_out")).select("text"), own), "followers")
+    table = stored(followers(chunks, own, n), "followers", PACKED_A_FILE)
     trained_model = trained(table)
     dropped(table)
     model = spark.sparkContext.broadcast((own, sizes, trained_model))  # bounded: the places of one model
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         own, sizes, model_ = model.value
-        names = right.column("word").cast(pa.binary()).to_pylist()
-        c = np.append(right.column("c").to_numpy(), 0)
-        leaf = np.array([leaf_of(w, own) for w in names] + [0], np.int64)
+        names = left.column("words")[0].values.to_pylist()
+        c = np.zeros(len(names), np.int64)
+        c[right.column("pos").to_numpy()] = right.column("c").to_numpy()
+        leaf = _leaves_of(names, own)
+        del names
         many, kinds = sizes[0][leaf], sizes[1][leaf]
         with np.errstate(divide="ignore", invalid="ignore"):
             inner = np.where(c > 0, np.log10((c - DISCOUNT) / many), np.where(many > 0, np.log10(DISCOUNT * kinds / many), 0.0))
         inner[leaf < len(own)] = 0.0  # a leaf of one word
         base = np.log10((c + 1) / (n + 1 * (v + 1)))
-        index = {w: i for i, w in enumerate(names)}
-        end = index.get(b"", len(names))
-        ats, befores = [], []
-        for t in texts_of(left.column("text")):
-            at = np.append(np.fromiter(map(index.__getitem__, words(t)), np.int64), end)
-            ats.append(at)
-            befores.append(contexts(np.concatenate([[0, 0], leaf[at]])))
-        size = len(ats)
-        lengths = np.array([len(a) for a in ats], np.int64)
-        at, first = np.concatenate([np.zeros(0, np.int64), *ats]), np.cumsum(lengths) - lengths
-        by_text = lambda x: np.add.reduceat(x, first) if size else x[:0]
-        s = inner[at] + (log10s(model_, np.concatenate(befores), leaf[at]) if size else 0.0)
+        lengths = left.column("n_tokens")[0].values.to_numpy()
+        at = unpacked(left.column("ids")[0].as_py(), int(lengths.sum()))
+        size = len(lengths)
+        first = np.cumsum(lengths) - lengths
+        by_text = lambda x: np.add.reduceat(x, first)
+        s = inner[at] + log10s(model_, contexts(leaf[at], first), leaf[at])
         out = pa.table({
-            "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(lengths, pa.int64()), "n_known": pa.array(by_text((c[at] > 0).astype(np.int64)), pa.int64()),
+            "doc_id": left.column("doc_ids")[0].values, "held_out": left.column("held_out")[0].values, "n_tokens": pa.array(lengths, pa.int64()), "n_known": pa.array(by_text((c[at] > 0).astype(np.int64)), pa.int64()),
             "train_tokens": pa.array([n] * size, pa.int64()), "base_score": pa.array(by_text(base[at]), pa.float64()), "score": pa.array(by_text(s), pa.float64()),
         })
         released()
         return out
 
-    met = lists.join(counts, "word", "left").select("chunk", "word", F.coalesce("c", F.lit(0)).cast("long").alias("c"))
     kind = src.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return src.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(score, schema)
+    numbers = chunks.select("chunk", "doc_ids", "held_out", "n_tokens", "ids", F.col("words.word").alias("words"))
+    return numbers.groupBy("chunk").cogroup(met.where("c > 0").select("chunk", "pos", "c").groupBy("chunk")).applyInArrow(score, schema)

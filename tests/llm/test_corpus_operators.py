@@ -175,6 +175,44 @@ def test_language_model_gradient():
         assert seen[part][row, column] - expected[part][row, column] == pytest.approx((value(up) - value(down)) / 2e-5, abs=1e-4)
 
 
+def test_language_model_counts_each_context_once(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "PIECE_TOKENS", 100)  # several blocks
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9, n)) for n in (0, 1, 2, 60, 80)] + ["B b\x0bc"]
+    rows = [(i, i % 5 == 3, texts[i % len(texts)]) for i in range(240)]
+    src = spark.createDataFrame(rows, "doc_id long, held_out boolean, text string").repartition(4)
+    chunks = maxent.chunked(src).persist()
+    seen, n = {}, Counter()
+    for r in chunks.collect():
+        ids = maxent.unpacked(r["ids"], sum(r["n_tokens"])).tolist()
+        spelt = [r["words"][i]["word"] for i in ids]
+        for doc, held, size in zip(r["doc_ids"], r["held_out"], r["n_tokens"]):
+            seen[doc], spelt = (held, spelt[:size]), spelt[size:]
+        n.update({w["word"]: w["n"] for w in r["words"]})
+    assert seen == {i: (held, [*(w.decode() for w in maxent.words(t)), ""]) for i, held, t in rows}
+    assert +n == Counter(w for held, ws in seen.values() if not held for w in ws)
+    own = {b"": 0} | {f"w{i}".encode(): i + 1 for i in range(5)}
+    want = Counter()
+    for held, ws in seen.values():
+        leaves = [0, 0, *(maxent.leaf_of(w.encode(), own) for w in ws)]
+        if not held:
+            want.update((b * maxent.LEAVES + a, c) for a, b, c in zip(leaves, leaves[1:], leaves[2:]))
+    got = []
+    for r in maxent.followers(chunks, own, n.total()).collect():
+        row = list(zip(*(maxent.unpacked(r[c], r["size"]).tolist() for c in ("context", "leaf", "n"))))
+        assert row == sorted(row)
+        got += row
+    # one row for each pair, though each text lies in several partitions
+    assert sorted(got) == sorted((*k, x) for k, x in want.items())
+    chunks.unpersist()
+
+
+@pytest.mark.parametrize("x", [[0], [0, 255], [256, 0, 3], [2**40 + 5, 1]])
+def test_language_model_packing(x):
+    b = maxent.packed(np.array(x))
+    assert maxent.unpacked(b, len(x)).tolist() == x and len(b) == len(x) * max(1, -(-max(x).bit_length() // 8))
+
+
 def test_language_model_score_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     vocabulary = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst0123456789"] * 30

@@ -242,10 +242,12 @@ def _common(holders: list[int], blocks: set[int]) -> int:
     return left[0]
 
 
-def _within(holders: list[int], block: int, outer: int) -> bool:
-    while block > outer:
-        block = holders[block]
-    return block == outer
+def _within(holders: list[int], outer: set[int]) -> list[bool]:
+    """For each block, whether it is one of some blocks or in one. One pass, as a block's number is above its holder's."""
+    inside = [0 in outer]
+    for block in range(1, len(holders)):
+        inside.append(block in outer or inside[holders[block]])
+    return inside
 
 
 def bounds(live: list[Line], weights: list[int], holders: list[int]) -> tuple[int, int]:
@@ -255,9 +257,9 @@ def bounds(live: list[Line], weights: list[int], holders: list[int]) -> tuple[in
     core = [i for i, w in enumerate(weights) if w >= LONG and max(sums[max(0, i - WINDOW + 1) : i + 1]) >= SURGE]
     if not core:
         return 0, len(live)
-    outer = _common(holders, {live[i].holder for i in core})
     begin, end = core[0], core[-1] + 1
-    adjoins = lambda i: weights[i] > 0 and _within(holders, live[i].holder, outer)
+    inside = _within(holders, {_common(holders, {live[i].holder for i in core})})
+    adjoins = lambda i: weights[i] > 0 and inside[live[i].holder]
     while begin > 0 and adjoins(begin - 1):
         begin -= 1
     while end < len(live) and adjoins(end):
@@ -268,29 +270,23 @@ def bounds(live: list[Line], weights: list[int], holders: list[int]) -> tuple[in
 def own_story(live: list[Line], holders: list[int], stories: set[int]) -> list[Line]:
     """The lines without other stories (teasers) inside a story: those that weigh less than what is the outer one's own."""
 
-    def story(block: int) -> int:
-        while block and block not in stories:
-            block = holders[block]
-        return block
-
+    story = [0]  # of each block, the innermost one that it is or is in
+    for block in range(1, len(holders)):
+        story.append(block if block in stories else story[holders[block]])
     own: Counter[int] = Counter()
     for x in live:
-        own[story(x.holder)] += max(len(x.text) - x.links, 0)
+        own[story[x.holder]] += max(len(x.text) - x.links, 0)
     whole = Counter(own)
     for s in sorted(stories, reverse=True):  # a block's number is above its holder's
-        whole[story(holders[s])] += whole[s] if holders[s] else 0
+        whole[story[holders[s]]] += whole[s] if holders[s] else 0
     most: Counter[int] = Counter()
     for s in stories:
-        outer = story(holders[s])
+        outer = story[holders[s]]
         most[outer] = max(most[outer], whole[s])
-    other = {s for s in stories if story(holders[s]) and own[story(holders[s])] > most[story(holders[s])]}
-
-    def within(block: int) -> bool:
-        while block and block not in other:
-            block = holders[block]
-        return block > 0
+    other = {s for s in stories if story[holders[s]] and own[story[holders[s]]] > most[story[holders[s]]]}
 
-    return [x for x in live if not within(x.holder)] if other else live
+    inside = _within(holders, other)
+    return [x for x in live if not inside[x.holder]] if other else live
 
 
 def main_text(page: str | None) -> str:

@@ -154,6 +154,24 @@ def test_html_long_and_deep_pages():
     assert time.perf_counter() - start < 60
 
 
+def test_html_depth_costs_one_pass():
+    """Blocks in blocks: looking up each one's story and holder doesn't climb through all of them."""
+
+    class Counting(list):
+        reads = 0
+
+        def __getitem__(self, i):
+            Counting.reads += 1
+            return super().__getitem__(i)
+
+    n = 3000
+    holders = Counting([0, *range(n)])
+    live = [html_text.Line(f"{LOREM} {i}", False, False, 0, i) for i in range(1, n + 1)]
+    got = html_text.own_story(live, holders, {1, 2000})
+    begin, end = html_text.bounds(got, [len(x.text) if i > n // 3 else 1 for i, x in enumerate(got)], holders)
+    assert (got[0].holder, begin, end) == (1, n // 3 + 1, len(got)) and Counting.reads < 20 * n
+
+
 def test_html_query_with_other_element_names(spark, sf_dir):
     """Without article elements the pages still give their text."""
     for r in pq.read_table(f"{sf_dir}/pages.parquet").to_pylist():

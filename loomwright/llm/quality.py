@@ -30,7 +30,7 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 KINDS, BITS = 5, 16
 BUCKETS = KINDS << BITS
 STEPS, RATE, DECAY = 20, 2.0, 1e-6
-#: Tasks that share the sample; each sends one gradient (BUCKETS numbers) a step.
+#: Tasks that share the sample, at most; each sends one gradient (BUCKETS numbers) a step.
 TASKS = 6
 #: Characters in one step of numpy.
 PIECE = 1 << 18
@@ -141,28 +141,31 @@ def _margins(model: Model, rows: tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def trained(rows: DataFrame) -> Model:
-    """Gradient steps with a rate of its own for each weight; the classes weigh the same. Each task sends one gradient a step."""
+    """Gradient steps with a rate of its own for each weight; the classes weigh the same. TASKS gradients at most meet the driver a step."""
     row = rows.where(~F.col("calibrates")).agg(F.count("*").alias("n"), F.coalesce(F.sum("good"), F.lit(0.0)).alias("good")).head()
     n, good = row["n"], row["good"]
     model = Model(np.zeros(BUCKETS, np.float32), 0.0)
     if not 0 < good < n:
         return model
     weigh = np.array([n / (2 * (n - good)), n / (2 * good)]) / n
+    # a reader splits files as it likes, and each of its splits would send a gradient
+    few = rows.where(~F.col("calibrates")).select("good", "buckets", "shares").coalesce(TASKS)
     seen, seen_bias = np.full(BUCKETS, 1e-12), 1e-12
     for _ in range(STEPS):
 
         def gradient(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
-            total, bias = np.zeros(BUCKETS), 0.0
+            total, bias, some = np.zeros(BUCKETS), 0.0, False
             for batch in batches:
                 if batch.num_rows:
-                    found = _rows(batch)
+                    found, some = _rows(batch), True
                     y = found[3]
                     wrong = (1 / (1 + np.exp(-np.clip(_margins(model, found), -50, 50))) - y) * (weigh[0] * (1 - y) + weigh[1] * y)
                     total += np.bincount(found[1], wrong[found[0]] * found[2], minlength=BUCKETS)
                     bias += wrong.sum()
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([bias])], names=["total", "bias"])
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([bias])], names=["total", "bias"])
 
-        parts = in_arrow(rows.where(~F.col("calibrates")).select("good", "buckets", "shares"), gradient, "total binary, bias double").collect()
+        parts = in_arrow(few, gradient, "total binary, bias double").collect()
         g = sum(np.frombuffer(p["total"], np.float32).astype(float) for p in parts) + DECAY * model.weights
         g_bias = sum(p["bias"] for p in parts)
         seen, seen_bias = seen + g * g, seen_bias + g_bias * g_bias

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +13,8 @@ from ..functions import text as T
 from ..functions import timewin as W
 from ..functions.dates import any_date
 from ..functions.titles import first_title, other_office
+from ..operators import blocks, overlap, tables
 from ..operators import contracts as C
-from ..operators import overlap, tables
 from ..operators.lineage import checkpointing
 from ..sources import nodes
 
@@ -75,39 +74,35 @@ def selected(items: DataFrame, drop: Sequence[tuple[str, Column]], rules: dict[s
     return kept, kept.groupBy("category").agg(F.count("*").alias("n"))
 
 
-#: A token that more articles have is dealt to several tasks.
-HOT_TOKEN = 50_000
-
-
-def _meeting(r: DataFrame, a: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """newsId, seq, rd, n and ls, a release's tokens by how many articles have a token that contains them or is contained in
-    them, fewest first; and l, r, often of such tokens, found among the distinct ones."""
-    often = a.select(F.explode("at").alias("r")).groupBy("r").agg(F.count("*").alias("often"))
-    of_releases = r.select("newsId", "seq", "rd", F.size("rt").alias("n"), F.explode("rt").alias("l"))
-    links = overlap.containing(of_releases.select(F.col("l").alias("t")).distinct(), often.select(F.col("r").alias("t"))).join(often, "r").checkpoint()
-    met = links.groupBy("l").agg(F.sum("often").alias("met"))
-    ranked = of_releases.join(met, "l", "left").groupBy("newsId", "seq", "rd", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("met", F.lit(0)).alias("met"), "l"))).alias("ls"))
-    return ranked.checkpoint(), links
-
-
-def _candidates(ranked: DataFrame, links: DataFrame, a: DataFrame, least: Column, days: tuple[int, int] | None) -> DataFrame:
-    """newsId, url (perhaps repeated) of all pairs of which `least` of the release's n tokens can be met, and whose dates lie in a band (days
-    before, days after); without one, of pairs that lack a date.
-
-    Of all but so many of a release's tokens less one, one at least is met then: its rarest ones are looked for."""
-    salts = F.ceil(F.col("often") / HOT_TOKEN).cast("int")
-    rare = ranked.select("newsId", "rd", F.explode(F.slice("ls", 1, F.col("n") - least + 1)).alias("x")).select("newsId", "rd", "x.l")
-    keys = rare.join(links, "l").select("newsId", "rd", "r", "often").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    hot = links.where(F.col("often") > HOT_TOKEN).select("r", salts.alias("salts")).distinct()
-    dealt = F.pmod(F.xxhash64("url"), F.greatest(F.coalesce("salts", F.lit(1)), F.lit(1))).cast("int")
-    rows = a.select("url", "ad", F.explode("at").alias("r")).join(hot, "r", "left").select("url", "ad", "r", dealt.alias("salt"))
-    if days is None:
-        dated, undated = rows.where("ad is not null"), rows.where("ad is null")
-        found = keys.join(undated, ["r", "salt"]).select("newsId", "url").union(keys.where("rd is null").join(dated, ["r", "salt"]).select("newsId", "url"))
-    else:
-        on = keys.where("rd is not null").withColumn("ad", F.explode(F.sequence(F.date_sub("rd", days[0]), F.date_add("rd", days[1]))))
-        found = on.join(rows.where("ad is not null"), ["ad", "r", "salt"]).select("newsId", "url")
-    return found
+#: So many tokens of titles make a block, on average: a week with more of them, or a token in more titles, is dealt to several.
+HOT_TOKEN = 131_072
+#: In place of a week: articles without a date, which meet all releases with one, and releases without a date, which meet all articles.
+NO_ARTICLE_DATE, NO_RELEASE_DATE = -(1 << 31), -(1 << 31) + 1
+
+
+def _candidates(r: DataFrame, a: DataFrame, before: int, after: int, least_hits: int) -> DataFrame:
+    """g, newsId, seq, score, gap: each article's best release of each block of releases that it meets.
+
+    Articles (g, ad, here, at) are in the week of their date, releases (newsId, seq, rd, rt) in the weeks that their band
+    touches. A week's articles and releases are dealt into blocks of bounded expected size, each pair of which is one group."""
+    week = lambda day: F.floor(day / 7).cast("int")
+    no_article, no_release = F.lit(NO_ARTICLE_DATE), F.lit(NO_RELEASE_DATE)
+    rd, ad = F.unix_date("rd"), F.unix_date("ad")
+    r = r.withColumn("week", F.explode(F.when(rd.isNull(), F.array(no_release)).otherwise(F.concat(F.sequence(week(rd - before), week(rd + after)), F.array(no_article)))))
+    a = a.withColumn("week", F.explode(F.array(F.coalesce(week(ad), no_article), no_release)))
+    parts = lambda df, tokens, name: df.groupBy("week").agg(F.ceil(F.sum(F.size(tokens)) / HOT_TOKEN).cast("int").alias(name))
+    weeks = parts(r, "rt", "chunks").join(parts(a, "at", "blocks"), "week").checkpoint()
+    pairs = weeks.agg(F.sum(F.col("chunks").cast("long") * F.col("blocks")).alias("n")).first()["n"] or 1
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = F.broadcast(weeks)  # as many rows as the calendar has weeks at most
+    left = r.join(few, "week").withColumn("chunk", dealt("newsId", F.col("chunks"))).select("newsId", "seq", "rd", "rt", "week", "chunk", each("blocks").alias("block"))
+    right = a.join(few, "week").withColumn("block", dealt("g", F.col("blocks"))).select("g", "ad", "here", "at", "week", "block", each("chunks").alias("chunk"))
+    keys = ("week", "block", "chunk")
+    # a block is work for seconds and has few bytes: tasks go by blocks, not by their bytes, and are more, so that few get two
+    left, right = (df.repartition(min(3 * int(pairs), 10_000), *keys).groupBy(*keys) for df in (left, right))
+    schema = f"g binary, newsId {r.schema['newsId'].dataType.simpleString()}, seq bigint, score double, gap int"
+    return left.cogroup(right).applyInArrow(lambda x, y: blocks.best_releases(x, y, before, after, least_hits), schema)
 
 
 def assigned(releases: DataFrame, articles: DataFrame, region: Sequence[str] = (), other: Sequence[str] = (), before: int = 4, after: int = 14, suffixes: Sequence[str] = (), stop_words: Sequence[str] = (), least_hits: int = 0) -> DataFrame:
@@ -117,49 +112,23 @@ def assigned(releases: DataFrame, articles: DataFrame, region: Sequence[str] = (
     which they were seen: the first row of an address counts). least_hits: so many tokens must be met where a score is
     not trusted by itself.
 
-    Better pairs are looked for first: those whose release is met whole, on the article's day, then near it, then within
-    the band or without a date (the first releases first); then lower scores, step by step. An article that has found one
-    goes, as all pairs that are left for it are worse; so the many weak pairs are made for the few that need them."""
+    Releases of equal tokens and date are one, the first of them, and so are articles (g) until the end. They meet in
+    blocks by week, where hits are counted; what leaves a block is one release an article at most, so no pair is shuffled."""
     checkpointing(releases.sparkSession)
-    r = releases.select("newsId", "seq", F.to_date("date").alias("rd"), M.tokens(F.col("title"), suffixes, stop_words).alias("rt")).checkpoint()
+    tokens = lambda: F.array_sort(M.tokens(F.col("title"), suffixes, stop_words))
+    r = releases.select("newsId", F.coalesce(F.col("seq").cast("long"), F.lit((1 << 63) - 1)).alias("seq"), F.to_date("date").alias("rd"), tokens().alias("rt")).where(F.size("rt") > 0)
+    r = r.groupBy("rd", "rt").agg(F.min_by("newsId", "seq").alias("newsId"), F.min("seq").alias("seq")).checkpoint()
     a = articles.groupBy("url").agg(F.min_by(F.struct("title", "publisher", "publishedAt"), "seq").alias("x")).select("url", "x.*")
     a = a.where(~(T.any_phrase(F.col("title"), other) & ~T.any_phrase(F.col("title"), region)))  # another region is the subject of the title
     here = F.coalesce(T.any_phrase(F.concat_ws(" ", "title", "publisher"), region), F.lit(False))
-    a = a.select("url", F.to_date("publishedAt").alias("ad"), M.tokens(F.col("title"), suffixes, stop_words).alias("at"), here.alias("here"), F.coalesce(other_office(F.col("title"), region), F.lit(False)).alias("office"))
-    left = a.where(~F.col("office") & (F.size("at") > 0)).drop("office").checkpoint()
-    ranked, links = _meeting(r, left)
-    n = F.col("n")
-
-    def best(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-        met = pairs.join(r, "newsId").join(rows, "url").withColumn("score", M.similarity(F.col("rt"), F.col("at"))).withColumn("gap", M.days_apart(F.col("ad"), F.col("rd")))
-        same = M.same_case(F.col("score"), F.col("gap"), F.col("here"), F.lit(False), F.lit(False), least_hits, F.round(F.col("score") * F.size("rt")))
-        rank = F.struct("score", (-F.coalesce("gap", F.lit(M.NO_GAP))).alias("near"), (-F.col("seq")).alias("first"))
-        return met.where(same).groupBy("url").agg(F.max_by(F.struct("newsId", "score", "gap"), rank).alias("b"))
-
-    early = ranked.select(F.percentile_approx("seq", 0.02).alias("s")).first()["s"]
-    first = ranked.where(F.col("seq") <= F.lit(early))
-    whole, strong, trusted = (overlap.needed(n, x) for x in (1.0, M.STRONG_MATCH_SCORE, M.NEAR_TRUST_SCORE))
-    weak = overlap.needed(n, M.NEAR_MIN_SCORE, least_hits, M.NEAR_TRUST_SCORE)
-    dated, undated, named = F.col("ad").isNotNull(), F.col("ad").isNull(), F.col("here")
-    near = (min(before, M.NEAR_DAYS), min(after, M.NEAR_DAYS))
-    close = lambda d: (min(before, d), min(after, d))
-    # releases, tokens needed, bands, the articles that take part, the score from which all pairs that could be better are seen
-    every, middle = ((before, after), None), 0.4
-    steps = (
-        (ranked, whole, (close(0),), dated, 1.0), (ranked, whole, (close(1),), dated, 1.0), (first, whole, (None,), undated, 1.0), (ranked, whole, every, F.lit(True), 1.0),
-        (ranked, strong, every, F.lit(True), M.STRONG_MATCH_SCORE), (ranked, trusted, (near,), dated, M.NEAR_TRUST_SCORE),
-        (ranked, overlap.needed(n, middle, least_hits, M.NEAR_TRUST_SCORE), (near,), dated & named, middle), (ranked, weak, (near,), dated & named, 0.0),
-    )
-    settled = []
-    for some, least, bands, who, enough in steps:
-        rows = left.where(who)
-        pairs = reduce(DataFrame.union, [_candidates(some, links, rows, least, days) for days in bands]).distinct()
-        found = best(pairs, rows).where(F.col("b.score") >= enough)
-        settled.append(found.checkpoint())
-        left = left.join(settled[-1].select("url"), "url", "left_anti").checkpoint()
-        if left.isEmpty():
-            break
-    return reduce(DataFrame.union, settled).select("b.newsId", "url", "b.score", "b.gap")
+    a = a.select("url", F.to_date("publishedAt").alias("ad"), tokens().alias("at"), here.alias("here"), F.coalesce(other_office(F.col("title"), region), F.lit(False)).alias("office"))
+    a = a.where(~F.col("office") & (F.size("at") > 0)).drop("office")
+    same = F.concat_ws("|", F.array_join("at", " "), F.coalesce(F.col("ad").cast("string"), F.lit("")), F.col("here").cast("string"))
+    a = a.withColumn("g", F.unhex(F.sha2(same, 256))).checkpoint()
+    found = _candidates(r, a.select("g", "ad", "here", "at").distinct().checkpoint(), before, after, least_hits)
+    rank = F.struct("score", (-F.coalesce("gap", F.lit(M.NO_GAP))).alias("near"), (-F.col("seq")).alias("first"))
+    best = found.groupBy("g").agg(F.max_by(F.struct("newsId", "score", "gap"), rank).alias("b"))
+    return a.select("g", "url").join(best, "g").select("b.newsId", "url", "b.score", "b.gap")
 
 
 def covered(releases: DataFrame, matches: DataFrame, articles: DataFrame, most: int = 30) -> DataFrame:

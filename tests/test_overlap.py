@@ -165,3 +165,58 @@ def test_assigned_equals_all_pairs_and_makes_few(spark, monkeypatch):
     same = lambda n, name, at: spark.range(n).select(F.col("id").alias(name), F.col("id").alias("seq"), F.lit("klm nop").alias("title"), F.lit("p").alias("publisher"), F.date_add(F.lit("2026-01-01").cast("date"), (F.col("id") % 20).cast("int")).alias(at))
     assert P.assigned(same(200, "newsId", "date"), same(200, "url", "publishedAt")).count() == 200
     assert sum(made) <= 200 * 10 * 2  # those of an article's day; all of its band were four times as many at least
+
+
+def test_assigned_shuffles_no_pairs(spark, monkeypatch):
+    """All releases of a week have two words in common with all of its articles: 180,000 pairs used to leave the join."""
+    day = F.date_add(F.lit("2026-01-05").cast("date"), (F.col("id") % 5).cast("int"))
+    titles = lambda n, own: spark.range(n).select("id", F.col("id").alias("seq"), F.concat(F.lit(f"winter reading {own}"), F.col("id")).alias("title"), day.alias("day"))
+    releases = titles(300, "xx").withColumnsRenamed({"id": "newsId", "day": "date"})
+    articles = titles(600, "yy").withColumnsRenamed({"id": "url", "day": "publishedAt"}).withColumn("publisher", F.lit("p"))
+    whole, made = P._candidates, []
+
+    def counted(*args):
+        found = whole(*args)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(P, "_candidates", counted)
+    got = P.assigned(releases, articles).collect()
+    assert sorted((r["url"], r["newsId"], r["gap"]) for r in got) == [(i, i % 5, 0) for i in range(600)] and {r["score"] for r in got} == {2 / 3}
+    assert sum(made) <= 2 * 600
+
+
+def test_blocks_of_odd_titles_equal_all_pairs(monkeypatch):
+    """Long tokens, more tokens than a byte counts, ties, rows without a date, and articles in several pieces."""
+    import pyarrow as pa
+
+    from loomwright.operators import blocks
+
+    dice = random.Random(11)
+    word = lambda: "".join(dice.choice("abc가") for _ in range(dice.choice([2, 2, 3, 4, 5, 30])))
+    many = [f"k{i}m" for i in range(300)]
+    titles = lambda n, most: [sorted({word() for _ in range(dice.randint(1, most))}) for _ in range(n)]
+    when = lambda: dice.choice([None, *range(20_000, 20_025)])
+    rt, at = [*titles(80, 6), many, many[:280]], [*titles(150, 4), many[:290], ["x".join(many)]]
+    rd, ad = [when() for _ in rt], [when() for _ in at]
+    seq, here = [dice.randint(0, 9) * 100 + i for i in range(len(rt))], [dice.random() < 0.5 for _ in at]
+    lists, days = pa.list_(pa.string()), lambda d: pa.array(d, pa.int32()).cast(pa.date32())
+    left = pa.table({"newsId": pa.array([f"n{s}" for s in seq]), "seq": pa.array(seq), "rd": days(rd), "rt": pa.array(rt, lists)})
+    right = pa.table({"g": pa.array([b"%d" % i for i in range(len(at))]), "ad": days(ad), "here": pa.array(here), "at": pa.array(at, lists)})
+    want = {}
+    for i, a in enumerate(at):
+        for j, r in enumerate(rt):
+            gap = None if ad[i] is None or rd[j] is None else abs(ad[i] - rd[j])
+            if gap is not None and not -4 <= ad[i] - rd[j] <= 14:
+                continue
+            hits = sum(any(x in y or y in x for y in a) for x in r)
+            score = hits / len(r)
+            if score >= 0.7 or gap is not None and gap <= 4 and score >= 0.22 and (score >= 0.6 or hits >= 2 and here[i]):
+                want[i] = max(want.get(i, (-1,)), (score, -(99 if gap is None else gap), -seq[j]))
+    for width, filled in ((1024, 64), (3, 2)):
+        monkeypatch.setattr(blocks, "AT_A_TIME", width)
+        monkeypatch.setattr(blocks, "FILLED", filled)
+        found = blocks.best_releases(left, right, 4, 14, 2).to_pylist()
+        assert {int(x["g"]): (x["score"], -(99 if x["gap"] is None else x["gap"]), -x["seq"]) for x in found} == want and len(found) == len(want) > 100
+        assert all(x["newsId"] == f"n{x['seq']}" for x in found)
+    assert blocks.best_releases(left[:0], right, 4, 14, 2).schema == blocks.best_releases(left, right, 4, 14, 2).schema
